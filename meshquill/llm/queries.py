@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshquill.llm.substring_dedup import substring_dedup
+from meshquill.llm.token_output import read_tokens, write_tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +20,15 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_substring_dedup": op1_substring_dedup}
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = write_tokens(table(spark, sf_dir, "documents"), tokenizer="word_bpe_49k.json", end_id=2)
+    return read_tokens(spark, path).drop("ids")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_token_output": op2_token_output,
+}
 
 WORD = r"[^\x20\x09-\x0D]+"
 
