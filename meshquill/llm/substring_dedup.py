@@ -27,7 +27,10 @@ from meshquill.llm.shared import partitions, text_rows
 from meshquill.llm.words import C, chunks, gather, mix, ngram_hash, sliding_min, words_of
 
 BINS = 1 << 13
-BUCKET_WINDOWS = 500_000  # aimed at, for memory
+BUCKET_WINDOWS = 1_500_000  # aimed at; a bucket is worked through in PARTS, so this bounds packed bytes only
+PARTS = 16
+CHUNK = 4 << 20
+LEVEL = 6
 PACKED = "bucket int, blob binary"
 
 
@@ -70,18 +73,23 @@ def _equal(buf: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) ->
     return out
 
 
-def _pack(docs, keys, start, words, text) -> bytes:
-    head = np.array([len(docs)], np.int64).tobytes()
-    body = head + b"".join(x.tobytes() for x in (docs, keys, start.astype(np.int32), words.astype(np.int32))) + text
-    return np.array([len(body)], np.int64).tobytes() + pa.Codec("zstd", 1).compress(body, asbytes=True)
+_HEAD = (np.int64, np.int64, np.int32, np.int32, np.int32, np.uint8)  # doc, key, first word, words, bytes, part of the bucket
 
 
-def _unpack(blob: bytes):
+def _pack(*columns, text: bytes = b"") -> bytes:
+    n = len(columns[0])
+    columns += (np.zeros(n, np.int32),) * (len(_HEAD) - len(columns))
+    body = np.array([n], np.int64).tobytes() + b"".join(x.astype(kind).tobytes() for x, kind in zip(columns, _HEAD)) + text
+    return np.array([len(body)], np.int64).tobytes() + pa.Codec("zstd", LEVEL).compress(body, asbytes=True)
+
+
+def _unpack(blob: bytes) -> tuple[list[np.ndarray], np.ndarray]:
     body = pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
-    n = int.from_bytes(body[:8], "little")
-    docs, keys = np.frombuffer(body, np.int64, n, 8), np.frombuffer(body, np.int64, n, 8 + 8 * n)
-    start, words = np.frombuffer(body, np.int32, n, 8 + 16 * n), np.frombuffer(body, np.int32, n, 8 + 20 * n)
-    return docs, keys, start, words, body[8 + 24 * n :]
+    n, at, out = int.from_bytes(body[:8], "little"), 8, []
+    for kind in _HEAD:
+        out.append(np.frombuffer(body, kind, n, at))
+        at += n * out[-1].itemsize
+    return out, np.frombuffer(body, np.uint8, offset=at)
 
 
 def _send(window: int, m: int, hot: np.ndarray, buckets: int):
@@ -90,7 +98,7 @@ def _send(window: int, m: int, hot: np.ndarray, buckets: int):
     is_hot[hot] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, w in chunks(batches, "__text"):
+        for batch, w in chunks(batches, "__text", CHUNK):
             _, own, small, valid = _windows(w, window, m)
             if not valid.any():
                 continue
@@ -129,11 +137,13 @@ def _send(window: int, m: int, hot: np.ndarray, buckets: int):
                 tail = np.append(head[1:], len(known)) - 1
                 s, e = first[known[head]], first[known[tail]] + words[known[tail]]
                 t = text[s]
-                yield pa.record_batch([pa.array([int(ids[t[0]]) % buckets], pa.int32()), pa.array([b"R" + _pack(ids[t], keys[t], s - w.word_at[t], e - s, b"")], pa.binary())], ["bucket", "blob"])
+                yield pa.record_batch([pa.array([int(ids[t[0]]) % buckets], pa.int32()), pa.array([b"R" + _pack(ids[t], keys[t], s - w.word_at[t], e - s)], pa.binary())], ["bucket", "blob"])
             sent = np.flatnonzero(keep)
-            to = np.where(alone[first[sent]], mix(own[first[sent]], 3), mix(small[first[sent]], 5)) % np.uint64(buckets)
+            to = np.where(alone[first[sent]], mix(own[first[sent]], 3), mix(small[first[sent]], 5))
+            part = (to >> np.uint64(48)).astype(np.uint8) % PARTS
+            to %= np.uint64(buckets)
             order = np.argsort(to, kind="stable")
-            sent, to = sent[order], to[order]
+            sent, to, part = sent[order], to[order], part[order]
             edge = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
             edge = np.append(edge, len(to))
             t = text[first[sent]]
@@ -142,7 +152,7 @@ def _send(window: int, m: int, hot: np.ndarray, buckets: int):
             for i in range(len(edge) - 1):
                 p = slice(edge[i], edge[i + 1])
                 g = sent[p]
-                blobs.append(b"S" + _pack(doc[p], key[p], at_word[p], words[g], gather(buf, lo[g], size[g]).tobytes()))
+                blobs.append(b"S" + _pack(doc[p], key[p], at_word[p], words[g], size[g], part[p], text=gather(buf, lo[g], size[g]).tobytes()))
             yield pa.record_batch([pa.array(to[edge[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return run
@@ -183,13 +193,21 @@ def _later(doc, win, buf, at, lo, window):
 
 
 def _bucket(rows: list[bytes], window: int):
-    docs, keys, start, words, texts = [], [], [], [], []
+    heads, texts = [], []
     for blob in rows:
-        a, b, c, d, e = _unpack(blob[1:])
-        docs.append(a), keys.append(b), start.append(c), words.append(d), texts.append(e)
-    docs, keys, start, words = (np.concatenate(x) for x in (docs, keys, start, words))
-    buf = np.frombuffer(b"".join(texts), np.uint8)
-    del texts
+        head, text = _unpack(blob[1:])
+        heads.append(head), texts.append(text)
+    docs, keys, start, words, size, part = (np.concatenate(x) for x in zip(*heads))
+    buf = np.concatenate(texts)
+    del heads, texts
+    at = np.cumsum(size, dtype=np.int64) - size
+    for k in range(PARTS):
+        g = np.flatnonzero(part == k)
+        if len(g) and (got := _part(docs[g], keys[g], start[g], words[g], gather(buf, at[g], size[g]), window)) is not None:
+            yield got
+
+
+def _part(docs, keys, start, words, buf, window: int):
     w = words_of(buf, np.array([0, len(buf)]))
     at = np.append(w.start, len(buf))
     begin = np.cumsum(words) - words
@@ -220,17 +238,18 @@ def _receive(window: int):
             for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob")):
                 blob = blob.as_py()
                 if blob[:1] == b"R":
-                    doc, key, s, n, _ = _unpack(blob[1:])
+                    doc, key, s, n = _unpack(blob[1:])[0][:4]
                     yield out(doc, key, s, s + n)
                     continue
                 if bucket != now and held:
-                    if (got := _bucket(held, window)) is not None:
+                    for got in _bucket(held, window):
                         yield out(*got)
                     held = []
                 now = bucket
                 held.append(blob)
-        if held and (got := _bucket(held, window)) is not None:
-            yield out(*got)
+        if held:
+            for got in _bucket(held, window):
+                yield out(*got)
 
     return run
 
@@ -263,7 +282,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("__id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), text, spans], ["doc_id", "n_words", "n_removed", "kept_text", "spans"])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, m: int = 3) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, m: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_text (kept words, single spaces) and
     spans, the word ranges [s, e) removed because a window there also starts in a smaller doc_id."""
     spark = docs.sparkSession
