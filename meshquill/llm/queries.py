@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshquill.llm.langid import crc_of_id, fit_languages, identify_languages
 from meshquill.llm.substring_dedup import substring_dedup
 from meshquill.llm.token_output import read_tokens, write_tokens
+from meshquill.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +27,25 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path).drop("ids")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = fit_toxicity(docs, labels.filter(crc_of_id() % 3 != 1))
+    scored = score_toxicity(docs, machine, threshold=0.7)
+    return scored.select("doc_id", F.coalesce(crc_of_id() % 3 == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trees = fit_languages(docs.filter(crc_of_id() % 5 != 0))
+    found = identify_languages(docs, trees)
+    return found.select("doc_id", F.coalesce(crc_of_id() % 5 == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_output": op2_token_output,
+    "op7_toxicity": op7_toxicity,
+    "op8_language_id": op8_language_id,
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
