@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshquill.llm.langid import crc_of_id, fit_languages, identify_languages
+from meshquill.llm.mixing import mix_sources
 from meshquill.llm.substring_dedup import substring_dedup
 from meshquill.llm.token_output import read_tokens, write_tokens
 from meshquill.llm.toxicity import fit_toxicity, score_toxicity
+from meshquill.llm.warc import read_warc, write_warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,15 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path).drop("ids")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), total=1.5, most=2.0)[0]
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = write_warc(table(spark, sf_dir, "pages"), revisit_from=1000)
+    return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     machine = fit_toxicity(docs, labels.filter(crc_of_id() % 3 != 1))
@@ -44,8 +55,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_output": op2_token_output,
+    "op3_mixing": op3_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
+    "op10_warc": op10_warc,
 }
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -60,4 +73,11 @@ tok as (select doc_id, unnest(range(1, len(ws) + 1)) as p, unnest(ws) as word fr
 kept as (select doc_id, string_agg(word, ' ' order by p) as txt, count(*) as n from tok anti join gone using (doc_id, p) group by doc_id)
 select w.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(txt, '')) as kept_sha256
 from w left join kept using (doc_id)""",
+    "op10_warc": """
+with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+d as (select page_id, octet_length(b) as payload_bytes, sha1(b) as payload_digest, max(page_id) over (partition by b) as last, octet_length(b) >= 1000 as large from p)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, payload_digest,
+  case when large and page_id <> last then 'revisit' else 'response' end as record_type,
+  case when large and page_id <> last then last end as refers_to
+from d""",
 }
