@@ -71,6 +71,20 @@ def permuted(k: np.ndarray, n: int, seed: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def place_of(x: int, n: int, seed: int) -> int:
+    """Where the permutation puts x: its inverse."""
+    half = np.uint64(max(1, (max(1, n - 1).bit_length() + 1) // 2))
+    low = (np.uint64(1) << half) - np.uint64(1)
+    y = np.array([x], np.uint64)
+    while True:
+        left, right = y >> half, y & low
+        for r in reversed(range(4)):
+            left, right = right ^ (mix(left * C, seed * 4 + r + 1) & low), left
+        y = (left << half) | right
+        if y[0] < n:
+            return int(y[0])
+
+
 def draw(slots: np.ndarray, seed: int, shard_slots: int) -> list[tuple[int, int, int, int]]:
     """(shard, source, slots, first) of every shard: multinomial counts out of what is still owed."""
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -87,7 +101,7 @@ def draw(slots: np.ndarray, seed: int, shard_slots: int) -> list[tuple[int, int,
     return out
 
 
-def _slots(size: np.ndarray, want: np.ndarray, block: int, seed: int):
+def _slots(size: np.ndarray, owed: list[tuple[int, int]], block: int, seed: int):
     """Rows of every drawn slot: shard, slot, source, block, pass and how many words it takes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +112,7 @@ def _slots(size: np.ndarray, want: np.ndarray, block: int, seed: int):
                 turn = k // blocks
                 at = permuted(k % blocks, blocks, seed * 1_000_003 + s)
                 words = np.minimum(block, size[s] - at * block)
-                last = _owed(int(size[s]), int(want[s]), block, seed * 1_000_003 + s)
+                last = owed[s]
                 words[k == last[0]] = last[1]
                 keep = k <= last[0]
                 yield pa.record_batch([pa.array(np.full(int(keep.sum()), shard), pa.int32()), pa.array(np.flatnonzero(keep), pa.int32()), pa.array(np.full(int(keep.sum()), s), pa.int32()), pa.array(at[keep]), pa.array(turn[keep], pa.int32()), pa.array(words[keep], pa.int32())], ["shard", "slot", "source_id", "block", "turn", "words"])
@@ -115,9 +129,8 @@ def _owed(size: int, want: int, block: int, seed: int) -> tuple[int, int]:
     short = size - (blocks - 1) * block  # words of the short block
     k = -(-rest // block)  # slots, were all full
     if short < block:
-        order = permuted(np.arange(min(k, blocks)), blocks, seed) if k <= 4096 else None
-        where = int(np.flatnonzero(order == blocks - 1)[0]) if order is not None and (order == blocks - 1).any() else (None if order is not None else _place(blocks, seed))
-        if where is not None and where < k:
+        where = place_of(blocks - 1, blocks, seed)
+        if where < k:
             if short + (k - 1) * block < rest:
                 k += 1
             before = short + (k - 2) * block if where < k - 1 else (k - 1) * block
@@ -125,15 +138,6 @@ def _owed(size: int, want: int, block: int, seed: int) -> tuple[int, int]:
     return turns * blocks + k - 1, rest - (k - 1) * block
 
 
-def _place(blocks: int, seed: int) -> int:
-    """Where the permutation puts the last block: found in pieces."""
-    for lo in range(0, blocks, 1 << 20):
-        hit = np.flatnonzero(permuted(np.arange(lo, min(blocks, lo + (1 << 20))), blocks, seed) == blocks - 1)
-        if len(hit):
-            return lo + int(hit[0])
-    raise AssertionError("not a permutation")
-
-
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), total: float = 1.5, most: float = 2.0, block: int = BLOCK, seed: int = 11, shard_slots: int = SHARD_SLOTS
 ) -> tuple[DataFrame, DataFrame]:
@@ -150,7 +154,8 @@ def mix_sources(
     cycle = np.array([weights[i % len(weights)] for i in range(len(found))], float)
     target = targets(size, cycle, total * size.sum() if len(size) else 0, most)
     want = np.floor(target + 1e-9).astype(np.int64)
-    slots = np.array([_owed(int(a), int(b), block, seed * 1_000_003 + s)[0] + 1 if b else 0 for s, (a, b) in enumerate(zip(size, want))], np.int64)
+    owed = [_owed(int(a), int(b), block, seed * 1_000_003 + s) if b else (-1, 0) for s, (a, b) in enumerate(zip(size, want))]
+    slots = np.array([last + 1 for last, _ in owed], np.int64)
     sources = spark.createDataFrame([(s, r.source, int(r.n), float(target[s])) for s, r in enumerate(found)], "source_id int, source string, source_size long, target double")
     # where each lane, then each document, begins in its source
     w = Window.partitionBy("source").orderBy("lane")
@@ -166,7 +171,7 @@ def mix_sources(
     lo = F.greatest("at", F.col("block") * block)
     pieces = pieces.select("doc_id", "__key", "source_id", "block", (lo - F.col("at")).alias("first"), (lo - F.col("block") * block).cast("int").alias("skip"), (F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - lo).cast("int").alias("n"))
     drawn = spark.createDataFrame(draw(slots, seed, shard_slots), "shard int, source_id int, n int, first long").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "source_id")
-    drawn = drawn.mapInArrow(_slots(size, want, block, seed), "shard int, slot int, source_id int, block long, turn int, words int")
+    drawn = drawn.mapInArrow(_slots(size, owed, block, seed), "shard int, slot int, source_id int, block long, turn int, words int")
     picks = drawn.join(pieces, ["source_id", "block"]).filter(F.col("words") > F.col("skip"))
     picks = picks.select("shard", "source_id", "slot", "turn", "doc_id", "__key", "first", F.least(F.col("n"), F.col("words") - F.col("skip")).alias("n"))
     taken = picks.groupBy("doc_id", "__key").agg(F.sum("n").alias("taken"))
