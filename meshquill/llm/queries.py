@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from meshquill.llm.langid import crc_of_id, fit_languages, identify_languages
 from meshquill.llm.mixing import mix_sources
+from meshquill.llm.near_dedup import near_duplicates
 from meshquill.llm.substring_dedup import substring_dedup
 from meshquill.llm.token_output import read_tokens, write_tokens
 from meshquill.llm.toxicity import fit_toxicity, score_toxicity
@@ -33,6 +34,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), total=1.5, most=2.0)[0]
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=5, similarity=0.75)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_warc(table(spark, sf_dir, "pages"), revisit_from=1000)
     return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_output": op2_token_output,
     "op3_mixing": op3_mixing,
+    "op5_near_dedup": op5_near_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
     "op10_warc": op10_warc,
