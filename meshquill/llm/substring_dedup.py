@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshquill.llm.shared import partitions, text_rows
-from meshquill.llm.words import C, chunks, gather, mix, ngram_hash, sliding_min, words_of
+from meshquill.llm.words import C, chunks, equal_ranges, gather, mix, ngram_hash, sliding_min, words_of
 
 BINS = 1 << 13
 BUCKET_WINDOWS = 1_500_000  # aimed at; a bucket is worked through in PARTS, so this bounds packed bytes only
@@ -61,18 +61,6 @@ def _count(window: int, m: int):
     return run
 
 
-def _equal(buf: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Which ranges of buf from a and from b, of that length, hold the same bytes."""
-    out = np.ones(len(a), bool)
-    for lo in range(0, len(a), 20_000):
-        part = slice(lo, lo + 20_000)
-        n = length[part]
-        if len(n):
-            same = gather(buf, a[part], n) == gather(buf, b[part], n)
-            out[part] = np.logical_and.reduceat(same, np.cumsum(n) - n)
-    return out
-
-
 _HEAD = (np.int64, np.int64, np.int32, np.int32, np.int32, np.uint8)  # doc, key, first word, words, bytes, part of the bucket
 
 
@@ -125,7 +113,7 @@ def _send(window: int, m: int, hot: np.ndarray, buckets: int):
             again = ~new & (doc[order] > doc[head])
             a, b = order[again], head[again]
             same = (size[a] == size[b])
-            same[same] = _equal(buf, lo[a[same]], lo[b[same]], size[a[same]])
+            same[same] = equal_ranges(buf, buf, lo[a[same]], lo[b[same]], size[a[same]])
             known = a[same]
             keep = np.ones(len(first), bool)
             keep[known] = False
@@ -177,7 +165,7 @@ def _later(doc, win, buf, at, lo, window):
     a, b = at[lo[x]], at[lo[y]]
     size, other = at[lo[x] + window] - a, at[lo[y] + window] - b
     good = size == other
-    good[good] = _equal(buf, a[good], b[good], size[good])
+    good[good] = equal_ranges(buf, buf, a[good], b[good], size[good])
     new = np.append(True, ~same)
     head = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
     late[order] = doc[order] > doc[order[head]]

@@ -12,7 +12,7 @@ Edge cases: a null or empty text gives only the end id; documents are in ascendi
 null first, repeated rows next to each other by their text's hash; no rows give no shards.
 
 Texts are encoded word by word (ASCII white space never lies within a token of the tokenizer used,
-and it is dropped), each distinct word of a chunk once.
+and it is dropped; a tokenizer for which that fails is refused), each distinct word of a chunk once.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshquill.llm.shared import materialise, new_path, partitions, text_rows
-from meshquill.llm.words import chunks, gather
+from meshquill.llm.words import bytes_of, chunks, equal_ranges, gather, hash_strings
 
 SHARD_IDS = 2_000_000
-CACHE_WORDS = 200_000
+CHUNK = 16 << 20  # the larger, the fewer times a word is encoded
+SLICE = 20_000  # words encoded at a time
+CACHE_WORDS = 1_500_000  # about 60 MB a worker
 _SHIFT = np.arange(4, dtype=np.uint8) * 2
 LENGTHS = (((np.arange(256)[:, None] >> _SHIFT) & 3) + 1).astype(np.uint8)
 
@@ -75,24 +78,67 @@ def _tokenizer(name: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(tokenizer_path(name))
-
-
-_seen: dict[str, dict[bytes, np.ndarray]] = {}
-
-
-def word_ids(words: list[bytes], name: str) -> list[np.ndarray]:
-    """Ids of distinct words; common ones are kept from chunk to chunk in a bounded table."""
-    known = _seen.setdefault(name, {})
-    fresh = [x for x in words if x not in known]
-    got = _tokenizer(name).encode_batch_fast([x.decode() for x in fresh], add_special_tokens=False) if fresh else []
-    new = {x: np.array(e.ids, np.uint32) for x, e in zip(fresh, got)}
-    out = [new[x] if x in new else known[x] for x in words]
-    room = CACHE_WORDS - len(known)
-    for x in fresh[: max(0, room)]:
-        if len(x) <= 64:
-            known[x] = new[x]
-    return out
+    tok = Tokenizer.from_file(tokenizer_path(name))
+    one, two, both = (tok.encode(x, add_special_tokens=False).ids for x in ("word", "x-2", "word \n x-2"))
+    if one + two != both:
+        raise ValueError(f"{name}: its tokens reach over white space; this operator encodes word by word")
+    return tok
+
+
+class Known:
+    """Encoded words a Python worker keeps from task to task: a table sorted by hash, at most CACHE_WORDS long."""
+
+    def __init__(self):
+        self.hash, self.text, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+        self.at = self.size = self.ids_at = self.n = np.zeros(0, np.int64)
+
+    def find(self, h: np.ndarray, body: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Each word's row, or -1; bytes decide, not hashes."""
+        out = np.full(len(h), -1, np.int64)
+        if len(self.hash):
+            row = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+            size = np.diff(at)
+            hit = np.flatnonzero((self.hash[row] == h) & (self.size[row] == size))
+            hit = hit[equal_ranges(self.text, body, self.at[row[hit]], at[hit], size[hit])]
+            out[hit] = row[hit]
+        return out
+
+    def add(self, h: np.ndarray, body: np.ndarray, size: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        if len(self.hash) >= CACHE_WORDS:
+            return
+        at, ids_at = np.cumsum(size) - size + len(self.text), np.cumsum(n) - n + len(self.ids)
+        self.text, self.ids = np.concatenate((self.text, body)), np.concatenate((self.ids, ids))
+        h, first = np.unique(np.concatenate((self.hash, h)), return_index=True)
+        self.hash = h
+        for name, new in (("at", at), ("size", size), ("ids_at", ids_at), ("n", n)):
+            setattr(self, name, np.concatenate((getattr(self, name), new))[first])
+
+
+_known: dict[str, Known] = {}
+
+
+def word_ids(words: pa.Array, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of words, and where each distinct word's ids begin and how many there are."""
+    known = _known.setdefault(name, Known())
+    body, at = bytes_of(words)
+    h = hash_strings(body, np.diff(at))
+    row = known.find(h, body, at)
+    fresh = np.flatnonzero(row < 0)
+    tok, ids, n = _tokenizer(name), [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    new = words.take(pa.array(fresh))
+    for lo in range(0, len(fresh), SLICE):
+        got = [e.ids for e in tok.encode_batch_fast(new.slice(lo, SLICE).cast(pa.string()).to_pylist(), add_special_tokens=False)]
+        n.append(np.fromiter(map(len, got), np.int64, len(got)))
+        ids.append(np.fromiter(chain.from_iterable(got), np.uint32, int(n[-1].sum())))
+    ids, n = np.concatenate(ids), np.concatenate(n)
+    begin, count = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+    old = np.flatnonzero(row >= 0)
+    begin[old], count[old] = known.ids_at[row[old]], known.n[row[old]]
+    begin[fresh], count[fresh] = np.cumsum(n) - n + len(known.ids), n
+    all_ids = np.concatenate((known.ids, ids))
+    size = np.diff(at)[fresh]
+    known.add(h[fresh], gather(body, at[:-1][fresh], size), size, ids, n)
+    return all_ids, begin, count
 
 
 def encoded(w, name: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -101,12 +147,12 @@ def encoded(w, name: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         per = np.zeros(len(w.word_at) - 1, np.int64)
         flat = np.zeros(0, np.uint32)
     else:
-        d = w.array().dictionary_encode()
-        ids = word_ids(d.dictionary.to_pylist(), name)
-        size = np.array([len(x) for x in ids], np.int64)
-        body = np.concatenate(ids)
+        # where the tokenizer lower-cases anyway; its special tokens, which begin so, are told by case
+        lower = "Lowercase" in str(_tokenizer(name).normalizer) and b"<|" not in w.buf.tobytes()
+        d = w.array(lower=lower).dictionary_encode()
+        body, begin, size = word_ids(d.dictionary, name)
         code = d.indices.to_numpy()
-        flat = gather(body, (np.cumsum(size) - size)[code], size[code])
+        flat = gather(body, begin[code], size[code])
         per = np.diff(np.append(0, np.cumsum(size[code]))[w.word_at])
     if end_id is None:
         return flat, per
@@ -117,32 +163,37 @@ def encoded(w, name: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     return out, per + 1
 
 
-def _encode(name: str, end_id: int | None):
+def id_type(name: str, end_id: int | None) -> str:
+    """Two bytes an id on the way to the files, where the vocabulary allows it."""
+    return "<u2" if max(_tokenizer(name).get_vocab_size(), end_id or 0) < 1 << 16 else "<u4"
+
+
+def _encode(name: str, end_id: int | None, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, w in chunks(batches, "__text"):
+        for batch, w in chunks(batches, "__text", CHUNK):
             ids, per = encoded(w, name, end_id)
-            at = np.append(0, np.cumsum(per) * 4).astype(np.int32)
-            blob = pa.Array.from_buffers(pa.binary(), len(per), [None, pa.py_buffer(at), pa.py_buffer(ids.astype("<u4"))])
+            ids = ids.astype(kind)
+            at = np.append(0, np.cumsum(per) * ids.itemsize).astype(np.int32)
+            blob = pa.Array.from_buffers(pa.binary(), len(per), [None, pa.py_buffer(at), pa.py_buffer(ids)])
             yield pa.record_batch([batch.column("__id"), batch.column("__key"), pa.array(per, pa.int64()), blob], ["doc_id", "key", "n_tokens", "ids"])
 
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1, np.int64)
-    for batch in batches:
-        data = batch.column("ids")
-        if len(data):
-            at = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]
-            ids = np.frombuffer(data.buffers()[2], "<u4", (at[-1] - at[0]) // 4, at[0]) if at[-1] > at[0] else np.zeros(0, np.uint32)
-            n = np.bincount(ids, minlength=len(total))
+def _count(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1, np.int64)
+        for batch in batches:
+            n = np.bincount(bytes_of(batch.column("ids"))[0].view(kind), minlength=len(total))
             n[: len(total)] += total
             total = n
-    some = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["id", "n"])
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["id", "n"])
+
+    return run
 
 
-def _shards(rank: np.ndarray):
+def _shards(rank: np.ndarray, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, docs, counts, held = TaskContext.get().partitionId(), 0, [], [], []
 
@@ -165,7 +216,7 @@ def _shards(rank: np.ndarray):
                 hi = max(lo + 1, lo + int(np.searchsorted(np.cumsum(per[lo:]), room, "right")))
                 docs.append(batch.column("doc_id").slice(lo, hi - lo))
                 counts.append(per[lo:hi])
-                held.append(np.frombuffer(b"".join(x.as_py() for x in blob.slice(lo, hi - lo)), "<u4"))
+                held.append(bytes_of(blob.slice(lo, hi - lo))[0].view(kind).copy())
                 lo = hi
                 if sum(map(len, held)) >= SHARD_IDS or lo < batch.num_rows:
                     yield shard()
@@ -184,13 +235,14 @@ def write_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
     rows = text_rows(docs, id_col, text_col).withColumn("__key", F.xxhash64("__text"))
-    ids = materialise(rows.mapInArrow(_encode(tokenizer, end_id), "doc_id long, key long, n_tokens long, ids binary"), "ids")
-    found = ids.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row per id of the vocabulary at most
+    kind = id_type(tokenizer, end_id)
+    ids = materialise(rows.mapInArrow(_encode(tokenizer, end_id, kind), "doc_id long, key long, n_tokens long, ids binary"), "ids")
+    found = ids.select("ids").mapInArrow(_count(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row per id of the vocabulary at most
     order = [r.id for r in sorted(found, key=lambda r: (-r.n, r.id))]
     rank = np.zeros(max(order, default=0) + 1, np.uint32)
     rank[order] = np.arange(len(order))
     spark.createDataFrame([(i, x) for i, x in enumerate(order)], "rank int, id int").coalesce(1).write.parquet(f"{path}/vocab")
-    ids.repartitionByRange(partitions(spark), "doc_id", "key").sortWithinPartitions("doc_id", "key").mapInArrow(_shards(rank), SHARD).write.option("compression", "none").parquet(f"{path}/shards")
+    ids.repartitionByRange(partitions(spark), "doc_id", "key").sortWithinPartitions("doc_id", "key").mapInArrow(_shards(rank, kind), SHARD).write.option("compression", "none").parquet(f"{path}/shards")
     return path
 
 

@@ -34,6 +34,27 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return h
 
 
+def hash_strings(body: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of non-empty byte strings laid end to end."""
+    first = np.cumsum(length) - length
+    at = np.arange(len(body), dtype=np.int32) - np.repeat(first.astype(np.int32), length)
+    at &= 1023
+    value = _BYTE[body]
+    value *= _POWER[at]
+    return mix(np.add.reduceat(value, first) + length.astype(np.uint64))
+
+
+def equal_ranges(a: np.ndarray, b: np.ndarray, a_at: np.ndarray, b_at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Which ranges of a and of b, of that length, hold the same bytes."""
+    out = np.ones(len(length), bool)
+    for lo in range(0, len(length), 20_000):
+        part = slice(lo, lo + 20_000)
+        n = length[part]
+        same = gather(a, a_at[part], n) == gather(b, b_at[part], n)
+        out[part] = np.logical_and.reduceat(same, np.cumsum(n) - n)
+    return out
+
+
 @dataclass
 class Words:
     buf: np.ndarray  # bytes of all texts
@@ -59,13 +80,7 @@ class Words:
         body = self.bytes()
         if lower:
             body = LOWER[body]
-        length = self.end - self.start
-        first = np.cumsum(length) - length
-        at = np.arange(len(body), dtype=np.int32) - np.repeat(first.astype(np.int32), length)
-        at &= 1023
-        value = _BYTE[body]
-        value *= _POWER[at]
-        return mix(np.add.reduceat(value, first) + length.astype(np.uint64))
+        return hash_strings(body, self.end - self.start)
 
     def bytes(self) -> np.ndarray:
         """All words without what parts them."""
