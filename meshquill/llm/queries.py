@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshquill.llm.decontam import find_contamination
 from meshquill.llm.langid import crc_of_id, fit_languages, identify_languages
 from meshquill.llm.mixing import mix_sources
 from meshquill.llm.near_dedup import near_duplicates
@@ -38,6 +39,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=5, similarity=0.75)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shingle=5, containment=0.75)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_warc(table(spark, sf_dir, "pages"), revisit_from=1000)
     return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_dedup": op5_near_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
+    "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
 }
 
@@ -79,6 +85,14 @@ tok as (select doc_id, unnest(range(1, len(ws) + 1)) as p, unnest(ws) as word fr
 kept as (select doc_id, string_agg(word, ' ' order by p) as txt, count(*) as n from tok anti join gone using (doc_id, p) group by doc_id)
 select w.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(txt, '')) as kept_sha256
 from w left join kept using (doc_id)""",
+    "op9_decontamination": rf"""
+with d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') as ws from documents),
+b as (select item_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') as ws from benchmark),
+ds as (select distinct doc_id, array_to_string(ws[i:i + 4], ' ') as g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 4, least(len(ws), 1)) + 1)) as i from d)),
+bs as (select distinct item_id, array_to_string(ws[i:i + 4], ' ') as g from (select item_id, ws, unnest(range(1, greatest(len(ws) - 4, least(len(ws), 1)) + 1)) as i from b)),
+n as (select item_id, count(*) as n_item from bs group by item_id),
+s as (select doc_id, item_id, count(*) as n_shared from ds join bs using (g) group by doc_id, item_id)
+select doc_id, item_id, n_item, n_shared, cast(n_shared as double) / n_item as containment from s join n using (item_id) where n_shared * 100 >= n_item * 75""",
     "op10_warc": """
 with p as (select page_id, encode(coalesce(html, '')) as b from pages),
 d as (select page_id, octet_length(b) as payload_bytes, sha1(b) as payload_digest, max(page_id) over (partition by b) as last, octet_length(b) >= 1000 as large from p)
