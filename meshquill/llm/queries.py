@@ -13,6 +13,7 @@ from meshquill.llm.mixing import mix_sources
 from meshquill.llm.near_dedup import near_duplicates
 from meshquill.llm.substring_dedup import substring_dedup
 from meshquill.llm.token_output import read_tokens, write_tokens
+from meshquill.llm.topk_search import search
 from meshquill.llm.toxicity import fit_toxicity, score_toxicity
 from meshquill.llm.warc import read_warc, write_warc
 
@@ -39,6 +40,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=5, similarity=0.75)
 
 
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10, scale=1024.0)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shingle=5, containment=0.75)
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_output": op2_token_output,
     "op3_mixing": op3_mixing,
     "op5_near_dedup": op5_near_dedup,
+    "op6_topk_search": op6_topk_search,
     "op7_toxicity": op7_toxicity,
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
@@ -85,6 +91,13 @@ tok as (select doc_id, unnest(range(1, len(ws) + 1)) as p, unnest(ws) as word fr
 kept as (select doc_id, string_agg(word, ' ' order by p) as txt, count(*) as n from tok anti join gone using (doc_id, p) group by doc_id)
 select w.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(txt, '')) as kept_sha256
 from w left join kept using (doc_id)""",
+    "op6_topk_search": """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e from embeddings
+  where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id as vec_id, cast(list_sum(list_transform(range(1, least(len(q.e), len(c.e)) + 1), lambda i: q.e[i] * c.e[i])) as bigint) as score
+  from v as q join v as c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10""",
     "op9_decontamination": rf"""
 with d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') as ws from documents),
 b as (select item_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') as ws from benchmark),
