@@ -11,6 +11,7 @@ from meshquill.llm.decontam import find_contamination
 from meshquill.llm.langid import crc_of_id, fit_languages, identify_languages
 from meshquill.llm.mixing import mix_sources
 from meshquill.llm.near_dedup import near_duplicates
+from meshquill.llm.quality import resample
 from meshquill.llm.substring_dedup import substring_dedup
 from meshquill.llm.token_output import read_tokens, write_tokens
 from meshquill.llm.topk_search import search
@@ -36,6 +37,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), weights=(3, 1, 2), total=1.5, most=2.0)[0]
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return resample(docs, labels.filter("quality = 1").filter(crc_of_id() % 3 != 1), share=0.8)
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=5, similarity=0.75)
 
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_output": op2_token_output,
     "op3_mixing": op3_mixing,
+    "op4_quality": op4_quality,
     "op5_near_dedup": op5_near_dedup,
     "op6_topk_search": op6_topk_search,
     "op7_toxicity": op7_toxicity,
