@@ -25,7 +25,8 @@ from meshquill.llm.shared import text_rows
 from meshquill.llm.words import LOWER, bytes_of, chunks, words_of
 
 ORDER = 5
-CHUNK = 4 << 20
+CHUNK = 16 << 20  # the larger, the fewer times a word is coded
+SLICE = 40_000  # words coded at a time
 _LETTER = re.compile(r"[^\W\d_]")
 _ASCII = np.zeros(256, bool)
 _ASCII[65:91] = _ASCII[97:123] = True
@@ -76,28 +77,36 @@ class Trees:
         self.kinds = np.zeros_like(self.total)
         np.add.at(self.total, row, self.n)
         np.add.at(self.kinds, row, self.n > 0)
+        self.row = row.astype(np.int32)
         return self
 
     def bits(self, body: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Code length of each word (with its closing space) in each language."""
         words, langs = len(at) - 1, len(self.langs)
         places = int(at[-1]) + words
-        out, done = np.zeros((places, langs)), np.zeros((places, langs), bool)
+        out, done = np.zeros((places, langs), np.float32), np.zeros((places, langs), bool)
         for place, context, key in _keys(body, at, self.order):
-            c = np.minimum(np.searchsorted(self.context, context), len(self.context) - 1)
-            known = self.context[c] == context
-            place, key, c = place[known], key[known], c[known]
+            open_ = ~done[place].all(axis=1)
+            place, context, key = place[open_], context[open_], key[open_]
             r = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            n = np.where((self.key[r] == key)[:, None], self.n[r], 0)
+            found = self.key[r] == key
+            c = self.row[r]
+            lost = np.flatnonzero(~found)  # no language has the symbol here; the context may be known
+            c[lost] = np.minimum(np.searchsorted(self.context, context[lost]), len(self.context) - 1)
+            known = found.copy()
+            known[lost] = self.context[c[lost]] == context[lost]
+            place, c, r, found = place[known], c[known], r[known], found[known]
+            n = self.n[r]
+            n[~found] = 0
             total, kinds = self.total[c], self.kinds[c]
             live = ~done[place] & (total > 0)
             hit = live & (n > 0)
-            cost = np.log2((total + kinds) / np.maximum(np.where(hit, n, kinds), 1), where=live, out=np.zeros(n.shape))
+            cost = np.log2((total + kinds) / np.maximum(np.where(hit, n, kinds), 1), where=live, out=np.zeros(n.shape, np.float32))
             out[place] += cost
             done[place] |= hit
         out[~done] += 8
         size = np.diff(at) + 1
-        return np.add.reduceat(out, np.cumsum(size) - size, axis=0) if words else np.zeros((0, langs))
+        return np.add.reduceat(out, np.cumsum(size) - size, axis=0, dtype=np.float64) if words else np.zeros((0, langs))
 
 
 def _words(w) -> tuple[pa.Array, np.ndarray]:
@@ -115,7 +124,7 @@ def _predict(trees: Trees | None):
                 words, code = _words(w)
                 body, at = bytes_of(words)
                 marked = np.add.reduceat(_MARK[body], at[:-1]) > 0
-                cost = trees.bits(body, at)
+                cost = np.concatenate([trees.bits(body[at[lo] : at[min(lo + SLICE, len(words))]], at[lo : lo + SLICE + 1] - at[lo]) for lo in range(0, len(words), SLICE)])
                 cost[~marked] = 0  # numbers and punctuation tell nothing
                 run_up = np.zeros((w.n + 1, cost.shape[1]))
                 np.cumsum(cost[code], axis=0, out=run_up[1:])
