@@ -12,8 +12,7 @@ Skew: a source's documents are laid out in LANES lanes by a hash of their id, ea
 so a source with a third of all rows is many groups; blocks of a source are spread by their index.
 
 Edge cases: null or empty texts have size 0 and are taken 0 times; a null source is a source like
-others, last in order; repeated rows of a doc_id are documents of their own with the same result when
-their text is the same; no rows give no rows.
+others, last in order; repeated rows are documents of their own, numbered apart; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meshquill.llm.shared import materialise
-from meshquill.llm.words import C, mix
+from meshquill.llm.words import C, chunks, mix
 
 WORD = r"[^\x20\x09-\x0D]+"
 LANES = 1024
@@ -143,11 +142,11 @@ def mix_sources(
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, picks). documents: a row per row of docs with doc_id, size, source_size, target, taken.
     picks: what the mix is made of, in order of shard and slot: shard, slot, turn, doc_id, first, n
-    (n words of the document from word first on)."""
+    (n words of the document from word first on), with __key and __copy, which tell repeated rows apart."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("__key"), size_of(F.col(f"`{text_col}`").cast("string")).alias("size"))
     lane = F.pmod(F.xxhash64("doc_id", "__key"), F.lit(LANES)).cast("int")
-    rows = materialise(rows.withColumn("lane", lane), "sizes")
+    rows = materialise(rows.withColumn("lane", lane).withColumn("__copy", _copy()), "sizes")
     lanes = rows.groupBy("source", "lane").agg(F.sum("size").alias("n"))
     found = sorted(lanes.groupBy("source").agg(F.sum("n").alias("n")).collect(), key=lambda r: (r.source is None, (r.source or "").encode("utf-32-be")))  # a row per source
     size = np.array([r.n for r in found], np.int64)
@@ -160,25 +159,63 @@ def mix_sources(
     # where each lane, then each document, begins in its source
     w = Window.partitionBy("source").orderBy("lane")
     lanes = lanes.withColumn("begin", F.sum("n").over(w) - F.col("n"))
-    w = Window.partitionBy("source", "lane").orderBy("doc_id", "__key").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("source", "lane").orderBy("doc_id", "__key", "__copy").rowsBetween(Window.unboundedPreceding, -1)
     begin = F.coalesce(F.sum("size").over(w), F.lit(0)).alias("at")
-    same = rows.source.eqNullSafe(lanes.source) & (rows.lane == lanes.lane)
-    placed = rows.select("doc_id", "__key", "size", "source", "lane", begin)
+    placed = rows.select("doc_id", "__key", "__copy", "size", "source", "lane", begin)
     placed = placed.join(F.broadcast(lanes.select(F.col("source").alias("s2"), F.col("lane").alias("l2"), "begin")), placed.source.eqNullSafe(F.col("s2")) & (placed.lane == F.col("l2")))  # LANES rows a source at most
     placed = placed.join(F.broadcast(sources.withColumnRenamed("source", "s3")), placed.source.eqNullSafe(F.col("s3")))
-    placed = materialise(placed.select("doc_id", "__key", "size", "source_id", "source_size", "target", (F.col("begin") + F.col("at")).alias("at")), "placed")
-    pieces = placed.filter("size > 0").select("doc_id", "__key", "source_id", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block"))
+    placed = materialise(placed.select("doc_id", "__key", "__copy", "size", "source_id", "source_size", "target", (F.col("begin") + F.col("at")).alias("at")), "placed")
+    pieces = placed.filter("size > 0").select("doc_id", "__key", "__copy", "source_id", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block"))
     lo = F.greatest("at", F.col("block") * block)
-    pieces = pieces.select("doc_id", "__key", "source_id", "block", (lo - F.col("at")).alias("first"), (lo - F.col("block") * block).cast("int").alias("skip"), (F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - lo).cast("int").alias("n"))
+    pieces = pieces.select("doc_id", "__key", "__copy", "source_id", "block", (lo - F.col("at")).alias("first"), (lo - F.col("block") * block).cast("int").alias("skip"), (F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - lo).cast("int").alias("n"))
     drawn = spark.createDataFrame(draw(slots, seed, shard_slots), "shard int, source_id int, n int, first long").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "source_id")
     drawn = drawn.mapInArrow(_slots(size, owed, block, seed), "shard int, slot int, source_id int, block long, turn int, words int")
-    picks = drawn.join(pieces, ["source_id", "block"]).filter(F.col("words") > F.col("skip"))
-    picks = picks.select("shard", "source_id", "slot", "turn", "doc_id", "__key", "first", F.least(F.col("n"), F.col("words") - F.col("skip")).alias("n"))
-    taken = picks.groupBy("doc_id", "__key").agg(F.sum("n").alias("taken"))
-    # repeated rows share a key: what was taken of them is told evenly
-    alike = placed.groupBy("doc_id", "__key").agg(F.count("*").alias("copies")).filter("copies > 1")
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["__key"] == b["__key"])
-    out = placed.join(taken, same(placed, taken), "left").select(placed["*"], "taken")
-    out = out.join(alike, same(out, alike), "left").select(out["*"], "copies")
-    out = out.select("doc_id", "size", "source_size", "target", F.floor(F.coalesce("taken", F.lit(0)) / F.coalesce("copies", F.lit(1))).cast("long").alias("taken"))
-    return out, picks.drop("__key")
+    # without the hint the few drawn rows pass for a small side, though each becomes thousands of slots
+    picks = drawn.hint("shuffle_merge").join(pieces, ["source_id", "block"]).filter(F.col("words") > F.col("skip"))
+    picks = picks.select("shard", "source_id", "slot", "turn", "doc_id", "__key", "__copy", "first", F.least(F.col("n"), F.col("words") - F.col("skip")).alias("n"))
+    taken = picks.groupBy("doc_id", "__key", "__copy").agg(F.sum("n").alias("taken"))
+    out = _with(placed, taken, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out, picks
+
+
+def _copy() -> Column:
+    """Numbers rows with equal doc_id and text."""
+    return F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy("source"))
+
+
+def _with(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    """a joined to b (doc_id, __key, __copy and more) by document, a null doc_id included."""
+    b = b.withColumnsRenamed({"doc_id": "__d", "__key": "__k", "__copy": "__c"})
+    return a.join(b, F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__copy") == F.col("__c")), how).drop("__d", "__k", "__c")
+
+
+def _compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, w in chunks(batches, "text"):
+        texts, counts = [], w.counts()
+        for i, spans in enumerate(batch.column("spans").to_pylist()):
+            lo, parts = w.word_at[i], []
+            whole = w.buf[w.text_at[i] : w.text_at[i + 1]].tobytes()
+            turns: dict[int, list[tuple[int, int]]] = {}
+            for x in spans:
+                turns.setdefault(x["turn"], []).append((x["first"], x["n"]))
+            for _, own in sorted(turns.items()):
+                if sum(n for _, n in own) == counts[i]:
+                    parts.append(whole)  # a whole pass leaves the text as it is
+                else:
+                    parts.append(b" ".join(w.buf[w.start[k] : w.end[k]].tobytes() for a, n in sorted(own) for k in range(lo + a, lo + a + n)))
+            texts.append(b"\n".join(parts).decode())
+        yield pa.record_batch([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
+
+
+def mixed_documents(docs: DataFrame, picks: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs as the mix takes them: a row per document with words taken, its text made of them, pass
+    after pass (a whole pass is the text unchanged; else the taken words, single spaces); n_chars,
+    where docs has it, follows."""
+    spans = picks.groupBy("doc_id", "__key", "__copy").agg(F.collect_list(F.struct("turn", "first", "n")).alias("spans"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("__key"), F.col(f"`{text_col}`").cast("string").alias("text"), whole)
+    rows = rows.withColumn("__copy", _copy()).withColumn("row", F.col("row").dropFields(text_col))
+    kind = rows.schema["row"].dataType.simpleString()
+    made = _with(rows, spans, "inner").select("row", "text", "spans").mapInArrow(_compose, f"row {kind}, text string")
+    value = {text_col: F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return made.select(*(value.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
