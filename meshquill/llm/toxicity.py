@@ -327,3 +327,13 @@ def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", te
     """One row per row of docs: doc_id, score, predicted."""
     out = text_rows(docs, id_col, text_col).mapInArrow(_score(machine), "doc_id long, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, machine: Machine, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """docs without the rows that score at least threshold; all columns as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, w in chunks(batches, text_col, CHUNK):
+            yield batch.filter(pa.array(machine.logistic(machine.texts(w)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
