@@ -7,7 +7,7 @@ norm that depends on a unit's length alone; inserted characters, gaps and signs
 A unit's Nystroem features against m landmarks are K_mm^(-1/2) k_m(unit); a linear hinge-loss machine
 on them is trained on the units of labelled sentences, multiple-instance style: every unit of a clean
 text is a negative, and the units typical of toxic texts (then each toxic text's best-scoring unit)
-are the positives. A text's score is a logistic function, fitted on texts, of its highest unit.
+are the positives, each also with a meaningless character inserted. A text's score is a logistic function, fitted on texts, of its highest unit.
 
 The trained machine is a weighted sum of kernels, and the kernel is an inner product of finite
 feature vectors, so it folds into one table of weights by subsequence; scoring looks subsequences up
@@ -32,7 +32,7 @@ from meshquill.llm.words import LOWER, bytes_of, chunks, gather, mix, words_of
 
 LENGTH, SPAN, DECAY = 4, 7, 0.7
 LONGEST = 24  # characters of a unit; longer words come in pieces that overlap by half
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 BITS = 5
 # 1..26 letters, 27..30 other letters by their last byte, 31 a unit's start, 0 anything else, 255 the first byte of a longer character (no sign of its own)
 _SIGN = np.zeros(256, np.uint8)
@@ -226,6 +226,16 @@ def _distinct(pairs: np.ndarray, count: int) -> np.ndarray:
     return keep
 
 
+def _gapped(rows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Rows with one character that means nothing inserted somewhere between their letters."""
+    n = np.minimum((rows > 0).sum(axis=1), rows.shape[1] - 1)
+    at = 2 + (rng.random(len(rows)) * np.maximum(n - 2, 1)).astype(int)
+    place = np.arange(rows.shape[1])
+    out = np.where(place < at[:, None], rows, np.roll(rows, 1, axis=1))
+    out[place == at[:, None]] = 0
+    return out
+
+
 def _merged(found: tuple[np.ndarray, np.ndarray], typical: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Witnesses and typical units; a typical one weighs at least the number of toxic texts it is in."""
     both = np.union1d(found[0], typical)
@@ -270,10 +280,10 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = 160, rounds: int
         k = kernel(marks, marks).astype(np.float64)
         val, vec = np.linalg.eigh((k + k.T) / 2 + 1e-6 * np.eye(len(k)))
         root = vec @ np.diag(1 / np.sqrt(np.maximum(val, 1e-4))) @ vec.T
-        some = np.concatenate((positive, negative))
-        x = kernel(rows[some], marks) @ root
-        y = np.concatenate((np.ones(len(positive)), -np.ones(len(negative))))
-        share = np.concatenate((0.5 * weight / weight.sum(), np.full(len(negative), 0.5 / len(negative))))
+        gapped = _gapped(rows[positive], rng)
+        x = kernel(np.concatenate((rows[positive], gapped, rows[negative])), marks) @ root
+        y = np.concatenate((np.ones(2 * len(positive)), -np.ones(len(negative))))
+        share = np.concatenate((0.3 * weight / weight.sum(), 0.2 * weight / weight.sum(), np.full(len(negative), 0.5 / len(negative))))
         v, bias = hinge(x, y, share)
         alpha = root @ v
         machine = Machine(fold(alpha, marks), bias, landmarks=marks, alpha=alpha)
@@ -299,17 +309,23 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = 160, rounds: int
         h = (z * (share * pr * (1 - pr))[:, None]).T @ z + np.diag([1e-3, 1e-9])
         c = c - np.linalg.solve(h, g)
     machine.slope, machine.shift = float(c[0]), float(c[1])
+    low, high = np.quantile(best[toxic], 0.02), best[~toxic].max()
+    if low > high:  # the classes are apart: 0.7 lies between them, so that altered insults still pass it
+        at = high + 0.35 * (low - high)
+        logit = lambda x: float(np.log(x / (1 - x)))
+        machine.slope = (logit(0.985) - logit(0.7)) / (low - at)
+        machine.shift = logit(0.7) - machine.slope * at
     return machine
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1500) -> Machine:
-    """Train on about `per_class` labelled texts of each class (all, where there are fewer), drawn by a
-    hash of their id: the documented bound of the sample that reaches the driver."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1000) -> Machine:
+    """Train on about `per_class` labelled toxic texts and twice as many clean ones (all, where there are
+    fewer), drawn by a hash of their id: the documented bound of the sample that reaches the driver."""
     seen = labels.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{label_col}`").cast("int").alias("__label")).filter("__id IS NOT NULL AND __label IN (0, 1)").groupBy("__id").agg(F.max("__label").alias("__label"))
     count = {r["__label"]: r.n for r in seen.groupBy("__label").agg(F.count("*").alias("n")).collect()}
     unit = F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col("__label") == 1, F.lit(min(1.0, per_class / count.get(1, 1)))).otherwise(F.lit(min(1.0, per_class / count.get(0, 1))))
-    chosen = seen.filter(unit < share)  # about 2 * per_class rows
+    share = F.when(F.col("__label") == 1, F.lit(min(1.0, per_class / count.get(1, 1)))).otherwise(F.lit(min(1.0, 2 * per_class / count.get(0, 1))))
+    chosen = seen.filter(unit < share)  # about 3 * per_class rows
     rows = text_rows(docs, id_col, text_col).join(F.broadcast(chosen), "__id").select("__id", "__text", "__label").orderBy("__id", F.xxhash64("__text")).collect()
     return train([r["__text"] for r in rows], np.array([r["__label"] == 1 for r in rows], bool))
 
