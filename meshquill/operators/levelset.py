@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshquill.operators.mesh import Mesh
+from meshquill.sources.shared import checkpoint
 
 MOST_NODES = 2_000_000
 
@@ -69,9 +70,10 @@ def estimate_distance(particles: DataFrame, mesh: Mesh, location: str, radius: f
         diff = [(F.col(f"p{d}").cast("float") - F.col(f"e{d}").cast("float")).cast("float") for d in range(3)]
         dist = F.sqrt((diff[0] * diff[0] + diff[1] * diff[1] + diff[2] * diff[2]).cast("float")).cast("float")
         best = near.groupBy(*mesh.axes).agg(F.min(dist).alias("near"))
-        settled = best.filter(F.col("near") <= size * 0.999)
+        tried = checkpoint(left.join(best.filter(F.col("near") <= size * 0.999), list(mesh.axes), "left"))
+        settled = tried.filter("near IS NOT NULL").select(*mesh.axes, "near")
         done = settled if done is None else done.unionByName(settled)
-        left = left.join(settled, list(mesh.axes), "left_anti")
+        left = tried.filter("near IS NULL").drop("near")
         if left.isEmpty():
             break
         size *= 2
@@ -234,9 +236,9 @@ def interpolate_odd(coarse: DataFrame, mesh: Mesh) -> DataFrame:
 def redistance(field: DataFrame, mesh: Mesh, p: LevelSet, value: str = "phi", tile: int | None = None) -> DataFrame:
     """i, j, k, signed_distance: even entities first, odd ones between them, then the narrow band again."""
     even = (F.col("i") % 2 == 0) & (F.col("j") % 2 == 0) & (F.col("k") % 2 == 0)
-    coarse = _pieces(field, mesh, value, even, p, tile)
+    coarse = checkpoint(_pieces(field, mesh, value, even, p, tile))
     between = interpolate_odd(coarse, mesh).withColumnRenamed("out", "est")
-    between = between.persist() if tile is None else between
+    between = checkpoint(between)
     band = F.abs("est") < mesh.cell_size[0] * mesh.halo
     fine = _pieces(between, mesh, "est", band, p, tile)
     return between.join(fine, ["i", "j", "k"], "left").select("i", "j", "k", F.coalesce("out", "est").alias("signed_distance"))
