@@ -9,7 +9,8 @@
    for lanes that agree by chance. Pairs that can't reach the threshold go; of each document's others
    the best is confirmed on the full sets first, then those that still join different components.
 4. Buckets whose members are still in several components are searched whole, across components only,
-   so no confirmed link between candidates is lost.
+   so no confirmed link between candidates is lost. Documents there get a second signature, one bit of
+   FINE minima each, whose estimate leaves few pairs to confirm.
 5. Components: every node hooks on its smallest neighbour, pointers are followed to their roots, and
    links are drawn between roots, until none is left. Every step is a written table.
 
@@ -33,14 +34,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshquill.llm.shared import materialise, text_rows
-from meshquill.llm.words import C, chunks, long, mix, ngram_hash
+from meshquill.llm.words import C, bytes_of, chunks, long, mix, ngram_hash
 
 BANDS, ROWS, BITS = 28, 4, 4
 HASHES = BANDS * ROWS
 LANES = 64 // BITS
 LONGS = HASHES // LANES
+FINE = 2048  # one-bit minima of the second signature
+FINE_SLACK = 0.07  # close to five standard errors
 SLACK = 0.25  # an estimate this far below the threshold is six standard errors away
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 _rng = np.random.Generator(np.random.PCG64(97))
 _A = _rng.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
@@ -115,6 +118,30 @@ def _sets(shingle: int):
     return run
 
 
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rng = np.random.Generator(np.random.PCG64(98))
+    a, b = rng.integers(0, 2**31, FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, FINE, dtype=np.uint32)
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 500):
+            part = batch.slice(lo, 500)
+            buf, at = bytes_of(part.column("shingles"))
+            x = (mix(buf.view(np.uint64).copy(), 6) >> np.uint64(32)).astype(np.uint32)
+            first = at[:-1] // 8
+            y, packed = np.empty_like(x), np.zeros((FINE // 64, part.num_rows), np.uint64)
+            for j in range(FINE):
+                np.multiply(x, a[j], out=y)
+                y += b[j]
+                bit = (np.minimum.reduceat(y, first) >> np.uint32(7)) & np.uint32(1)  # not the lowest: that is the parity of x for every j
+                packed[j // 64] |= bit.astype(np.uint64) << np.uint64(j % 64)
+            yield pa.record_batch([part.column("id"), *(pa.array(long(p)) for p in packed)], ["doc_id", *(f"f{k}" for k in range(FINE // 64))])
+
+
+def fine_estimate(x: str, y: str) -> Column:
+    """Similarity from two one-bit signatures: twice the share of equal bits, less one."""
+    differ = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"{x}{k}").bitwiseXOR(F.col(f"{y}{k}"))) for k in range(FINE // 64)))
+    return 1 - 2.0 * differ / float(FINE)
+
+
 def _confirm(similarity: float):
     per_cent = round(100 * similarity)
 
@@ -215,12 +242,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     now = label.select(F.col("node").alias("doc_id"), "label")
     marked = materialise(held.select("band", "key", "doc_id").join(now, "doc_id", "left").select("band", "key", "doc_id", F.coalesce("label", "doc_id").alias("label")), "marked")
     split = materialise(marked.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("band", "key"), "split")
-    left = materialise(marked.join(split, ["band", "key"]).join(sign, "doc_id"), "apart")
+    left = materialise(marked.join(split, ["band", "key"]), "apart")
     if not left.isEmpty():
-        x = left.select("band", "key", F.col("doc_id").alias("a"), F.col("label").alias("la"), *(F.col(f"s{k}").alias(f"x{k}") for k in range(LONGS)))
-        y = left.select("band", "key", F.col("doc_id").alias("b"), F.col("label").alias("lb"), *(F.col(f"s{k}").alias(f"y{k}") for k in range(LONGS)))
-        near = estimate(lambda c: F.col("x" + c[1:]), lambda c: F.col("y" + c[1:])) >= similarity - SLACK
-        found = x.join(y, (x["band"] == y["band"]) & (x["key"] == y["key"]) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+        fine = sets.join(left.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi").select("id", "shingles")
+        fine = materialise(fine.mapInArrow(_fine, "doc_id long, " + ", ".join(f"f{k} long" for k in range(FINE // 64))), "fine")
+        left = left.join(reps.select("doc_id", "bands"), "doc_id").join(fine, "doc_id")
+        x = left.select("band", "key", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("bands").alias("xb"), *(F.col(f"f{k}").alias(f"x{k}") for k in range(FINE // 64)))
+        y = left.select("band", "key", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("bands").alias("yb"), *(F.col(f"f{k}").alias(f"y{k}") for k in range(FINE // 64)))
+        near = fine_estimate("x", "y") >= similarity - FINE_SLACK
+        # a pair counts in the first bucket it shares
+        first = F.when(near, ~F.exists(F.sequence(F.lit(0), x["band"]), lambda k: (k < x["band"]) & (F.col("xb")[k] == F.col("yb")[k]))).otherwise(False)
+        found = x.join(y, (x["band"] == y["band"]) & (x["key"] == y["key"]) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & first).select("a", "b").distinct()
         label = _joined(label, confirmed(materialise(found.join(star.select("a", "b"), ["a", "b"], "left_anti"), "open")))
     rep = classes.select("doc_id", "rep").filter("doc_id != rep").distinct()
     known = signed.select("doc_id", "n_shingles").join(rep, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
