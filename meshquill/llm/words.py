@@ -6,6 +6,7 @@ byte values occur only as themselves, so splitting bytes and splitting character
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -138,6 +139,15 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, at - at[0]
 
 
+def trim() -> None:
+    """Hand freed memory back, so that a Python worker between tasks is small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, Words]]:
     """Slices of batches with about `most` bytes of text at a time (a longer text comes alone, whole)."""
     for batch in batches:
@@ -150,6 +160,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) ->
             hi = min(hi, batch.num_rows)
             yield batch.slice(lo, hi - lo), words_of(buf[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
             lo = hi
+    trim()
 
 
 def ngram_hash(h: np.ndarray, n: int) -> np.ndarray:
