@@ -33,6 +33,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bound_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Arrow batches by bytes, as texts differ: a Python worker holds a few of these. Never raises a setting."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(name, "64m")).lower().rstrip("b")
+    size = int(now[:-1]) << {"k": 10, "m": 20, "g": 30}[now[-1]] if now[-1] in "kmg" else int(now)
+    if size <= 0 or size > most:
+        spark.conf.set(name, str(most))
+
+
 def text_rows(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
     """Only what an operator needs, under names that can't clash with the caller's columns."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").cast("string").alias("__text"), *more)

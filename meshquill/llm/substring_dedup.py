@@ -29,6 +29,7 @@ from meshquill.llm.words import C, chunks, equal_ranges, gather, mix, ngram_hash
 BINS = 1 << 13
 BUCKET_WINDOWS = 1_500_000  # aimed at; a bucket is worked through in PARTS, so this bounds packed bytes only
 PARTS = 16
+HOT_LEAST, HOT_SHARE = 2_000, 0.25  # a bin is hot beyond so many windows and that part of a bucket
 CHUNK = 4 << 20
 LEVEL = 6
 PACKED = "bucket int, blob binary"
@@ -279,7 +280,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seen = source.select("__text").mapInArrow(_count(window, m), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()  # BINS rows at most
     total = sum(r.n for r in seen)
     buckets = max(2 * partitions(spark), -(-total // BUCKET_WINDOWS))
-    hot = np.array([r.bin for r in seen if r.n > max(2_000, total / buckets / 4, 3 * total / BINS)], np.int64)
+    hot = np.array([r.bin for r in seen if r.n > max(HOT_LEAST, HOT_SHARE * total / buckets, 12 * HOT_SHARE * total / BINS)], np.int64)
     tasks = max(partitions(spark), min(buckets, 4 * partitions(spark)))
     spans = (
         source.mapInArrow(_send(window, m, hot, buckets), PACKED)

@@ -7,7 +7,7 @@ norm that depends on a unit's length alone; inserted characters, gaps and signs
 A unit's Nystroem features against m landmarks are K_mm^(-1/2) k_m(unit); a linear hinge-loss machine
 on them is trained on the units of labelled sentences, multiple-instance style: every unit of a clean
 text is a negative, and the units typical of toxic texts (then each toxic text's best-scoring unit)
-are the positives, each also with a meaningless character inserted. A text's score is a logistic function, fitted on texts, of its highest unit.
+are the positives, each also with a meaningless character inserted. A text's score is a logistic function, fitted on texts, of its few highest units.
 
 The trained machine is a weighted sum of kernels, and the kernel is an inner product of finite
 feature vectors, so it folds into one table of weights by subsequence; scoring looks subsequences up
@@ -27,13 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshquill.llm.shared import text_rows
+from meshquill.llm.shared import bound_batches, text_rows
 from meshquill.llm.words import LOWER, bytes_of, chunks, gather, mix, words_of
 
 LENGTH, SPAN, DECAY = 4, 7, 0.7
 LONGEST = 24  # characters of a unit; longer words come in pieces that overlap by half
 CHUNK = 2 << 20
 BITS = 5
+STEMS = (5, 8)  # signs of a stem
+STEM_CLEAN = 0.1  # clean texts that may hold a telling stem, for each toxic one
+TOP, HEAT = 3, 0.5  # a text's value: HEAT times the log of the summed exponentials of its TOP highest units over HEAT
+CHANCES = (1e7, 1e5, 1e3, 30, 2)  # how unlikely chance must be for a stem to tell: lowered until half of the toxic texts hold one
 # 1..26 letters, 27..30 other letters by their last byte, 31 a unit's start, 0 anything else, 255 the first byte of a longer character (no sign of its own)
 _SIGN = np.zeros(256, np.uint8)
 _SIGN[97:123] = np.arange(1, 27)
@@ -196,12 +200,23 @@ class Machine:
 
     def texts(self, w) -> np.ndarray:
         count = len(w.word_at) - 1
-        best = np.full(count, self.bias - 1.0)
-        if self.weight is not None and w.n:
-            rows, pairs = units(w)
-            value = score_units(rows, self.weight, self.bias)
-            np.maximum.at(best, pairs[:, 0], value[pairs[:, 1]])
-        return best
+        if self.weight is None or not w.n:
+            return pooled(np.zeros((0, 2), np.int64), np.zeros(0), count, self.bias - 1.0)
+        rows, pairs = units(w)
+        return pooled(pairs, score_units(rows, self.weight, self.bias), count, self.bias - 1.0)
+
+
+def pooled(pairs: np.ndarray, value: np.ndarray, count: int, least: float) -> np.ndarray:
+    """One value per text from its highest units: several telling ones say more than one does."""
+    order = np.lexsort((-value[pairs[:, 1]], pairs[:, 0]))
+    text, v = pairs[order, 0], value[pairs[order, 1]]
+    first = np.searchsorted(text, np.arange(count))
+    out = np.zeros(count)
+    for k in range(TOP):
+        at = np.minimum(first + k, max(len(text) - 1, 0))
+        ok = (first + k < len(text)) & (text[at] == np.arange(count)) if len(text) else np.zeros(count, bool)
+        out += np.exp(np.where(ok, v[at] if len(text) else least, least) / HEAT)
+    return HEAT * np.log(out)
 
 
 def _witnesses(pairs: np.ndarray, toxic: np.ndarray, value: np.ndarray, may: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,6 +241,41 @@ def _distinct(pairs: np.ndarray, count: int) -> np.ndarray:
     return keep
 
 
+def _stem_odds(rows: np.ndarray, pairs: np.ndarray, toxic: np.ndarray, n_toxic: int, n_clean: int, chance: float) -> np.ndarray:
+    """For every unit how telling its best stem is (some signs in a row; stems, as units of one family are
+    few each): the share of toxic texts that hold it, 0 where that may be chance. A stem tells if the
+    toxic texts that hold it could be drawn so by chance less than once in `chance`, and hardly a clean one does."""
+    wide = rows.astype(np.int64)
+    codes, owner = [], []
+    for stem in STEMS:
+        for i in range(rows.shape[1] - stem + 1):
+            some = np.flatnonzero((wide[:, i : i + stem] > 0).all(axis=1))
+            code = np.full(len(some), stem, np.int64)
+            for k in range(stem):
+                code = code << BITS | wide[some, i + k]
+            codes.append(code), owner.append(some)
+    code, owner = np.concatenate(codes), np.concatenate(owner)
+    bad = toxic[pairs[:, 0]]
+    a, b = np.bincount(pairs[bad, 1], minlength=len(rows)), np.bincount(pairs[~bad, 1], minlength=len(rows))
+    stems, at = np.unique(code, return_inverse=True)
+    need = np.log(chance) / np.log((n_toxic + n_clean) / max(1, n_toxic))  # toxic texts in a row
+    # no text is counted more often than its units are: what fails on those can't pass on texts
+    may = np.bincount(at, weights=a[owner], minlength=len(stems)) >= need
+    keep = may[at]
+    at, owner = at[keep], owner[keep]
+    order = np.argsort(pairs[:, 1], kind="stable")
+    begin = np.searchsorted(pairs[order, 1], np.arange(len(rows) + 1))
+    n = np.diff(begin)[owner]
+    flat = np.repeat(begin[owner] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    held = np.unique(np.repeat(at, n) * len(toxic) + pairs[order[flat], 0])
+    which, text = held // len(toxic), held % len(toxic)
+    a, b = np.bincount(which[toxic[text]], minlength=len(stems)), np.bincount(which[~toxic[text]], minlength=len(stems))
+    share = np.where((a >= need) & (b <= STEM_CLEAN * a), a / max(1, n_toxic), 0)
+    out = np.zeros(len(rows))
+    np.maximum.at(out, owner, share[at])
+    return out
+
+
 def _gapped(rows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Rows with one character that means nothing inserted somewhere between their letters."""
     n = np.minimum((rows > 0).sum(axis=1), rows.shape[1] - 1)
@@ -262,11 +312,15 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = 160, rounds: int
     bad = toxic[pairs[:, 0]]
     a = np.bincount(pairs[bad, 1], minlength=len(rows))
     b = np.bincount(pairs[~bad, 1], minlength=len(rows))
-    odds = a / max(1, toxic.sum()) / (b / max(1, (~toxic).sum()) + 0.5 / max(1, (~toxic).sum()))
-    value = np.where(b == 0, odds, 0)  # each toxic text's most typical unit stands for it, as often as it does so
-    typical = np.flatnonzero((b == 0) & (a >= max(6, 0.015 * toxic.sum())))
-    typical = typical[np.argsort(-a[typical], kind="stable")][:600]
-    positive, weight = _merged(_witnesses(pairs, toxic, value, np.full(len(rows), True)), typical, a)
+    for chance in CHANCES:
+        share = _stem_odds(rows, pairs, toxic, int(toxic[alone].sum()), int((~toxic)[alone].sum()), chance)
+        telling = (b == 0) & (share > 0)
+        if len(np.unique(pairs[bad & telling[pairs[:, 1]], 0])) >= 0.5 * toxic[alone].sum():
+            break
+    typical = np.flatnonzero(telling)
+    typical = typical[np.argsort(-share[typical], kind="stable")][:600]
+    # each toxic text's most telling unit stands for it, as often as it does so
+    positive, weight = _merged(_witnesses(pairs, toxic, share, telling), typical, a)
     if not len(positive):
         return Machine()
     clean = np.flatnonzero(b > 0)
@@ -283,8 +337,8 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = 160, rounds: int
         gapped = _gapped(rows[positive], rng)
         x = kernel(np.concatenate((rows[positive], gapped, rows[negative])), marks) @ root
         y = np.concatenate((np.ones(2 * len(positive)), -np.ones(len(negative))))
-        share = np.concatenate((0.3 * weight / weight.sum(), 0.2 * weight / weight.sum(), np.full(len(negative), 0.5 / len(negative))))
-        v, bias = hinge(x, y, share)
+        part = np.concatenate((0.3 * weight / weight.sum(), 0.2 * weight / weight.sum(), np.full(len(negative), 0.5 / len(negative))))
+        v, bias = hinge(x, y, part)
         alpha = root @ v
         machine = Machine(fold(alpha, marks), bias, landmarks=marks, alpha=alpha)
         value = score_units(rows, machine.weight, bias)
@@ -292,16 +346,15 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = 160, rounds: int
         worst = clean[np.argsort(-value[clean], kind="stable")][:1500]
         negative = np.unique(np.concatenate((worst, negative)))
         negative = rng.permutation(negative)
-        positive, weight = _merged(_witnesses(pairs, toxic, value, (b == 0) & (odds > 0)), typical, a)
-    best = np.full(len(texts), machine.bias - 1.0)
-    np.maximum.at(best, pairs[:, 0], value[pairs[:, 1]])
+        positive, weight = _merged(_witnesses(pairs, toxic, value, telling), typical, a)
+    best = pooled(pairs, value, len(texts), machine.bias - 1.0)
     best, toxic = best[alone], toxic[alone]
     if toxic.all() or not toxic.any():
         return Machine()
     p, q = np.median(best[toxic]), np.quantile(best[~toxic], 0.995)
-    # logistic by Newton steps on both classes at equal weight
+    # logistic by Newton steps; clean texts weigh three times as much as toxic ones
     z = np.stack((best, np.ones(len(best))), 1)
-    share = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
+    share = np.where(toxic, 0.25 / toxic.sum(), 0.75 / (~toxic).sum())
     c = np.array([1.0, -(p + q) / 2])
     for _ in range(60):
         pr = 1 / (1 + np.exp(-np.clip(z @ c, -30, 30)))
@@ -352,4 +405,5 @@ def drop_toxic(docs: DataFrame, machine: Machine, text_col: str = "text", thresh
         for batch, w in chunks(batches, text_col, CHUNK):
             yield batch.filter(pa.array(machine.logistic(machine.texts(w)) < threshold))
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
