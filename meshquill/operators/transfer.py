@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshquill.functions.linalg import Matrix, inverse
+from meshquill.functions.linalg import Matrix, determinant, inverse
 from meshquill.operators.mesh import Mesh
 from meshquill.operators.spline import POSITION, stencil
 
@@ -133,8 +133,8 @@ def _basis(m: list[Column]) -> list[Column]:
 def polypic_p2g(particles: DataFrame, mesh: Mesh, location: str, dt: float, mass: str = "m", state: str = "c", dim: int | None = None) -> DataFrame:
     """Momentum and mass from 8 x 3 modes: distances are first taken back by the inverse of I + dt * (rows 1 to 3)."""
     a = Matrix([[F.lit(1.0 if r == c else 0.0) + dt * _c(state, (1 + r) * 3 + c) for c in range(3)] for r in range(3)])
-    inv = inverse(a)
-    rows = particles.withColumn("_inv", inv.column())
+    # the determinant first, by itself: once per particle, not once per entry
+    rows = particles.withColumn("_det", determinant(a)).withColumn("_inv", inverse(a, F.col("_det")).column())
     rows = stencil(rows, mesh, location, 1, [mass, state, "_inv"], ("distance",))
     back = [sum((_c("_inv", r * 3 + e) * F.col(D[e]) for e in range(1, 3)), _c("_inv", r * 3) * F.col(D[0])) for r in range(3)]
     rows = rows.select(*mesh.axes, mass, state, "w", *(b.alias(f"m{r}") for r, b in enumerate(back)))

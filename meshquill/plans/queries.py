@@ -233,7 +233,6 @@ register(
     lambda s, d: PA.particles_uniform(s, _SMALL, 2, F.col("x") > 0.5),
     "select (i + 6 * (j + 5 * k)) * 8 + a + 2 * (b + 2 * c) as pid, i * 25e-2 + (a + 5e-1) * 125e-3 as x, j * 25e-2 + (b + 5e-1) * 125e-3 as y, k * 25e-2 + (c + 5e-1) * 125e-3 as z, 1953125e-9 as volume from range(6) as r1(i), range(5) as r2(j), range(4) as r3(k), range(2) as r4(a), range(2) as r5(b), range(2) as r6(c) where i * 25e-2 + (a + 5e-1) * 125e-3 > 5e-1",
 )
-_INSIDE = F.expr("bool_and(x >= i * 0.25D AND x < (i + 1) * 0.25D)")
 
 
 def _random(s: SparkSession, d: str) -> DataFrame:
@@ -259,7 +258,6 @@ register("particles_append", lambda s, d: PA.append(PA.particles_uniform(s, _SMA
 
 # Small dense algebra: the spec of each is (name, Spark value, SQL value) --------------------
 
-_E = F.col("e")
 
 
 def _e(n: int) -> str:
@@ -279,15 +277,15 @@ def algebra(name: str, value: Callable[[], LA._Values | list[Column]], sql: list
 
 
 def _m(n: int, m: int, at: int = 0) -> LA.Matrix:
-    return LA.Matrix.of(_E, n, m, at)
+    return LA.Matrix.of(F.col("e"), n, m, at)
 
 
 def _v(n: int, at: int) -> LA.Vector:
-    return LA.Vector.of(_E, n, at)
+    return LA.Vector.of(F.col("e"), n, at)
 
 
 def _q(at: int) -> LA.Quaternion:
-    return LA.Quaternion.of(_E, at)
+    return LA.Quaternion.of(F.col("e"), at)
 
 
 def _x(r: int, c: int, at: int = 0, m: int = 3) -> str:
@@ -344,9 +342,9 @@ algebra("la_diag", lambda: LA.diagonal(_v(3, 0)), [_e(r) if r == c else "0e0" fo
 algebra("la_permutation", lambda: LA.contract(LA.permutation(), _v(3, 0), 0), ["0e0", f"-{_e(2)}", _e(1), _e(2), "0e0", f"-{_e(0)}", f"-{_e(1)}", _e(0), "0e0"])
 for _k in range(3):
     _at = lambda i, j, s, k=_k: [(s, i, j), (i, s, j), (i, j, s)][k]
-    algebra(f"la_contract3_{_k}", lambda k=_k: LA.contract(LA.Tensor.of(_E, (3, 3, 3)), _v(3, 30), k), [" + ".join(f"{_e(_at(i, j, s)[0] * 9 + _at(i, j, s)[1] * 3 + _at(i, j, s)[2])} * {_e(30 + s)}" for s in _R3) for i in _R3 for j in _R3])
-algebra("la_contract4", lambda: LA.contract(LA.Tensor.of(_E, (2, 2, 2, 2)), _m(2, 2, 20)), [" + ".join(f"{_e(i * 8 + j * 4 + k * 2 + m)} * {_e(20 + k * 2 + m)}" for k in range(2) for m in range(2)) for i in range(2) for j in range(2)])
-algebra("la_slices", lambda: [*_m(3, 3).row(1).v, *_m(3, 3).col(2).v, *LA.Tensor.of(_E, (3, 3, 3)).matrix(2).v, *LA.Tensor.of(_E, (2, 2, 2, 2)).tensor3(1).v], [_x(1, c) for c in _R3] + [_x(r, 2) for r in _R3] + [_e(18 + n) for n in range(9)] + [_e(8 + n) for n in range(8)])
+    algebra(f"la_contract3_{_k}", lambda k=_k: LA.contract(LA.Tensor.of(F.col("e"), (3, 3, 3)), _v(3, 30), k), [" + ".join(f"{_e(_at(i, j, s)[0] * 9 + _at(i, j, s)[1] * 3 + _at(i, j, s)[2])} * {_e(30 + s)}" for s in _R3) for i in _R3 for j in _R3])
+algebra("la_contract4", lambda: LA.contract(LA.Tensor.of(F.col("e"), (2, 2, 2, 2)), _m(2, 2, 20)), [" + ".join(f"{_e(i * 8 + j * 4 + k * 2 + m)} * {_e(20 + k * 2 + m)}" for k in range(2) for m in range(2)) for i in range(2) for j in range(2)])
+algebra("la_slices", lambda: [*_m(3, 3).row(1).v, *_m(3, 3).col(2).v, *LA.Tensor.of(F.col("e"), (3, 3, 3)).matrix(2).v, *LA.Tensor.of(F.col("e"), (2, 2, 2, 2)).tensor3(1).v], [_x(1, c) for c in _R3] + [_x(r, 2) for r in _R3] + [_e(18 + n) for n in range(9)] + [_e(8 + n) for n in range(8)])
 algebra("la_normalize", lambda: _v(3, 0).normalized(), [f"{_e(n)} / sqrt({' + '.join(f'{_e(m)} * {_e(m)}' for m in _R3)})" for n in _R3])
 algebra("la_expression", lambda: 0.5 * (_m(3, 3) + ~_m(3, 3)) * _m(3, 3, 9), [" + ".join(f"5e-1 * ({_x(r, s)} + {_x(s, r)}) * {_x(s, c, 9)}" for s in _R3) for r in _R3 for c in _R3])
 algebra("quat_add_sub", lambda: [*(_q(0) + _q(4)).v, *(_q(0) - _q(4)).v], [f"{a} + {b}" for a, b in zip(_qa, _qb)] + [f"{a} - {b}" for a, b in zip(_qa, _qb)])

@@ -50,7 +50,7 @@ def cube(spark: SparkSession, low: float = 1.0, high: float = 3.0, global_id: in
     """Twelve facets of a box, as the STL reader gives them."""
     from meshquill.sources.stl import facet_normal
 
-    p = [[(high if n >> d & 1 else low) for d in range(3)] for n in range(8)]
+    p = [[float(high if n >> d & 1 else low) for d in range(3)] for n in range(8)]
     quads = [(0, 2, 3, 1), (4, 5, 7, 6), (0, 1, 5, 4), (2, 6, 7, 3), (0, 4, 6, 2), (1, 3, 7, 5)]
     rows = []
     for n, (a, b, c, d) in enumerate(quads):

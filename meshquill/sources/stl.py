@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from meshquill.functions.linalg import Vector
+from meshquill.sources.shared import checkpoint
 
 _NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
 
@@ -22,7 +23,7 @@ def read_stl(spark: SparkSession, path: str) -> DataFrame:
         text = spark.read.text(path, wholetext=True)
         _ = text.schema
         lines = text.select(F.posexplode(F.split("value", "\\r?\\n")).alias("line", "raw")).select("line", F.btrim("raw", F.lit(" \t\r")).alias("raw"))
-        words = lines.withColumn("w", F.split("raw", "[ \t]+")).cache()
+        words = checkpoint(lines.withColumn("w", F.split("raw", "[ \t]+")))
         bad = words.filter(_problem() != "").select(_problem().alias("p"), "raw").orderBy("line").first()
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
