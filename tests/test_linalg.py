@@ -68,7 +68,7 @@ def test_blocks(n):
 
 
 def test_svd_known(spark):
-    a = [9.0, 8, -2, -5, -3, -4, 6, 0, 9]
+    a = [9.0, 8.0, -2.0, -5.0, -3.0, -4.0, 6.0, 0.0, 9.0]
     r = spark.createDataFrame([(a,)], "a array<double>").select(A.svd(F.col("a")).alias("s")).first().s
     assert r.d == pytest.approx([14.7817842778, 9.84464467996, -0.762774336685])
     u, v = np.array(r.u).reshape(3, 3), np.array(r.v).reshape(3, 3)
