@@ -98,6 +98,16 @@ tok as (select doc_id, unnest(range(1, len(ws) + 1)) as p, unnest(ws) as word fr
 kept as (select doc_id, string_agg(word, ' ' order by p) as txt, count(*) as n from tok anti join gone using (doc_id, p) group by doc_id)
 select w.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(txt, '')) as kept_sha256
 from w left join kept using (doc_id)""",
+    "op5_near_dedup": rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') as ws from documents),
+sh as (select distinct doc_id, array_to_string(ws[i:i + 4], ' ') as g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 4, least(len(ws), 1)) + 1)) as i from w)),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+c as (select a.doc_id as x, b.doc_id as y, count(*) as c from sh as a join sh as b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+e as (select x, y from c join n as p on p.doc_id = x join n as q on q.doc_id = y where 100 * c >= 75 * (p.n + q.n - c)),
+l as (select x, y from e union all select y, x from e),
+r(node, reach) as (select doc_id, doc_id from documents union select r.node, l.y from r join l on l.x = r.reach),
+m as (select node, min(reach) as component_id from r group by node)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, component_id, w.doc_id = component_id as kept from w left join n using (doc_id) join m on m.node = w.doc_id""",
     "op6_topk_search": """
 with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e from embeddings
   where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
