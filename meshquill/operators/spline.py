@@ -7,6 +7,10 @@ over the axes; a gradient replaces one factor.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+from operator import mul
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +51,43 @@ def axis_gradients(order: int, f: Column, h: float) -> list[Column]:
     return [-0.5 * g * g / h, (1.5 * f * f - 2.0 * f) / h, (-1.5 * f * f + f + 0.5) / h, 0.5 * f * f / h]
 
 
+class Place:
+    """What a sum over a stencil may use: weight w, gradient g[d] and distance d[d] of one entity."""
+
+    def __init__(self, w: Column, g: list[Column], d: list[Column]):
+        self.w, self.g, self.d = w, g, d
+
+    @classmethod
+    def named(cls) -> Place:
+        """By the column names of stencil()."""
+        return cls(F.col("w"), [F.col(f"g{a}") for a in "ijk"], [F.col(f"d{a}") for a in "ijk"])
+
+
+def based(particles: DataFrame, mesh: Mesh, location: str, order: int, keep: list[str], members: tuple[str, ...], position: tuple[str, ...] = POSITION) -> tuple[DataFrame, list[tuple[list[int], Place]]]:
+    """One row per particle with its base index _b0.. and per-axis factors, and for every stencil entity its
+    offsets from the base and its Place over those columns."""
+    off, n = OFFSETS[location], mesh.dim
+    logical = [((F.col(position[d]) - mesh.low[d]) / mesh.cell_size[d] - off[d]).alias(f"_x{d}") for d in range(n)]
+    rows = particles.select(*keep, *logical)
+    rows = rows.select(*keep, *(f"_x{d}" for d in range(n)), *(axis_base(order, F.col(f"_x{d}")).cast("long").alias(f"_b{d}") for d in range(n)))
+    made = []
+    for d in range(n):
+        f = F.col(f"_x{d}") - F.col(f"_b{d}")
+        made += [w.alias(f"_w{d}_{t}") for t, w in enumerate(axis_weights(order, f))]
+        if "gradient" in members:
+            made += [g.alias(f"_g{d}_{t}") for t, g in enumerate(axis_gradients(order, f, mesh.cell_size[d]))]
+        if "distance" in members:
+            made += [((k - f) * mesh.cell_size[d]).alias(f"_d{d}_{t}") for t, k in enumerate(knots(order))]
+    rows = rows.select(*keep, *(f"_b{d}" for d in range(n)), *made)
+    places = []
+    for t in product(range(order + 1), repeat=n):
+        weight = [F.col(f"_w{d}_{t[d]}") for d in range(n)]
+        g = [reduce(mul, [F.col(f"_g{d}_{t[d]}") if e == d else weight[e] for e in range(n)]) for d in range(n)] if "gradient" in members else []
+        dist = [F.col(f"_d{d}_{t[d]}") for d in range(n)] if "distance" in members else []
+        places.append(([knots(order)[x] for x in t], Place(reduce(mul, weight), g, dist)))
+    return rows, places
+
+
 def stencil(particles: DataFrame, mesh: Mesh, location: str, order: int, keep: list[str], members: tuple[str, ...] = ("value",), position: tuple[str, ...] = POSITION) -> DataFrame:
     """One row per particle and stencil entity: the kept columns, i j k, w, and where asked for gi gj gk
     ("gradient"), di dj dk ("distance"). Indices wrap in periodic dimensions; entities outside the

@@ -1,7 +1,7 @@
 """Particle-to-grid scatter and grid-to-particle gather, and the affine and polynomial transfers.
 
-Scatter: explode the stencil, sum by entity; Spark combines on the map side, so what is shuffled is at
-most a row per task and entity touched. Gather: explode, join the field on its indices, sum by
+Scatter: sum by base index, deal the sums to entities, sum again; Spark combines on the map side, so what
+is shuffled is at most a row per task and entity touched. Gather: explode, join the field on its indices, sum by
 particle; a particle's stencil rows stay in one task, so the sum needs no more than a row per particle
 in the shuffle. A field is broadcast only where Spark's own size check allows.
 
@@ -11,22 +11,40 @@ transpose of B. Polynomial transfer: 8 x N modes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshquill.functions.linalg import Matrix, determinant, inverse
 from meshquill.operators.mesh import Mesh
-from meshquill.operators.spline import POSITION, stencil
+from meshquill.operators.spline import POSITION, Place, based, stencil
 
 G = ("gi", "gj", "gk")
 D = ("di", "dj", "dk")
 Sums = dict[str, Column]
-
-
-def scatter(particles: DataFrame, mesh: Mesh, location: str, order: int, sums: Sums, keep: list[str], members: tuple[str, ...] = ("value",), position: tuple[str, ...] = POSITION) -> DataFrame:
-    """Sum of each expression (over kept columns, w, g*, d*) by entity."""
-    rows = stencil(particles, mesh, location, order, keep, members, position)
-    return rows.groupBy(*mesh.axes).agg(*(F.sum(e).alias(n) for n, e in sums.items()))
+PlaceSums = dict[str, Callable[[Place], Column]]
+MOST_SUMS = 90  # columns of an aggregate that Spark still compiles as one
+
+
+def scatter(particles: DataFrame, mesh: Mesh, location: str, order: int, sums: PlaceSums, keep: list[str], members: tuple[str, ...] = ("value",), position: tuple[str, ...] = POSITION) -> DataFrame:
+    """Sum of each expression (over kept columns and a Place) by entity.
+
+    Particles are first summed by their base index, one sum for each stencil entity, so a particle is one
+    row and not (order + 1) ** dim; the far fewer sums are then dealt to entities. Where that takes more
+    sums than a compiled aggregate has room for, the stencil is exploded instead."""
+    n = (order + 1) ** mesh.dim
+    if n * len(sums) > MOST_SUMS:
+        rows = stencil(particles, mesh, location, order, keep, members, position)
+        return rows.groupBy(*mesh.axes).agg(*(F.sum(e(Place.named())).alias(name) for name, e in sums.items()))
+    rows, places = based(particles, mesh, location, order, keep, members, position)
+    base = [f"_b{d}" for d in range(mesh.dim)]
+    rows = rows.groupBy(*base).agg(*(F.sum(e(place)).alias(f"{name}__{t}") for t, (_, place) in enumerate(places) for name, e in sums.items()))
+    made = [F.struct(*((F.col(b) + o).alias(a) for a, b, o in zip(mesh.axes, base, offset)), *(F.col(f"{name}__{t}").alias(name) for name in sums)) for t, (offset, _) in enumerate(places)]
+    rows = rows.select(F.explode(F.array(*made)).alias("_p")).select(*(mesh.wrapped(d, location, F.col(f"_p.{a}")).cast("long").alias(a) for d, a in enumerate(mesh.axes)), *(F.col(f"_p.{name}").alias(name) for name in sums))
+    inside = mesh.inside(location)
+    rows = rows if inside is None else rows.filter(inside)
+    return rows.groupBy(*mesh.axes).agg(*(F.sum(name).alias(name) for name in sums))
 
 
 def gather(particles: DataFrame, mesh: Mesh, location: str, order: int, field: DataFrame, sums: Sums, key: str = "pid", members: tuple[str, ...] = ("value",), keep: tuple[str, ...] = (), position: tuple[str, ...] = POSITION) -> DataFrame:
@@ -67,25 +85,31 @@ def g2p_divergence(particles, mesh, location, order, field, value: str, **more)
 
 
 def p2g_value(particles, mesh, location, order, value: str, size: int = 1) -> DataFrame:
-    w = F.col("w")
-    sums = {"out": w * F.col(value)} if size == 1 else {f"out_{d}": w * _c(value, d) for d in range(size)}
+    sums = {"out": lambda p: p.w * F.col(value)} if size == 1 else {f"out_{d}": lambda p, d=d: p.w * _c(value, d) for d in range(size)}
     return scatter(particles, mesh, location, order, sums, [value])
 
 
 def p2g_gradient(particles, mesh, location, order, value: str) -> DataFrame:
-    return scatter(particles, mesh, location, order, {f"out_{d}": F.col(G[d]) * F.col(value) for d in range(mesh.dim)}, [value], ("gradient",))
+    return scatter(particles, mesh, location, order, {f"out_{d}": lambda p, d=d: p.g[d] * F.col(value) for d in range(mesh.dim)}, [value], ("gradient",))
 
 
 def p2g_divergence(particles, mesh, location, order, value: str, tensor: bool = False) -> DataFrame:
     """Of a vector: out. Of a row-major tensor T: out_i, the sum over j of T_ij times the j-th derivative."""
     n = mesh.dim
     if tensor:
-        sums = {f"out_{i}": sum((_c(value, i * n + j) * F.col(G[j]) for j in range(1, n)), _c(value, i * n) * F.col(G[0])) for i in range(n)}
+        sums = {f"out_{i}": lambda p, i=i: _dot([_c(value, i * n + j) for j in range(n)], p.g) for i in range(n)}
     else:
-        sums = {"out": sum((F.col(G[d]) * _c(value, d) for d in range(1, n)), F.col(G[0]) * _c(value, 0))}
+        sums = {"out": lambda p: _dot([_c(value, d) for d in range(n)], p.g)}
     return scatter(particles, mesh, location, order, sums, [value], ("gradient",))
 
 
+def _dot(a: list[Column], b: list[Column]) -> Column:
+    out = a[0] * b[0]
+    for x, y in zip(a[1:], b[1:]):
+        out = out + x * y
+    return out
+
+
 # Affine transfer ------------------------------------------------------------
 
 
@@ -94,22 +118,19 @@ def inertial_scaling(order: int, h: float) -> float:
     return {2: 4.0, 3: 3.0}[order] / (h * h)
 
 
-def _affine_momentum(mesh: Mesh, order: int, mass: Column, state: str, d: int) -> Column:
-    n = 3
-    u = _c(state, d)
+def _affine_momentum(p: Place, mesh: Mesh, order: int, mass: Column, state: str, d: int) -> Column:
+    bend = [_c(state, (1 + e) * 3 + d) for e in range(3)]
     if order == 1:
-        bend = sum((_c(state, (1 + e) * n + d) * (mass * F.col(G[e])) for e in range(1, n)), _c(state, n + d) * (mass * F.col(G[0])))
-        return F.col("w") * mass * u + bend
-    bend = sum((_c(state, (1 + e) * n + d) * F.col(D[e]) for e in range(1, n)), _c(state, n + d) * F.col(D[0]))
-    return F.col("w") * mass * (u + inertial_scaling(order, mesh.cell_size[0]) * bend)
+        return p.w * mass * _c(state, d) + _dot(bend, [mass * g for g in p.g])
+    return p.w * mass * (_c(state, d) + inertial_scaling(order, mesh.cell_size[0]) * _dot(bend, p.d))
 
 
 def apic_p2g(particles: DataFrame, mesh: Mesh, location: str, order: int, mass: str = "m", state: str = "c", dim: int | None = None) -> DataFrame:
     """Grid momentum mu_0.. and mass. dim: staggered, only that component, at a location of its own."""
     need = ("gradient",) if order == 1 else ("distance",)
     which = range(3) if dim is None else [dim]
-    sums = {(f"mu_{d}" if dim is None else "mu"): _affine_momentum(mesh, order, F.col(mass), state, d) for d in which}
-    return scatter(particles, mesh, location, order, sums | {"mass": F.col("w") * F.col(mass)}, [mass, state], need)
+    sums = {(f"mu_{d}" if dim is None else "mu"): lambda p, d=d: _affine_momentum(p, mesh, order, F.col(mass), state, d) for d in which}
+    return scatter(particles, mesh, location, order, sums | {"mass": lambda p: p.w * F.col(mass)}, [mass, state], need)
 
 
 def apic_g2p(particles: DataFrame, mesh: Mesh, location: str, order: int, field: DataFrame, value: str = "u", key: str = "pid", dim: int | None = None) -> DataFrame:

@@ -82,11 +82,11 @@ def regularized(phi, h: float):
 
 def heat_step(p: DataFrame, mesh: Mesh, dt: float, conductivity: float, capacity: float, phi: DataFrame, source: float) -> DataFrame:
     """Internal energy by diffusion and a surface source. p: pid, x, y, z, m, v, e; phi: i, j, k, phi. Returns pid, e."""
-    grid = transfer.scatter(p, mesh, "node", 2, {"mass": F.col("w") * F.col("m"), "me": F.col("w") * F.col("m") * F.col("e")}, ["m", "e"])
+    grid = transfer.scatter(p, mesh, "node", 2, {"mass": lambda q: q.w * F.col("m"), "me": lambda q: q.w * F.col("m") * F.col("e")}, ["m", "e"])
     grid = grid.filter("mass > 0").select("i", "j", "k", "mass", (F.col("me") / F.col("mass")).alias("mean")).join(phi.select("i", "j", "k", regularized(F.col("phi"), mesh.cell_size[0]).alias("soft")), ["i", "j", "k"])
     at = transfer.gather(p, mesh, "node", 2, grid, {"soft_p": F.col("w") * F.col("soft")} | {f"slope{d}": F.col(g) * F.col("mean") for d, g in enumerate(transfer.G)}, members=("gradient",), keep=("x", "y", "z", "v", "e"))
     at = at.withColumn("s", F.when(F.abs("soft_p") <= 0.45, source).otherwise(0.0))
-    gain = F.col("v") * (F.col("w") * F.col("s") - conductivity / capacity * (F.col("slope0") * F.col("gi") + F.col("slope1") * F.col("gj") + F.col("slope2") * F.col("gk")))
+    gain = lambda q: F.col("v") * (q.w * F.col("s") - conductivity / capacity * (F.col("slope0") * q.g[0] + F.col("slope1") * q.g[1] + F.col("slope2") * q.g[2]))
     change = transfer.scatter(at, mesh, "node", 2, {"gain": gain}, ["v", "s", "slope0", "slope1", "slope2"], ("gradient",))
     rise = grid.join(change, ["i", "j", "k"]).select("i", "j", "k", (dt * F.col("gain") / F.col("mass")).alias("rise"))
     up = transfer.g2p_value(p, mesh, "node", 2, rise, "rise", keep=("e",))
@@ -96,7 +96,7 @@ def heat_step(p: DataFrame, mesh: Mesh, dt: float, conductivity: float, capacity
 def flip_step(p: DataFrame, mesh: Mesh, dt: float, gravity: tuple[float, float, float], blend: float = 1.0) -> DataFrame:
     """Explicit step that gives particles the grid's velocity change (blend 1) or its velocity (0).
     p: pid, x, y, z, m, u (array of 3)."""
-    sums = {"mass": F.col("w") * F.col("m")} | {f"mu{d}": F.col("w") * F.col("m") * F.col("u")[d] for d in range(3)}
+    sums = {"mass": lambda q: q.w * F.col("m")} | {f"mu{d}": lambda q, d=d: q.w * F.col("m") * F.col("u")[d] for d in range(3)}
     grid = transfer.scatter(p, mesh, "node", 1, sums, ["m", "u"]).filter("mass > 0")
     old = [F.col(f"mu{d}") / F.col("mass") for d in range(3)]
     grid = grid.select("i", "j", "k", F.array(*old, *(o + dt * g for o, g in zip(old, gravity))).alias("both"))
