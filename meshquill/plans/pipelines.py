@@ -120,11 +120,10 @@ def rotating_disk(spark: SparkSession, facets: DataFrame, box_id: int, mesh: Mes
 
 
 def _ev(s: SparkSession, d: str) -> DataFrame:
-    e = FX.particles_ev(s, d).filter("x > 2 AND x < 8 AND y > 1 AND y < 5")
-    return e.withColumn("m", (F.col("pid") % 7 + 1).cast("double"))
+    return FX.particles_ev(s, d).withColumn("m", (F.col("pid") % 7 + 1).cast("double"))
 
 
-_EVM = f"{Q.EV}, p as (select *, cast(pid % 7 + 1 as double) as m from ev where x > 2 and x < 8 and y > 1 and y < 5)"
+_EVM = f"{Q.EV}, p as (select *, cast(pid % 7 + 1 as double) as m from ev)"
 
 
 def _incompressible(s: SparkSession, d: str) -> DataFrame:

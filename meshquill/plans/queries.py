@@ -454,11 +454,10 @@ register("color_filter", lambda s, d: LS.of_color(FX.particles_ev(s, d).withColu
 
 
 def _nearest(s: SparkSession, d: str) -> DataFrame:
-    few = FX.particles_ev(s, d).filter("x < 3 AND y < 3")
-    return rounded(LS.estimate_distance(few, FX.MESH, "node", 0.5), 3)
+    return rounded(LS.estimate_distance(FX.particles_ev(s, d), FX.MESH, "node", 0.5), 3)
 
 
-register("nearest_distance", _nearest, f"with {Q.EV}, f as (select distinct x, y, z from ev where x < 3 and y < 3), {_ENTITIES.format(17, 9, 9)} select i, j, k, round(cast(cast(min(sqrt(cast((x - i) * (x - i) + (y - j) * (y - j) + (z - k) * (z - k) as float))) as float) - cast(5e-1 as float) as double), 3) + 0e0 as distance_estimate from e, f group by i, j, k")
+register("nearest_distance", _nearest, f"with {Q.EV}, f as (select distinct x, y, z from ev), {_ENTITIES.format(17, 9, 9)} select i, j, k, round(cast(cast(min(sqrt(cast((x - i) * (x - i) + (y - j) * (y - j) + (z - k) * (z - k) as float))) as float) - cast(5e-1 as float) as double), 3) + 0e0 as distance_estimate from e, f group by i, j, k")
 _CUBE = ME.Mesh((16,) * 3, (0.0,) * 3, (0.0625,) * 3, (True,) * 3, halo=4)
 
 
