@@ -184,10 +184,24 @@ def _disk(s: SparkSession, d: str) -> DataFrame:
 _DISK_SQL = """with e as (select i, j, k, abs(-225e-2 + i * 25e-2) as x, abs(-225e-2 + j * 25e-2) as y, abs(-225e-2 + k * 25e-2) as z from range(19) as a(i), range(19) as b(j), range(19) as c(k))
 select i, j, k, greatest(x, y, z) < 6e-1 as inside from e where greatest(x, y, z) < 6e-1 or (greatest(x, y, z) > 11e-1 and greatest(x, y, z) < 13e-1 and (x < 6e-1)::int + (y < 6e-1)::int + (z < 6e-1)::int >= 2)"""
 
+
+
+def _correction_sql() -> str:
+    at = lambda source, order, location, select: f"(with {Q.stencil(source, order, location)} {select})"
+    return f"""with {_EVM}, rho as {at('p', 1, 'cell', 'select i, j, k, sum(w * m) as rho from s group by i, j, k')},
+fil as {at('p', 0, 'cell', 'select i, j, k, sum(w) as f from s group by i, j, k')},
+c as (select rho.i, rho.j, rho.k, case when coalesce(f, 0) > 0 or rho.i in (0, 15) or rho.j in (0, 7) or rho.k in (0, 7) then rho else greatest(rho, 4e0) end as r from rho left join fil on rho.i = fil.i and rho.j = fil.j and rho.k = fil.k),
+pu as (select i, j, k, 3125e-5 * (1 - r / 4e0) as push from c),
+nd as (select a.i as ni, b.j as nj, c.k as nk, cast(a.i as double) as x, cast(b.j as double) as y, cast(c.k as double) as z from range(17) as a(i), range(9) as b(j), range(9) as c(k)),
+sh as {at('nd', 1, 'cell', 'select ni, nj, nk, sum(-gi * push) as s0, sum(-gj * push) as s1, sum(-gk * push) as s2 from s join pu using (i, j, k) group by ni, nj, nk')},
+q as {at('p', 2, 'node', 'select pid, i, j, k, w from s')}
+select pid, {', '.join(f'round(sum(w * s{e}), 6) + 0e0 as d{x}' for e, x in enumerate('xyz'))} from q join sh on i = ni and j = nj and k = nk group by pid"""
+
+
 PIPELINES = {
     "step_incompressible": (_incompressible, _incompressible_sql()),
     "step_flip": (_flip, _flip_sql()),
     "step_heat": (_heat, _heat_sql()),
     "step_rotating_disk": (_disk, _DISK_SQL),
-    "step_position_correction": (lambda s, d: position_correction(_ev(s, d), FX.MESH, 0.125, 4.0, 8.0).select("pid", *((F.round(c, 6) + 0.0).alias(c) for c in ("dx", "dy", "dz"))), None),
+    "step_position_correction": (lambda s, d: position_correction(_ev(s, d), FX.MESH, 0.125, 4.0, 8.0).select("pid", *((F.round(c, 6) + 0.0).alias(c) for c in ("dx", "dy", "dz"))), _correction_sql()),
 }
