@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshquill.llm.shared import materialise, new_path, partitions, text_rows
-from meshquill.llm.words import bytes_of, chunks, equal_ranges, gather, hash_strings
+from meshquill.llm.words import bytes_of, chunks, equal_ranges, gather, hash_strings, trim
 
 SHARD_IDS = 2_000_000
 CHUNK = 16 << 20  # the larger, the fewer times a word is encoded
@@ -241,8 +241,10 @@ def write_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     order = [r.id for r in sorted(found, key=lambda r: (-r.n, r.id))]
     rank = np.zeros(max(order, default=0) + 1, np.uint32)
     rank[order] = np.arange(len(order))
+    del found
     spark.createDataFrame([(i, x) for i, x in enumerate(order)], "rank int, id int").coalesce(1).write.parquet(f"{path}/vocab")
     ids.repartitionByRange(partitions(spark), "doc_id", "key").sortWithinPartitions("doc_id", "key").mapInArrow(_shards(rank, kind), SHARD).write.option("compression", "none").parquet(f"{path}/shards")
+    trim()
     return path
 
 

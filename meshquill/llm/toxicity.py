@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshquill.llm.shared import bound_batches, text_rows
-from meshquill.llm.words import LOWER, bytes_of, chunks, gather, mix, words_of
+from meshquill.llm.words import LOWER, bytes_of, chunks, gather, mix, trim, words_of
 
 LENGTH, SPAN, DECAY = 4, 7, 0.7
 LONGEST = 24  # characters of a unit; longer words come in pieces that overlap by half
@@ -228,6 +228,20 @@ def _witnesses(pairs: np.ndarray, toxic: np.ndarray, value: np.ndarray, may: np.
     return found, n.astype(np.float64)
 
 
+def _all_units(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct units of many texts, and which text has which; a few texts at a time, for memory."""
+    number: dict[bytes, int] = {}
+    pairs = []
+    for lo in range(0, len(texts), 200):
+        rows, own = units(words_of(*bytes_of(pa.array(texts[lo : lo + 200], pa.string()))))
+        at = np.array([number.setdefault(r.tobytes(), len(number)) for r in rows], np.int64)
+        both = np.unique((own[:, 0] + lo) << 32 | at[own[:, 1]]) if len(own) else np.zeros(0, np.int64)
+        pairs.append(both)
+    rows = np.frombuffer(b"".join(number), np.uint8).reshape(-1, LONGEST + 1)
+    flat = np.concatenate(pairs)
+    return rows, np.stack((flat >> 32, flat & 0xFFFFFFFF), 1)
+
+
 def _distinct(pairs: np.ndarray, count: int) -> np.ndarray:
     """Which texts to learn from: of near copies (by three pairs of minima over their units) the first."""
     minima = np.full((6, count), np.iinfo(np.uint64).max, np.uint64)
@@ -241,28 +255,39 @@ def _distinct(pairs: np.ndarray, count: int) -> np.ndarray:
     return keep
 
 
-def _stem_odds(rows: np.ndarray, pairs: np.ndarray, toxic: np.ndarray, n_toxic: int, n_clean: int, chance: float) -> np.ndarray:
-    """For every unit how telling its best stem is (some signs in a row; stems, as units of one family are
-    few each): the share of toxic texts that hold it, 0 where that may be chance. A stem tells if the
-    toxic texts that hold it could be drawn so by chance less than once in `chance`, and hardly a clean one does."""
-    wide = rows.astype(np.int64)
-    codes, owner = [], []
+def _stems(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(which rows, their stem's code) for every place."""
     for stem in STEMS:
         for i in range(rows.shape[1] - stem + 1):
-            some = np.flatnonzero((wide[:, i : i + stem] > 0).all(axis=1))
+            some = np.flatnonzero((rows[:, i : i + stem] > 0).all(axis=1))
             code = np.full(len(some), stem, np.int64)
             for k in range(stem):
-                code = code << BITS | wide[some, i + k]
-            codes.append(code), owner.append(some)
-    code, owner = np.concatenate(codes), np.concatenate(owner)
+                code = code << BITS | rows[some, i + k]
+            yield some, code
+
+
+def _stem_odds(rows: np.ndarray, pairs: np.ndarray, toxic: np.ndarray, n_toxic: int, n_clean: int, chance: float) -> np.ndarray:
+    """For every unit how telling its best stem is (some signs in a row; stems, as units of one family are
+    few each): the share of toxic texts that hold it, 0 where that may be chance. A stem tells if the
+    toxic texts that hold it could be drawn so by chance less than once in `chance`, and hardly a clean one does."""
     bad = toxic[pairs[:, 0]]
-    a, b = np.bincount(pairs[bad, 1], minlength=len(rows)), np.bincount(pairs[~bad, 1], minlength=len(rows))
-    stems, at = np.unique(code, return_inverse=True)
+    a = np.bincount(pairs[bad, 1], minlength=len(rows))
     need = np.log(chance) / np.log((n_toxic + n_clean) / max(1, n_toxic))  # toxic texts in a row
-    # no text is counted more often than its units are: what fails on those can't pass on texts
-    may = np.bincount(at, weights=a[owner], minlength=len(stems)) >= need
-    keep = may[at]
-    at, owner = at[keep], owner[keep]
+    # first stems of units of toxic texts; no text is counted more often than its units are, so what fails on those can't pass on texts
+    mine = np.flatnonzero(a > 0)
+    found = [(code, a[mine[some]]) for some, code in _stems(rows[mine])]
+    stems, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+    stems = stems[np.bincount(at, weights=np.concatenate([n for _, n in found]), minlength=len(stems)) >= need]
+    del found, at
+    out = np.zeros(len(rows))
+    if not len(stems):
+        return out
+    ats, owners = [], []
+    for some, code in _stems(rows):  # then those stems wherever they are
+        at = np.minimum(np.searchsorted(stems, code), len(stems) - 1)
+        hit = stems[at] == code
+        ats.append(at[hit]), owners.append(some[hit])
+    at, owner = np.concatenate(ats), np.concatenate(owners)
     order = np.argsort(pairs[:, 1], kind="stable")
     begin = np.searchsorted(pairs[order, 1], np.arange(len(rows) + 1))
     n = np.diff(begin)[owner]
@@ -271,7 +296,6 @@ def _stem_odds(rows: np.ndarray, pairs: np.ndarray, toxic: np.ndarray, n_toxic:
     which, text = held // len(toxic), held % len(toxic)
     a, b = np.bincount(which[toxic[text]], minlength=len(stems)), np.bincount(which[~toxic[text]], minlength=len(stems))
     share = np.where((a >= need) & (b <= STEM_CLEAN * a), a / max(1, n_toxic), 0)
-    out = np.zeros(len(rows))
     np.maximum.at(out, owner, share[at])
     return out
 
@@ -299,12 +323,9 @@ def _merged(found: tuple[np.ndarray, np.ndarray], typical: np.ndarray, a: np.nda
 def train(texts: list[str], toxic: np.ndarray, landmarks: int = 160, rounds: int = 3) -> Machine:
     if not len(texts) or toxic.all() or not toxic.any():
         return Machine()
-    w = words_of(*bytes_of(pa.array(texts, pa.string())))
-    rows, pairs = units(w)
+    rows, pairs = _all_units(texts)
     if not len(rows):
         return Machine()
-    rows, back = np.unique(rows, axis=0, return_inverse=True)
-    pairs = np.unique(np.stack((pairs[:, 0], back.ravel()[pairs[:, 1]]), 1), axis=0)
     long_enough = (rows > 0).sum(axis=1) >= LENGTH
     pairs = pairs[long_enough[pairs[:, 1]]]
     alone = _distinct(pairs, len(texts))
@@ -380,7 +401,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     share = F.when(F.col("__label") == 1, F.lit(min(1.0, per_class / count.get(1, 1)))).otherwise(F.lit(min(1.0, 2 * per_class / count.get(0, 1))))
     chosen = seen.filter(unit < share)  # about 3 * per_class rows
     rows = text_rows(docs, id_col, text_col).join(F.broadcast(chosen), "__id").select("__id", "__text", "__label").orderBy("__id", F.xxhash64("__text")).collect()
-    return train([r["__text"] for r in rows], np.array([r["__label"] == 1 for r in rows], bool))
+    machine = train([r["__text"] for r in rows], np.array([r["__label"] == 1 for r in rows], bool))
+    del rows
+    trim()
+    return machine
 
 
 def _score(machine: Machine):
