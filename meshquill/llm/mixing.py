@@ -32,6 +32,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 LANES = 1024
 BLOCK = 64
 SHARD_SLOTS = 65_536
+MOST_SHARDS = 20_000  # beyond, shards grow: the counts are drawn on the driver
+BATCH_SLOTS = 1 << 18
 
 
 def size_of(text: Column) -> Column:
@@ -106,15 +108,14 @@ def _slots(size: np.ndarray, owed: list[tuple[int, int]], block: int, seed: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, s, n, first in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                blocks = -(-int(size[s]) // block)
-                k = first + np.arange(n)
-                turn = k // blocks
-                at = permuted(k % blocks, blocks, seed * 1_000_003 + s)
-                words = np.minimum(block, size[s] - at * block)
-                last = owed[s]
-                words[k == last[0]] = last[1]
-                keep = k <= last[0]
-                yield pa.record_batch([pa.array(np.full(int(keep.sum()), shard), pa.int32()), pa.array(np.flatnonzero(keep), pa.int32()), pa.array(np.full(int(keep.sum()), s), pa.int32()), pa.array(at[keep]), pa.array(turn[keep], pa.int32()), pa.array(words[keep], pa.int32())], ["shard", "slot", "source_id", "block", "turn", "words"])
+                blocks, last = -(-int(size[s]) // block), owed[s]
+                for lo in range(0, n, BATCH_SLOTS):
+                    slot = np.arange(lo, min(n, lo + BATCH_SLOTS))
+                    k = first + slot
+                    at = permuted(k % blocks, blocks, seed * 1_000_003 + s)
+                    words = np.minimum(block, size[s] - at * block)
+                    words[k == last[0]] = last[1]
+                    yield pa.record_batch([pa.array(np.full(len(k), shard), pa.int32()), pa.array(slot, pa.int32()), pa.array(np.full(len(k), s), pa.int32()), pa.array(at), pa.array(k // blocks, pa.int32()), pa.array(words, pa.int32())], ["shard", "slot", "source_id", "block", "turn", "words"])
 
     return run
 
@@ -168,6 +169,7 @@ def mix_sources(
     pieces = placed.filter("size > 0").select("doc_id", "__key", "__copy", "source_id", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block"))
     lo = F.greatest("at", F.col("block") * block)
     pieces = pieces.select("doc_id", "__key", "__copy", "source_id", "block", (lo - F.col("at")).alias("first"), (lo - F.col("block") * block).cast("int").alias("skip"), (F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - lo).cast("int").alias("n"))
+    shard_slots = max(shard_slots, -(-int(slots.sum()) // MOST_SHARDS))
     drawn = spark.createDataFrame(draw(slots, seed, shard_slots), "shard int, source_id int, n int, first long").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "source_id")
     drawn = drawn.mapInArrow(_slots(size, owed, block, seed), "shard int, slot int, source_id int, block long, turn int, words int")
     # without the hint the few drawn rows pass for a small side, though each becomes thousands of slots

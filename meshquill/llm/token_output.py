@@ -2,8 +2,8 @@
 
 File format (a folder; every part is written by Spark, so a lost executor's part is simply redone):
   vocab/   one row per id: rank, id. Rank 0 is the id that is commonest over all documents.
-  shards/  one row per shard: part, seq (their order is the order of documents), doc_ids and n_tokens
-           of its documents, n_ids, control, data. Four ranks share a control byte, two bits each
+  shards/  one row per shard: part, seq (their order is the order of documents), before (ids of its
+           part before it), doc_ids and n_tokens of its documents, n_ids, control, data. Four ranks share a control byte, two bits each
            (bytes less one, lowest bits first); data holds the ranks' low bytes, little-endian.
            The last control byte is filled with zero ranks.
 Reading looks the four lengths of every control byte up in a table of 256 rows.
@@ -195,7 +195,7 @@ def _count(kind: str):
 
 def _shards(rank: np.ndarray, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, docs, counts, held = TaskContext.get().partitionId(), 0, [], [], []
+        part, seq, before, docs, counts, held = TaskContext.get().partitionId(), 0, 0, [], [], []
 
         def shard():
             n = np.concatenate(counts)
@@ -203,8 +203,8 @@ def _shards(rank: np.ndarray, kind: str):
             control, data = pack(rank[ids])
             doc = pa.concat_arrays(docs)
             return pa.record_batch(
-                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(doc)], pa.int32()), doc), pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), pa.array(n, pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([control], pa.binary()), pa.array([data], pa.binary())],
-                ["part", "seq", "doc_ids", "n_tokens", "n_ids", "control", "data"],
+                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(doc)], pa.int32()), doc), pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), pa.array(n, pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([control], pa.binary()), pa.array([data], pa.binary())],
+                ["part", "seq", "before", "doc_ids", "n_tokens", "n_ids", "control", "data"],
             )
 
         for batch in batches:
@@ -220,6 +220,7 @@ def _shards(rank: np.ndarray, kind: str):
                 lo = hi
                 if sum(map(len, held)) >= SHARD_IDS or lo < batch.num_rows:
                     yield shard()
+                    before += sum(map(len, held))
                     seq, docs, counts, held = seq + 1, [], [], []
         if docs:
             yield shard()
@@ -227,7 +228,7 @@ def _shards(rank: np.ndarray, kind: str):
     return run
 
 
-SHARD = "part int, seq int, doc_ids array<long>, n_tokens array<long>, n_ids long, control binary, data binary"
+SHARD = "part int, seq int, before long, doc_ids array<long>, n_tokens array<long>, n_ids long, control binary, data binary"
 
 
 def write_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", end_id: int | None = 2) -> str:
@@ -267,10 +268,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Documents of a written folder: doc_id, start, n_tokens, ids_crc32 and ids (little-endian unsigned 32-bit)."""
     vocab = spark.read.parquet(f"{path}/vocab").orderBy("rank").collect()  # bounded by the vocabulary
     shards = spark.read.schema(SHARD).parquet(f"{path}/shards")
-    sizes = sorted((r.part, r.seq, r.n_ids) for r in shards.select("part", "seq", "n_ids").collect())  # a row per shard
+    sizes = sorted(shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())  # a row per part: as many as shuffle partitions
     begin, starts = 0, []
-    for part, seq, n in sizes:
-        starts.append((part, seq, begin))
+    for part, n in sizes:
+        starts.append((part, begin))
         begin += n
-    starts = spark.createDataFrame(starts, "part int, seq int, begin long")
-    return shards.join(F.broadcast(starts), ["part", "seq"]).mapInArrow(_documents(np.array([r.id for r in vocab], np.uint32)), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    starts = spark.createDataFrame(starts, "part int, start long")
+    return shards.join(F.broadcast(starts), "part").withColumn("begin", F.col("start") + F.col("before")).drop("start").mapInArrow(_documents(np.array([r.id for r in vocab], np.uint32)), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
