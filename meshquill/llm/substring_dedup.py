@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshquill.llm.shared import partitions, text_rows
-from meshquill.llm.words import C, chunks, equal_ranges, gather, mix, ngram_hash, sliding_min, words_of
+from meshquill.llm.words import C, chunks, equal_ranges, gather, mix, ngram_hash, sliding_min, trim, words_of
 
 BINS = 1 << 13
 BUCKET_WINDOWS = 1_500_000  # aimed at; a bucket is worked through in PARTS, so this bounds packed bytes only
@@ -234,11 +234,14 @@ def _receive(window: int):
                     for got in _bucket(held, window):
                         yield out(*got)
                     held = []
+                    trim()
                 now = bucket
                 held.append(blob)
         if held:
             for got in _bucket(held, window):
                 yield out(*got)
+        del held
+        trim()
 
     return run
 

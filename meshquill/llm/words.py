@@ -22,6 +22,7 @@ _rng = np.random.Generator(np.random.PCG64(20240501))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _POWER = _rng.integers(1, 2**63, 1024, dtype=np.uint64) | np.uint64(1)
 C = np.uint64(0x9E3779B97F4A7C15)
+BLOCK_WORDS = 1 << 16
 
 
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -36,13 +37,20 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def hash_strings(body: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Hashes of non-empty byte strings laid end to end."""
+    """Hashes of non-empty byte strings laid end to end; a block of them at a time, for memory."""
+    out = np.empty(len(length), np.uint64)
     first = np.cumsum(length) - length
-    at = np.arange(len(body), dtype=np.int32) - np.repeat(first.astype(np.int32), length)
-    at &= 1023
-    value = _BYTE[body]
-    value *= _POWER[at]
-    return mix(np.add.reduceat(value, first) + length.astype(np.uint64))
+    for lo in range(0, len(length), BLOCK_WORDS):
+        n = length[lo : lo + BLOCK_WORDS]
+        begin = first[lo : lo + BLOCK_WORDS] - first[lo]
+        part = body[first[lo] : first[lo] + begin[-1] + n[-1]]
+        at = np.arange(len(part), dtype=np.int32) - np.repeat(begin.astype(np.int32), n)
+        at &= 1023
+        value = _BYTE[part]
+        value *= _POWER[at]
+        out[lo : lo + BLOCK_WORDS] = np.add.reduceat(value, begin)
+        out[lo : lo + BLOCK_WORDS] += n.astype(np.uint64)
+    return mix(out)
 
 
 def equal_ranges(a: np.ndarray, b: np.ndarray, a_at: np.ndarray, b_at: np.ndarray, length: np.ndarray) -> np.ndarray:
