@@ -168,7 +168,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) ->
             hi = min(hi, batch.num_rows)
             yield batch.slice(lo, hi - lo), words_of(buf[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
             lo = hi
-    trim()
+        del buf
+        trim()
 
 
 def ngram_hash(h: np.ndarray, n: int) -> np.ndarray:
