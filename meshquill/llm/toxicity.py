@@ -1,13 +1,15 @@
 """Toxicity by a support vector machine on a gap-weighted subsequence string kernel, with Nystroem landmarks.
 
-What is judged are units: the words of a text (pieces of long ones, overlapping) and runs of
-single-character words taken together, so that spelled-out insults count. The kernel compares all
-subsequences of LENGTH letters within SPAN characters, each weighing DECAY ** span, divided by a
-norm that depends on a unit's length alone; inserted characters, gaps and signs only lower a weight.
+What is judged are units: the letters of the words of a text (pieces of long ones, overlapping) and of
+runs of words with at most one letter, taken together, so that spelled-out insults count. What is no
+letter (signs, digits, format characters, of any number of bytes) has no place in a unit, so any number
+of them between an insult's letters changes nothing. The kernel compares all subsequences of LENGTH
+letters within SPAN of them, each weighing DECAY ** span, divided by a norm that depends on a unit's
+length alone; inserted letters only lower a weight.
 A unit's Nystroem features against m landmarks are K_mm^(-1/2) k_m(unit); a linear hinge-loss machine
 on them is trained on the units of labelled sentences, multiple-instance style: every unit of a clean
 text is a negative, and the units typical of toxic texts (then each toxic text's best-scoring unit)
-are the positives, each also with a meaningless character inserted. A text's score is a logistic function, fitted on texts, of its few highest units.
+are the positives, each also with one, two and three meaningless letters inserted. A text's score is a logistic function, fitted on texts, of its few highest units.
 
 The trained machine is a weighted sum of kernels, and the kernel is an inner product of finite
 feature vectors, so it folds into one table of weights by subsequence; scoring looks subsequences up
@@ -19,7 +21,10 @@ labelled text of either class every score is 0.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -38,26 +43,49 @@ STEMS = (5, 8)  # signs of a stem
 STEM_CLEAN = 0.1  # clean texts that may hold a telling stem, for each toxic one
 TOP, HEAT = 3, 0.5  # a text's value: HEAT times the log of the summed exponentials of its TOP highest units over HEAT
 CHANCES = (1e7, 1e5, 1e3, 30, 2)  # how unlikely chance must be for a stem to tell: lowered until half of the toxic texts hold one
-# 1..26 letters, 27..30 other letters by their last byte, 31 a unit's start, 0 anything else, 255 the first byte of a longer character (no sign of its own)
+# 1..26 letters, 27..30 other letters by their last byte, 31 a unit's start, 0 no letter (or a byte of one before its last)
 _SIGN = np.zeros(256, np.uint8)
 _SIGN[97:123] = np.arange(1, 27)
-_SIGN[128:192] = 27 + np.arange(64) % 4
-_SIGN[192:] = 255
+_INSERTED = (1, 2, 3)  # letters, in the altered positives
 _PLACES = [(0, *rest) for rest in combinations(range(1, SPAN), LENGTH - 1)]
 
 
+@cache
+def _letters() -> np.ndarray:
+    """By code point: whether it is a letter, or a mark that scripts of Asia spell with. Accents set apart are none."""
+    kind = [unicodedata.category(chr(x)) for x in range(sys.maxunicode + 1)]
+    return np.array([k[0] == "L" or (k in ("Mn", "Mc") and 0x900 <= x < 0x1A00) for x, k in enumerate(kind)])
+
+
+def letter_signs(body: np.ndarray) -> np.ndarray:
+    """For every byte of lower-cased UTF-8 its sign; a letter of several bytes has it at its last."""
+    sign = _SIGN[body]
+    lead = np.flatnonzero(body >= 0xC0)
+    if len(lead):
+        b = body[lead].astype(np.int32)
+        more = 1 + (b >= 0xE0) + (b >= 0xF0)
+        point = b & np.array([0, 0x1F, 0x0F, 0x07])[more]
+        for k in (1, 2, 3):
+            at = np.minimum(lead + k, len(body) - 1)
+            point = np.where(more >= k, point << 6 | (body[at] & 0x3F), point)
+        last = lead + more
+        ok = (last < len(body)) & (point <= sys.maxunicode)
+        ok[ok] = _letters()[point[ok]]
+        sign[last[ok]] = 27 + body[last[ok]] % 4
+    return sign
+
+
 def units(w) -> tuple[np.ndarray, np.ndarray]:
     """Units of the chunk as rows of signs, a start mark and LONGEST more, and the text of each. Rows are
-    distinct within the chunk per word; texts repeat."""
+    distinct within the chunk; texts repeat."""
     if not w.n:
         return np.zeros((0, LONGEST + 1), np.uint8), np.zeros((0, 2), np.int64)
     text = w.text_of()
     size = w.end - w.start
     body = LOWER[w.bytes()]
     first = np.cumsum(size) - size
-    # runs of single characters, spelled-out words: neighbours in body already
-    chars = np.add.reduceat((body & 0xC0) != 0x80, first)
-    one = chars == 1
+    # runs of single letters, spelled-out words, and of what has none: neighbours in body already
+    one = np.add.reduceat(letter_signs(body) > 0, first, dtype=np.int64) <= 1
     edge = np.diff(np.concatenate(([0], one.astype(np.int8), [0])))
     begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if len(begin):
@@ -77,6 +105,9 @@ def units(w) -> tuple[np.ndarray, np.ndarray]:
     all_size = np.concatenate((np.diff(a2), run_size))
     owner = np.concatenate((d.indices.to_numpy().astype(np.int64), len(d.dictionary) + np.arange(len(ra))))
     rows, of = signs(all_body, all_size)
+    same = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LONGEST + 1), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))]).dictionary_encode()
+    row = same.indices.to_numpy().astype(np.int64)
+    distinct = np.frombuffer(same.dictionary.buffers()[1], np.uint8)[: len(same.dictionary) * (LONGEST + 1)].reshape(-1, LONGEST + 1)
     # every (text, unit) pair: texts point to words, words to their pieces
     where = np.concatenate((text, text[ra])) if len(ra) else text
     pairs = np.unique(where * (len(all_size) + 1) + owner)
@@ -84,14 +115,15 @@ def units(w) -> tuple[np.ndarray, np.ndarray]:
     piece_at = np.searchsorted(of, np.arange(len(all_size) + 1))
     n = np.diff(piece_at)[pair[:, 1]]
     flat = np.repeat(piece_at[pair[:, 1]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    return rows, np.stack((np.repeat(pair[:, 0], n), flat), 1)
+    flat = np.unique(np.repeat(pair[:, 0], n) * len(distinct) + row[flat])
+    return distinct, np.stack((flat // len(distinct), flat % len(distinct)), 1)
 
 
 def signs(body: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of signs for byte strings laid end to end; pieces of long ones; and each row's string."""
-    sign = _SIGN[body]
+    sign = letter_signs(body)
     own = np.repeat(np.arange(len(size)), size)
-    real = sign != 255
+    real = sign > 0
     sign, own = sign[real], own[real]
     n = np.bincount(own, minlength=len(size)) if len(own) else np.zeros(len(size), np.int64)
     step = LONGEST // 2
@@ -301,12 +333,12 @@ def _stem_odds(rows: np.ndarray, pairs: np.ndarray, toxic: np.ndarray, n_toxic:
 
 
 def _gapped(rows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Rows with one character that means nothing inserted somewhere between their letters."""
+    """Rows with one letter that means nothing inserted somewhere between theirs."""
     n = np.minimum((rows > 0).sum(axis=1), rows.shape[1] - 1)
     at = 2 + (rng.random(len(rows)) * np.maximum(n - 2, 1)).astype(int)
     place = np.arange(rows.shape[1])
     out = np.where(place < at[:, None], rows, np.roll(rows, 1, axis=1))
-    out[place == at[:, None]] = 0
+    out[place == at[:, None]] = rng.integers(1, 27, len(rows))
     return out
 
 
@@ -355,10 +387,13 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = 160, rounds: int
         k = kernel(marks, marks).astype(np.float64)
         val, vec = np.linalg.eigh((k + k.T) / 2 + 1e-6 * np.eye(len(k)))
         root = vec @ np.diag(1 / np.sqrt(np.maximum(val, 1e-4))) @ vec.T
-        gapped = _gapped(rows[positive], rng)
-        x = kernel(np.concatenate((rows[positive], gapped, rows[negative])), marks) @ root
-        y = np.concatenate((np.ones(2 * len(positive)), -np.ones(len(negative))))
-        part = np.concatenate((0.3 * weight / weight.sum(), 0.2 * weight / weight.sum(), np.full(len(negative), 0.5 / len(negative))))
+        gapped = [rows[positive]]
+        for _ in _INSERTED:
+            gapped.append(_gapped(gapped[-1], rng))
+        x = kernel(np.concatenate((*gapped, rows[negative])), marks) @ root
+        y = np.concatenate((np.ones(len(gapped) * len(positive)), -np.ones(len(negative))))
+        altered = np.tile(0.2 / len(_INSERTED) * weight / weight.sum(), len(_INSERTED))
+        part = np.concatenate((0.3 * weight / weight.sum(), altered, np.full(len(negative), 0.5 / len(negative))))
         v, bias = hinge(x, y, part)
         alpha = root @ v
         machine = Machine(fold(alpha, marks), bias, landmarks=marks, alpha=alpha)

@@ -303,6 +303,27 @@ def test_kernel_against_a_plain_one():
     assert toxicity.kernel(rows, rows) == pytest.approx(np.array(want), rel=1e-4)
 
 
+def test_insertions_into_an_insult():
+    rng = np.random.default_rng(1)
+    plain = ["".join(rng.choice(list("aeiourstnlm"), 6)) for _ in range(300)]
+    insults = ["idiot", "scumbag", "moron"]
+    texts = [" ".join([*rng.choice(plain, 30), *([insults[i // 4 % 3]] if i % 4 == 0 else [])]) for i in range(240)]
+    m = toxicity.train(texts, np.arange(240) % 4 == 0)
+
+    def found(altered):
+        w = words_of(*bytes_of(pa.array([" ".join([*rng.choice(plain, 30), x]) for x in altered])))
+        return (m.logistic(m.texts(w)) >= 0.7).mean()
+
+    for x in ("-", ".", "7", "\u2022", "\u2019", "\u200b", "\u0301", "\U0001f600"):  # one to four bytes
+        assert found([w[:2] + x + w[2:] for w in insults]) == found([w[:2] + x + w[2] + x + w[3:] for w in insults]) == 1
+        assert found([x.join(w) for w in insults]) == found([(x + x).join(w) for w in insults]) == found([f" {x} ".join(w) for w in insults]) == 1
+    assert found([w[:k] + "x" + w[k:] for w in insults for k in range(1, len(w))]) >= 0.8
+    assert found([x.join(w) for w in ("garden", "winter", "b\u00fccher") for x in ("-", "\u2022")]) == 0
+    # letters of several bytes count once each, and rows are distinct
+    rows, pairs = toxicity.units(words_of(*bytes_of(pa.array(["\u00e4\u4e2d\u0915x", "idiot, id\u2022iot! Idiot", "\u2022 -- 12"]))))
+    assert sorted((rows > 0).sum(axis=1)) == [1, 5, 6] and sorted(pairs[:, 0]) == [0, 1, 2]
+
+
 def test_toxicity(spark, none):
     rng = np.random.default_rng(1)
     plain = ["".join(rng.choice(list("aeiourstnlm"), 6)) for _ in range(300)]
