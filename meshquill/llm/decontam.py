@@ -7,11 +7,13 @@ shingle's hash names its bin by its top bits, and the smallest hash of a bin is
 proportion to size, a shingle shared with an item is its bin's minimum with a chance of at least 0.79
 in any class. Each item has a signature for every class and is a candidate for a document that agrees
 with it in one bin: of an item with 11 shingles, three quarters of which are in a document, 5 in
-100,000 would be missed, of longer ones fewer. Candidates are verified by exact containment: the
+100,000 would be missed, of longer ones fewer. Items of fewer than FEW distinct shingles are compared
+by all shingles of the documents instead, so none of them is missed. Candidates are verified by exact containment: the
 share of the item's distinct shingles, as strings, that the document has.
 
 Words are `[^\\x20\\x09-\\x0D]+` of the lower-cased text. Edge cases: a text of fewer words than a
-shingle is one shingle; null texts and texts without words match nothing; null ids are carried; rows
+shingle is one shingle, the whole text: such an item is found in documents of just its words (repeated
+spaces and capitals aside), never inside a longer one, as in the registered SQL; null texts and texts without words match nothing; null ids are carried; rows
 that share a doc_id are verified together (best containment); equal items are reported each; empty
 tables give no rows.
 """
@@ -27,6 +29,9 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 BROADCAST_ROWS = 2_000_000  # of item signatures: about 64 MB; above, the join shuffles
 BROADCAST_BYTES = 32 << 20  # of item texts
 CLASSES = 32
+FEW = 11  # items of fewer distinct shingles might have none that is its bin's minimum
+SPREAD = 0x1E3779B97F4A7C15 % (1 << 58)
+ALL_KEYS = f"transform(array_distinct(h), x -> x ^ {(CLASSES + 1) * SPREAD}L)"
 
 
 def words(text: Column) -> Column:
@@ -57,11 +62,13 @@ def _signed(rows: DataFrame, shingle: int) -> DataFrame:
     return b.withColumn("class", F.ceil(F.log2(F.size("h"))).cast("int"))
 
 
-def _bins() -> list[Column]:
-    """A row per bin minimum m: h is sorted and a bin is the top class + 1 bits, so minima follow a change of bin."""
+def _keys(all_too: bool = False) -> list[Column]:
+    """A row per bin minimum m: h is sorted and a bin is the top class + 1 bits, so minima follow a change of
+    bin. all_too: also one per shingle, under a class of their own."""
     shift = "63 - class"
     minima = f"filter(h, (x, i) -> i = 0 OR shiftright(x, {shift}) <> shiftright(h[greatest(i - 1, 0)], {shift}))"
-    return [F.col("__id"), F.col("class"), F.expr(f"explode({minima})").alias("m")]
+    keys = f"transform({minima}, x -> x ^ (class * {SPREAD}L))"
+    return [F.col("__id"), F.expr(f"explode(concat({keys}, {ALL_KEYS}))" if all_too else f"explode({keys})").alias("key")]
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", shingle: int = 5, containment: float = 0.75) -> DataFrame:
@@ -69,13 +76,14 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     named = items.select(F.col(f"`{item_id_col}`").alias("item_id"), F.monotonically_increasing_id().alias("__id"), F.col(f"`{item_text_col}`").cast("string").alias("__text"))
     named = materialise(named, "items")
     listed = materialise(_signed(named, shingle).select("__id", "h"), "item-hashes")
-    every = listed.withColumn("class", F.explode(F.sequence(F.lit(0), F.lit(CLASSES))))
-    key = F.col("m").bitwiseXOR(F.col("class").cast("long") * F.lit(0x1E3779B97F4A7C15 % (1 << 58)))
-    signatures = materialise(every.select(*_bins()).select(F.col("__id").alias("item"), key.alias("key")).distinct(), "item-signatures")
+    short = F.size(F.array_distinct("h")) < FEW
+    every = listed.filter(~short).withColumn("class", F.explode(F.sequence(F.lit(0), F.lit(CLASSES))))
+    whole = listed.filter(short).select("__id", F.expr(f"explode({ALL_KEYS})").alias("key"))
+    signatures = materialise(every.select(*_keys()).unionByName(whole).select(F.col("__id").alias("item"), "key").distinct(), "item-signatures")
     few = signatures.count() <= BROADCAST_ROWS
     signatures = F.broadcast(signatures) if few else signatures
     rows = text_rows(docs, id_col, text_col)
-    bins = _signed(rows, shingle).select(*_bins()).select("__id", key.alias("key"))
+    bins = _signed(rows, shingle).select(*_keys(all_too=not listed.filter(short).isEmpty()))
     candidates = materialise(bins.join(signatures, "key").select("__id", "item").distinct(), "candidates")
     texts = named.select(F.col("__id").alias("item"), "item_id", words(F.col("__text")).alias("w")).select("item", "item_id", F.array_distinct(strings("w", shingle)).alias("wanted"))
     texts = materialise(texts, "item-shingles")

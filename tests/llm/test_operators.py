@@ -429,6 +429,18 @@ def test_short_items_in_long_documents(spark):
     assert got == {(3 * i + n, i) for i in range(40) for n in range(3)}
 
 
+def test_items_of_few_shingles(spark):
+    rng = np.random.default_rng(5)
+    items = [(i, " ".join(f"q{i}_{n}" for n in range(3 + i % 12))) for i in range(240)]  # 3 to 14 words
+    docs = []
+    for i, t in items:
+        w = [f"r{x}" for x in rng.integers(0, 5000, 400)]
+        docs.append((i, " ".join([*w[:200], *t.split(), *w[200:]])))
+    docs += [(1000 + i, f" {t.upper()} ") for i, t in items]
+    got = {(r.doc_id, r.item_id) for r in decontam.find_contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i) for i, t in items if len(t.split()) >= 5} | {(1000 + i, i) for i, _ in items}
+
+
 # 10 -----------------------------------------------------------------------------
 
 
