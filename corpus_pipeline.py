@@ -25,8 +25,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that are kept, rows that repeat a doc_id and its text once (other texts of it stay)."""
+    found = materialise(near_duplicates(docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n")).filter("NOT kept OR n > 1"), "near-copies")
+    single = docs.join(found.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.filter("kept").select("doc_id")
+    if repeated.isEmpty():
+        return single
+    return single.unionByName(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,8 @@ at 0.75 is a candidate but for 3 in 100,000 cases.
 Skew: prints and bucket keys are summed up before they are dealt out, and the sums are written before
 they are joined, so Spark splits a hot key's side of the join. Edge cases: a text of fewer words than
 a shingle is one shingle; one without words (or null) links with nothing; a null doc_id is kept and
-links with nothing; rows that share a doc_id are one node; no rows give no rows.
+links with nothing; rows that share a doc_id are one node, linked with
+whatever any of their texts is linked with; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -235,7 +236,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     star = materialise(with_estimate(held.filter("hub != doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()), "star")
     best = star.groupBy("b").agg(F.max(F.struct("like", (-F.col("a")).alias("m"))).alias("best")).select((-F.col("best.m")).alias("a"), "b")
-    label = components(confirmed(best))
+    # a doc_id with several prints is one node: it is linked with what stands for each of them
+    standing = materialise(classes.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("most")).filter("doc_id != rep OR rep != most"), "standing")
+    several = standing.filter("rep != most").select(F.col("doc_id").alias("b"))
+    links = confirmed(best)
+    if not several.isEmpty():
+        links = links.unionByName(classes.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).filter("a != b").join(several, "b", "left_semi").select("a", "b").distinct())
+    label = components(links)
     more = star.select("a", "b").join(best, ["a", "b"], "left_anti")
     label = _joined(label, confirmed(materialise(_apart(more, label), "open")))
     # buckets whose members are still apart, across components
@@ -254,7 +261,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         first = F.when(near, ~F.exists(F.sequence(F.lit(0), x["band"]), lambda k: (k < x["band"]) & (F.col("xb")[k] == F.col("yb")[k]))).otherwise(False)
         found = x.join(y, (x["band"] == y["band"]) & (x["key"] == y["key"]) & (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & first).select("a", "b").distinct()
         label = _joined(label, confirmed(materialise(found.join(star.select("a", "b"), ["a", "b"], "left_anti"), "open")))
-    rep = classes.select("doc_id", "rep").filter("doc_id != rep").distinct()
+    rep = standing.select("doc_id", "rep")
     known = signed.select("doc_id", "n_shingles").join(rep, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     known = known.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left")
     component = F.coalesce("label", "rep")

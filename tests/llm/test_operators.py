@@ -247,6 +247,25 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 9: 1, 10: 1, 4: 1, 5: 5, 6: 5, 7: 5}
 
 
+def test_near_dedup_texts_that_share_a_doc_id(spark):
+    from corpus_pipeline import near_dedup as stage
+
+    long = lambda c, **other: " ".join(other.get(f"w{n}", f"{c}{n}") for n in range(60))
+    a, b, c, d = (long(x) for x in "abcd")
+    rows = [(1, a), (2, b), (5, a), (5, b)]  # copies of two others
+    rows += [(11, c), (15, c), (15, d), (17, long("d", w59="other"))]  # a copy of one, near another
+    rows += [(20, long("e")), (20, long("e")), (20, long("f")), (21, long("e")), (30, None), (30, None), (None, a), (None, a)]
+    docs = frame(spark, rows)
+    got = near_dedup.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in got if r.doc_id not in (None, 30)} == {(1, 1), (2, 1), (5, 1), (11, 11), (15, 11), (17, 11), (20, 20), (21, 20)}
+    assert all(r.kept == (r.doc_id in (None, 1, 11, 20, 30)) for r in got)
+    kept = stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    want = [(1, a), (11, c), (20, long("e")), (20, long("f")), (30, None), (None, a), (None, a)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted(want, key=key)
+
+
 # 6 ------------------------------------------------------------------------------
 
 
