@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meshquill.operators import transfer
 from meshquill.operators.mesh import Mesh
-from meshquill.operators.spline import stencil
+from meshquill.operators.spline import Place, based
 
 
 @dataclass(frozen=True)
@@ -136,30 +137,31 @@ class GridOperator:
             catalog.add(layout)
 
     def apply_particles(
-        self, catalog: FieldCatalog, particles: DataFrame, location: str, order: int, fn: Callable[..., dict[str, Column]], members: tuple[str, ...] = ("value",), key: str = "pid"
+        self, catalog: FieldCatalog, particles: DataFrame, location: str, order: int, fn: Callable[[Place], dict[str, str]], members: tuple[str, ...] = ("value",), key: str = "pid"
     ) -> DataFrame:
-        """fn() names sums over stencil rows: those named like a scatter field's label go to that field
-        (untouched entities get 0), the others become particle columns of the result. Gathered fields
-        are columns of the stencil rows, all joined in one go."""
-        rows = stencil(particles, self.mesh, location, order, particles.columns, members)
-        reads = [x for x in self.gather if x.location == location]
-        if reads:
-            both = catalog.array(reads[0])
-            for x in reads[1:]:
-                both = both.join(catalog.array(x), list(self.mesh.axes))
-            rows = rows.join(both, list(self.mesh.axes))
-        sums = fn()
+        """fn(place) names values at one stencil entity, as SQL text over particle columns and a Place that reads the
+        gathered fields of the location. Those named like a scatter field's label are summed into that field (untouched
+        entities get 0), the others by particle, as columns of the result."""
+        both = None
+        for x in self.gather:
+            if x.location == location:
+                both = catalog.array(x) if both is None else both.join(catalog.array(x), list(self.mesh.axes))
+        names = list(fn(based(particles, self.mesh, location, order, [], members)[1][0][1]))
+        sums = {n: lambda p, n=n: fn(p)[n] for n in names}
+        keep = [c for c in particles.columns]
         to_grid = {x.tag.label: x for x in self.scatter if x.tag.label in sums}
         if to_grid:
             # one shuffle for all fields that are summed at this location
-            summed = rows.groupBy(*self.mesh.axes).agg(*(F.sum(sums[n]).alias(n) for n in to_grid))
+            summed = transfer.scatter(particles, self.mesh, location, order, {n: sums[n] for n in to_grid}, keep, members, field=both)
             summed = self.mesh.entities(catalog.spark, location).join(summed, list(self.mesh.axes), "left")
             for n, x in to_grid.items():
                 catalog.put(x, summed.select(*self.mesh.axes, F.coalesce(n, F.lit(0.0)).alias(n)))
         rest = {n: e for n, e in sums.items() if n not in to_grid}
         if not rest:
             return particles
-        return particles.join(rows.groupBy(key).agg(*(F.sum(e).alias(n) for n, e in rest.items())), key)
+        rows, places = transfer.placed(particles, self.mesh, location, order, keep, members, field=both)
+        made = {n: transfer.total(e, places).alias(n) for n, e in rest.items()}
+        return rows.select(*(c for c in keep if c not in made), *made.values())
 
     def apply_entities(self, catalog: FieldCatalog, location: str, fn: Callable[[], dict[str, Column]]) -> DataFrame:
         """fn() gives new values of local or scatter fields at a location from the fields there."""

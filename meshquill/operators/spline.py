@@ -7,9 +7,7 @@ over the axes; a gradient replaces one factor.
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import product
-from operator import mul
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,39 +50,49 @@ def axis_gradients(order: int, f: Column, h: float) -> list[Column]:
 
 
 class Place:
-    """What a sum over a stencil may use: weight w, gradient g[d] and distance d[d] of one entity."""
+    """What a sum over a stencil may use, as SQL text: weight w, gradient g[d] and distance d[d] of one entity, each
+    axis's own (weight, gradient) factors[d], and read(name), a gathered field's value there (an array's by component).
+    Text, since a sum over 64 entities takes thousands of column objects, each of which is a call to the JVM."""
 
-    def __init__(self, w: Column, g: list[Column], d: list[Column]):
-        self.w, self.g, self.d = w, g, d
+    def __init__(self, w: str, g: list[str], d: list[str], factors: list[tuple[str, str]] = (), field: str = ""):
+        self.w, self.g, self.d, self.factors, self._field = w, g, d, factors, field
 
-    @classmethod
-    def named(cls) -> Place:
-        """By the column names of stencil()."""
-        return cls(F.col("w"), [F.col(f"g{a}") for a in "ijk"], [F.col(f"d{a}") for a in "ijk"])
+    def read(self, name: str, component: int | None = None) -> str:
+        return f"{self._field}.`{name}`" + ("" if component is None else f"[{component}]")
+
+    def reading(self, field: str) -> Place:
+        return Place(self.w, self.g, self.d, self.factors, field)
+
+
+def product_of(factors: list[str]) -> str:
+    return "(" + " * ".join(factors) + ")"
+
+
+def sure(x: Column) -> Column:
+    """x, 0 for null: it adds nothing. Code without tests for null is a third as long, which the JVM compiles."""
+    return F.coalesce(x.cast("double"), F.lit(0.0))
 
 
 def based(particles: DataFrame, mesh: Mesh, location: str, order: int, keep: list[str], members: tuple[str, ...], position: tuple[str, ...] = POSITION) -> tuple[DataFrame, list[tuple[list[int], Place]]]:
     """One row per particle with its base index _b0.. and per-axis factors, and for every stencil entity its
-    offsets from the base and its Place over those columns."""
+    offsets from the base and its Place over those columns. Particles without a position have no row."""
     off, n = OFFSETS[location], mesh.dim
-    logical = [((F.col(position[d]) - mesh.low[d]) / mesh.cell_size[d] - off[d]).alias(f"_x{d}") for d in range(n)]
-    rows = particles.select(*keep, *logical)
+    logical = [sure((F.col(position[d]) - mesh.low[d]) / mesh.cell_size[d] - off[d]).alias(f"_x{d}") for d in range(n)]
+    rows = particles.dropna(subset=list(position[:n])).select(*keep, *logical)
     rows = rows.select(*keep, *(f"_x{d}" for d in range(n)), *(axis_base(order, F.col(f"_x{d}")).cast("long").alias(f"_b{d}") for d in range(n)))
+    rows = rows.select(*keep, *(f"_b{d}" for d in range(n)), *((F.col(f"_x{d}") - F.col(f"_b{d}")).alias(f"_f{d}") for d in range(n)))
     made = []
     for d in range(n):
-        f = F.col(f"_x{d}") - F.col(f"_b{d}")
-        made += [w.alias(f"_w{d}_{t}") for t, w in enumerate(axis_weights(order, f))]
+        made += [w.alias(f"_w{d}_{t}") for t, w in enumerate(axis_weights(order, F.col(f"_f{d}")))]
         if "gradient" in members:
-            made += [g.alias(f"_g{d}_{t}") for t, g in enumerate(axis_gradients(order, f, mesh.cell_size[d]))]
-        if "distance" in members:
-            made += [((k - f) * mesh.cell_size[d]).alias(f"_d{d}_{t}") for t, k in enumerate(knots(order))]
-    rows = rows.select(*keep, *(f"_b{d}" for d in range(n)), *made)
+            made += [g.alias(f"_g{d}_{t}") for t, g in enumerate(axis_gradients(order, F.col(f"_f{d}"), mesh.cell_size[d]))]
+    rows = rows.select(*keep, *(f"_b{d}" for d in range(n)), *(f"_f{d}" for d in range(n) if "distance" in members), *made)
     places = []
     for t in product(range(order + 1), repeat=n):
-        weight = [F.col(f"_w{d}_{t[d]}") for d in range(n)]
-        g = [reduce(mul, [F.col(f"_g{d}_{t[d]}") if e == d else weight[e] for e in range(n)]) for d in range(n)] if "gradient" in members else []
-        dist = [F.col(f"_d{d}_{t[d]}") for d in range(n)] if "distance" in members else []
-        places.append(([knots(order)[x] for x in t], Place(reduce(mul, weight), g, dist)))
+        factors = [(f"_w{d}_{t[d]}", f"_g{d}_{t[d]}") for d in range(n)]
+        g = [product_of([factors[e][1 if e == d else 0] for e in range(n)]) for d in range(n)] if "gradient" in members else []
+        dist = [f"(({knots(order)[t[d]]} - _f{d}) * {mesh.cell_size[d]!r}D)" for d in range(n)] if "distance" in members else []
+        places.append(([knots(order)[x] for x in t], Place(product_of([w for w, _ in factors]), g, dist, factors)))
     return rows, places
 
 

@@ -1,9 +1,11 @@
 """Particle-to-grid scatter and grid-to-particle gather, and the affine and polynomial transfers.
 
-Scatter: sum by base index, deal the sums to entities, sum again; Spark combines on the map side, so what
-is shuffled is at most a row per task and entity touched. Gather: explode, join the field on its indices, sum by
-particle; a particle's stencil rows stay in one task, so the sum needs no more than a row per particle
-in the shuffle. A field is broadcast only where Spark's own size check allows.
+Scatter: particles are summed by their base index, a sum per stencil entity, then the sums are dealt to
+entities and summed again. Spark combines on the map side, so what is shuffled is at most a row per task
+and base index; no stencil is exploded before it. Gather: the field is the side that is dealt out: every entity sends its values to the
+base indices whose stencils hold it, and each base index gets one row with all of them. Particles join
+that once, by base index, and add up their stencil in the row: a particle is one row in the shuffle at
+most, and none where Spark's own size check lets it broadcast the field.
 
 Particle state of the affine transfer: 4 x N, row-major array, row 0 the velocity u, rows 1 to 3 the
 transpose of B. Polynomial transfer: 8 x N modes.
@@ -18,43 +20,66 @@ from pyspark.sql import functions as F
 
 from meshquill.functions.linalg import Matrix, determinant, inverse
 from meshquill.operators.mesh import Mesh
-from meshquill.operators.spline import POSITION, Place, based, stencil
+from meshquill.operators.spline import POSITION, Place, based, knots, product_of, sure
 
-G = ("gi", "gj", "gk")
-D = ("di", "dj", "dk")
-Sums = dict[str, Column]
-PlaceSums = dict[str, Callable[[Place], Column]]
-MOST_SUMS = 90  # columns of an aggregate that Spark still compiles as one
+#: Named values at one stencil entity, as SQL text over particle columns and what a Place gives.
+Sums = dict[str, Callable[[Place], str]]
 
 
-def scatter(particles: DataFrame, mesh: Mesh, location: str, order: int, sums: PlaceSums, keep: list[str], members: tuple[str, ...] = ("value",), position: tuple[str, ...] = POSITION) -> DataFrame:
-    """Sum of each expression (over kept columns and a Place) by entity.
-
-    Particles are first summed by their base index, one sum for each stencil entity, so a particle is one
-    row and not (order + 1) ** dim; the far fewer sums are then dealt to entities. Where that takes more
-    sums than a compiled aggregate has room for, the stencil is exploded instead."""
-    n = (order + 1) ** mesh.dim
-    if n * len(sums) > MOST_SUMS:
-        rows = stencil(particles, mesh, location, order, keep, members, position)
-        return rows.groupBy(*mesh.axes).agg(*(F.sum(e(Place.named())).alias(name) for name, e in sums.items()))
-    rows, places = based(particles, mesh, location, order, keep, members, position)
+def scatter(
+    particles: DataFrame, mesh: Mesh, location: str, order: int, sums: Sums, keep: list[str], members: tuple[str, ...] = ("value",), position: tuple[str, ...] = POSITION, field: DataFrame | None = None
+) -> DataFrame:
+    """Sum of each expression (over kept columns and a Place, which reads the field if one is given) by entity."""
+    rows, places = placed(particles, mesh, location, order, keep, members, position, field)
     base = [f"_b{d}" for d in range(mesh.dim)]
-    rows = rows.groupBy(*base).agg(*(F.sum(e(place)).alias(f"{name}__{t}") for t, (_, place) in enumerate(places) for name, e in sums.items()))
-    made = [F.struct(*((F.col(b) + o).alias(a) for a, b, o in zip(mesh.axes, base, offset)), *(F.col(f"{name}__{t}").alias(name) for name in sums)) for t, (offset, _) in enumerate(places)]
-    rows = rows.select(F.explode(F.array(*made)).alias("_p")).select(*(mesh.wrapped(d, location, F.col(f"_p.{a}")).cast("long").alias(a) for d, a in enumerate(mesh.axes)), *(F.col(f"_p.{name}").alias(name) for name in sums))
+    rows = rows.groupBy(*base).agg(*(F.expr(f"sum({e(place)}) AS {name}__{t}") for t, (_, place) in enumerate(places) for name, e in sums.items()))
+    made = [", ".join([*(f"'{a}', {b} + {o}" for a, b, o in zip(mesh.axes, base, offset)), *(f"'{name}', {name}__{t}" for name in sums)]) for t, (offset, _) in enumerate(places)]
+    rows = rows.select(F.expr(f"explode(array({', '.join(f'named_struct({m})' for m in made)})) AS _p"))
+    rows = rows.select(*(mesh.wrapped(d, location, F.col(f"_p.{a}")).cast("long").alias(a) for d, a in enumerate(mesh.axes)), *(f"_p.{name}" for name in sums))
     inside = mesh.inside(location)
     rows = rows if inside is None else rows.filter(inside)
     return rows.groupBy(*mesh.axes).agg(*(F.sum(name).alias(name) for name in sums))
 
 
-def gather(particles: DataFrame, mesh: Mesh, location: str, order: int, field: DataFrame, sums: Sums, key: str = "pid", members: tuple[str, ...] = ("value",), keep: tuple[str, ...] = (), position: tuple[str, ...] = POSITION) -> DataFrame:
-    """Sum of each expression (over w, g*, d* and the field's columns) by particle; kept columns come along."""
-    rows = stencil(particles, mesh, location, order, [key, *keep], members, position).join(field, list(mesh.axes))
-    return rows.groupBy(key, *keep).agg(*(F.sum(e).alias(n) for n, e in sums.items()))
+def field_by_base(field: DataFrame, mesh: Mesh, location: str, order: int) -> DataFrame:
+    """A row per base index whose stencil holds an entity of the field: _b0.. and _f, the field's rows there in
+    the order of the stencil, null where there is none. Base indices are wrapped in periodic dimensions."""
+    n, size = order + 1, (order + 1) ** mesh.dim
+    values = [c for c in field.columns if c not in mesh.axes]
+    rows = field.select(*mesh.axes, F.struct(*values).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("_t"))
+    knot = [F.expr(f"(_t div {n ** (mesh.dim - 1 - d)}) % {n}") + knots(order)[0] for d in range(mesh.dim)]
+    base = [mesh.wrapped(d, location, F.col(a) - knot[d]).cast("long").alias(f"_b{d}") for d, a in enumerate(mesh.axes)]
+    names = [f"_b{d}" for d in range(mesh.dim)]
+    rows = rows.select(*base, "_t", "_v").groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("_t", "_v"))).alias("_m"))
+    return rows.select(*names, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda t: F.try_element_at("_m", t)).alias("_f"))
 
 
-def _c(name: str, d: int) -> Column:
-    return F.col(name).getItem(d)
+def placed(
+    particles: DataFrame, mesh: Mesh, location: str, order: int, keep: list[str], members: tuple[str, ...], position: tuple[str, ...] = POSITION, field: DataFrame | None = None
+) -> tuple[DataFrame, list[tuple[list[int], Place]]]:
+    """Rows and places as of based(), joined by base index to what the field has there, if one is given."""
+    rows, places = based(particles, mesh, location, order, keep, members, position)
+    if field is None:
+        return rows, places
+    at = [mesh.wrapped(d, location, F.col(f"_b{d}")).cast("long").alias(f"_b{d}") for d in range(mesh.dim)]
+    rows = rows.select(*at, *(c for c in rows.columns if c not in {f"_b{d}" for d in range(mesh.dim)}))
+    rows = rows.join(field_by_base(field, mesh, location, order), [f"_b{d}" for d in range(mesh.dim)])
+
+    return rows, [(offset, place.reading(f"_f[{t}]")) for t, (offset, place) in enumerate(places)]
+
+
+def gather(
+    particles: DataFrame, mesh: Mesh, location: str, order: int, field: DataFrame, sums: Sums, key: str = "pid", members: tuple[str, ...] = ("value",), keep: tuple[str, ...] = (), position: tuple[str, ...] = POSITION
+) -> DataFrame:
+    """Sum over the stencil of each expression (over kept columns and a Place that reads the field) per particle;
+    kept columns come along. A particle whose stencil holds no entity of the field has no row."""
+    rows, places = placed(particles, mesh, location, order, [key, *keep], members, position, field)
+    return rows.select(key, *keep, *(total(e, places).alias(name) for name, e in sums.items()))
+
+
+def total(e: Callable[[Place], str], places: list[tuple[list[int], Place]]) -> Column:
+    """The sum of e over the places, in their order; 0 where the field has no entity."""
+    return F.expr(" + ".join(f"coalesce({e(place)}, 0D)" for _, place in places))
 
 
 # Grid to particle -----------------------------------------------------------
@@ -62,52 +87,62 @@ def _c(name: str, d: int) -> Column:
 
 def g2p_value(particles, mesh, location, order, field, value: str, size: int = 1, **more) -> DataFrame:
     """Sum of w * value: out, or out_0.. for a vector column of that size."""
-    w = F.col("w")
-    sums = {"out": w * F.col(value)} if size == 1 else {f"out_{d}": w * _c(value, d) for d in range(size)}
+    sums = {"out": lambda p: f"{p.w} * {p.read(value)}"} if size == 1 else {f"out_{d}": lambda p, d=d: f"{p.w} * {p.read(value, d)}" for d in range(size)}
     return gather(particles, mesh, location, order, field, sums, **more)
 
 
 def g2p_gradient(particles, mesh, location, order, field, value: str, size: int = 1, **more) -> DataFrame:
     """Scalar: out_d. Vector: out_{component}{derivative}."""
     if size == 1:
-        sums = {f"out_{d}": F.col(G[d]) * F.col(value) for d in range(mesh.dim)}
+        sums = {f"out_{d}": lambda p, d=d: f"{p.g[d]} * {p.read(value)}" for d in range(mesh.dim)}
     else:
-        sums = {f"out_{a}{d}": F.col(G[d]) * _c(value, a) for a in range(size) for d in range(mesh.dim)}
+        sums = {f"out_{a}{d}": lambda p, a=a, d=d: f"{p.g[d]} * {p.read(value, a)}" for a in range(size) for d in range(mesh.dim)}
     return gather(particles, mesh, location, order, field, sums, members=("gradient",), **more)
 
 
 def g2p_divergence(particles, mesh, location, order, field, value: str, **more) -> DataFrame:
-    total = sum((F.col(G[d]) * _c(value, d) for d in range(1, mesh.dim)), F.col(G[0]) * _c(value, 0))
-    return gather(particles, mesh, location, order, field, {"out": total}, members=("gradient",), **more)
+    sums = {"out": lambda p: dot([p.read(value, d) for d in range(mesh.dim)], p.g)}
+    return gather(particles, mesh, location, order, field, sums, members=("gradient",), **more)
 
 
 # Particle to grid -----------------------------------------------------------
 
 
 def p2g_value(particles, mesh, location, order, value: str, size: int = 1) -> DataFrame:
-    sums = {"out": lambda p: p.w * F.col(value)} if size == 1 else {f"out_{d}": lambda p, d=d: p.w * _c(value, d) for d in range(size)}
-    return scatter(particles, mesh, location, order, sums, [value])
+    rows, names = _flat(particles, value, size)
+    sums = {"out" if size == 1 else f"out_{d}": lambda p, n=n: f"{p.w} * {n}" for d, n in enumerate(names)}
+    return scatter(rows, mesh, location, order, sums, names)
 
 
 def p2g_gradient(particles, mesh, location, order, value: str) -> DataFrame:
-    return scatter(particles, mesh, location, order, {f"out_{d}": lambda p, d=d: p.g[d] * F.col(value) for d in range(mesh.dim)}, [value], ("gradient",))
+    rows, names = _flat(particles, value, 1)
+    return scatter(rows, mesh, location, order, {f"out_{d}": lambda p, d=d: f"{p.g[d]} * {names[0]}" for d in range(mesh.dim)}, names, ("gradient",))
 
 
 def p2g_divergence(particles, mesh, location, order, value: str, tensor: bool = False) -> DataFrame:
     """Of a vector: out. Of a row-major tensor T: out_i, the sum over j of T_ij times the j-th derivative."""
     n = mesh.dim
+    rows, names = _flat(particles, value, n * n if tensor else n)
     if tensor:
-        sums = {f"out_{i}": lambda p, i=i: _dot([_c(value, i * n + j) for j in range(n)], p.g) for i in range(n)}
+        sums = {f"out_{i}": lambda p, i=i: dot(names[i * n : i * n + n], p.g) for i in range(n)}
     else:
-        sums = {"out": lambda p: _dot([_c(value, d) for d in range(n)], p.g)}
-    return scatter(particles, mesh, location, order, sums, [value], ("gradient",))
+        sums = {"out": lambda p: dot(names, p.g)}
+    return scatter(rows, mesh, location, order, sums, names, ("gradient",))
+
+
+def _flat(particles: DataFrame, value: str, size: int) -> tuple[DataFrame, list[str]]:
+    """Positions and the value's components, each a column."""
+    names = [f"_q{n}" for n in range(size)]
+    parts = [F.col(value)] if size == 1 else [_c(value, n) for n in range(size)]
+    return particles.select(*(x for x in POSITION if x in particles.columns), *(sure(e).alias(n) for e, n in zip(parts, names))), names
+
+
+def _c(name: str, d: int) -> Column:
+    return F.col(name).getItem(d)
 
 
-def _dot(a: list[Column], b: list[Column]) -> Column:
-    out = a[0] * b[0]
-    for x, y in zip(a[1:], b[1:]):
-        out = out + x * y
-    return out
+def dot(a: list[str], b: list[str]) -> str:
+    return "(" + " + ".join(f"{x} * {y}" for x, y in zip(a, b)) + ")"
 
 
 # Affine transfer ------------------------------------------------------------
@@ -118,95 +153,63 @@ def inertial_scaling(order: int, h: float) -> float:
     return {2: 4.0, 3: 3.0}[order] / (h * h)
 
 
-def _affine_momentum(p: Place, mesh: Mesh, order: int, mass: Column, state: str, d: int) -> Column:
-    bend = [_c(state, (1 + e) * 3 + d) for e in range(3)]
-    if order == 1:
-        return p.w * mass * _c(state, d) + _dot(bend, [mass * g for g in p.g])
-    return p.w * mass * (_c(state, d) + inertial_scaling(order, mesh.cell_size[0]) * _dot(bend, p.d))
-
-
 def apic_p2g(particles: DataFrame, mesh: Mesh, location: str, order: int, mass: str = "m", state: str = "c", dim: int | None = None) -> DataFrame:
     """Grid momentum mu_0.. and mass. dim: staggered, only that component, at a location of its own."""
-    need = ("gradient",) if order == 1 else ("distance",)
     which = range(3) if dim is None else [dim]
-    sums = {(f"mu_{d}" if dim is None else "mu"): lambda p, d=d: _affine_momentum(p, mesh, order, F.col(mass), state, d) for d in which}
-    return scatter(particles, mesh, location, order, sums | {"mass": lambda p: p.w * F.col(mass)}, [mass, state], need)
+    scale = 1.0 if order == 1 else inertial_scaling(order, mesh.cell_size[0])
+    parts = {f"_s{r}{d}": sure(F.col(mass) * _c(state, r * 3 + d) * (scale if r else 1.0)) for r in range(4) for d in which}
+    rows = particles.select(*POSITION, sure(F.col(mass)).alias("_mass"), *(e.alias(n) for n, e in parts.items()))
+
+    def momentum(p: Place, d: int) -> str:
+        bend = [f"_s{1 + e}{d}" for e in range(3)]
+        return f"({p.w} * _s0{d} + {dot(bend, p.g)})" if order == 1 else f"{p.w} * (_s0{d} + {dot(bend, p.d)})"
+
+    sums = {(f"mu_{d}" if dim is None else "mu"): lambda p, d=d: momentum(p, d) for d in which}
+    return scatter(rows, mesh, location, order, sums | {"mass": lambda p: f"{p.w} * _mass"}, ["_mass", *parts], ("gradient",) if order == 1 else ("distance",))
 
 
 def apic_g2p(particles: DataFrame, mesh: Mesh, location: str, order: int, field: DataFrame, value: str = "u", key: str = "pid", dim: int | None = None) -> DataFrame:
     """State c per particle, overwritten: collocated from a vector column; staggered from a scalar one,
     other components 0."""
-    w = F.col("w")
     which = range(3) if dim is None else [dim]
-    at = lambda d: _c(value, d) if dim is None else F.col(value)
-    sums = {f"c0{d}": w * at(d) for d in which} | {f"c{1 + e}{d}": w * at(d) * F.col(D[e]) for d in which for e in range(3)}
+    at = lambda p, d: p.read(value, d) if dim is None else p.read(value)
+    sums = {f"c0{d}": lambda p, d=d: f"{p.w} * {at(p, d)}" for d in which} | {f"c{1 + e}{d}": lambda p, d=d, e=e: f"{p.w} * {at(p, d)} * {p.d[e]}" for d in which for e in range(3)}
     rows = gather(particles, mesh, location, order, field, sums, key, ("distance",))
     return rows.select(key, F.array(*(F.col(f"c{r}{d}") if d in which else F.lit(0.0) for r in range(4) for d in range(3))).alias("c"))
 
 
 # Polynomial transfer, linear basis, 8 modes -----------------------------------
 
-
-def _basis(m: list[Column]) -> list[Column]:
-    return [F.lit(1.0), m[0], m[1], m[2], m[0] * m[1], m[0] * m[2], m[1] * m[2], m[0] * m[1] * m[2]]
+#: The axes of each mode's basis polynomial.
+ALONG = [(), (0,), (1,), (2,), (0, 1), (0, 2), (1, 2), (0, 1, 2)]
 
 
 def polypic_p2g(particles: DataFrame, mesh: Mesh, location: str, dt: float, mass: str = "m", state: str = "c", dim: int | None = None) -> DataFrame:
     """Momentum and mass from 8 x 3 modes: distances are first taken back by the inverse of I + dt * (rows 1 to 3)."""
-    a = Matrix([[F.lit(1.0 if r == c else 0.0) + dt * _c(state, (1 + r) * 3 + c) for c in range(3)] for r in range(3)])
-    # the determinant first, by itself: once per particle, not once per entry
-    rows = particles.withColumn("_det", determinant(a)).withColumn("_inv", inverse(a, F.col("_det")).column())
-    rows = stencil(rows, mesh, location, 1, [mass, state, "_inv"], ("distance",))
-    back = [sum((_c("_inv", r * 3 + e) * F.col(D[e]) for e in range(1, 3)), _c("_inv", r * 3) * F.col(D[0])) for r in range(3)]
-    rows = rows.select(*mesh.axes, mass, state, "w", *(b.alias(f"m{r}") for r, b in enumerate(back)))
-    basis = _basis([F.col(f"m{r}") for r in range(3)])
-    sums = {}
-    for d in range(3) if dim is None else [dim]:
-        total = _c(state, d)
-        for r in range(1, 8):
-            total = total + _c(state, r * 3 + d) * basis[r]
-        sums[f"mu_{d}" if dim is None else "mu"] = F.col("w") * F.col(mass) * total
-    sums["mass"] = F.col("w") * F.col(mass)
-    return rows.groupBy(*mesh.axes).agg(*(F.sum(e).alias(n) for n, e in sums.items()))
+    which = range(3) if dim is None else [dim]
+    modes = [f"_s{r}{d}" for r in range(8) for d in which]
+    shape = particles.select(*POSITION, F.col(mass).alias("_mass"), *(_c(state, r * 3 + d).alias(f"_s{r}{d}") for r in range(8) for d in which), *(_c(state, 3 + n).alias(f"_a{n}") for n in range(9)))
+    a = Matrix([[F.lit(1.0 if r == c else 0.0) + dt * F.col(f"_a{r * 3 + c}") for c in range(3)] for r in range(3)])
+    # the determinant, then the inverse, by themselves: once per particle, not once per entity
+    shape = shape.withColumn("_det", determinant(a))
+    back = inverse(a, F.col("_det")).v
+    rows = shape.select(*POSITION, *(sure(F.col(c)).alias(c) for c in ("_mass", *modes)), *(sure(x).alias(f"_v{n}") for n, x in enumerate(back)))
+
+    def momentum(p: Place, d: int) -> str:
+        m = [dot([f"_v{r * 3 + e}" for e in range(3)], p.d) for r in range(3)]
+        return f"{p.w} * _mass * (" + " + ".join(product_of([f"_s{r}{d}", *(m[e] for e in axes)]) for r, axes in enumerate(ALONG)) + ")"
+
+    sums = {(f"mu_{d}" if dim is None else "mu"): lambda p, d=d: momentum(p, d) for d in which}
+    return scatter(rows, mesh, location, 1, sums | {"mass": lambda p: f"{p.w} * _mass"}, ["_mass", *modes, *(f"_v{n}" for n in range(9))], ("distance",))
 
 
 def polypic_g2p(particles: DataFrame, mesh: Mesh, location: str, field: DataFrame, value: str = "u", key: str = "pid", dim: int | None = None, state: str | None = None) -> DataFrame:
     """8 x 3 modes per particle. Staggered: only column dim is set; the others are those of `state`."""
     # mode r takes the gradient along the axes of its basis polynomial and the weight along the others
-    along = [(), (0,), (1,), (2,), (0, 1), (0, 2), (1, 2), (0, 1, 2)]
-    # a linear spline's gradient factor is the mixed stencil's sign over h: w_d * g_e of another axis
     which = range(3) if dim is None else [dim]
-    at = lambda d: _c(value, d) if dim is None else F.col(value)
-    rows = axis_factors(particles, mesh, location, [key, *([state] if state else [])]).join(field, list(mesh.axes))
-    sums = {}
-    for r, axes in enumerate(along):
-        factor = None
-        for e in range(3):
-            x = F.col(f"_{'g' if e in axes else 'w'}{e}")
-            factor = x if factor is None else factor * x
-        for d in which:
-            sums[f"c{r}{d}"] = factor * at(d)
-    out = rows.groupBy(key, *([state] if state else [])).agg(*(F.sum(e).alias(n) for n, e in sums.items()))
+    at = lambda p, d: p.read(value, d) if dim is None else p.read(value)
+    factor = lambda p, axes: product_of([p.factors[e][1 if e in axes else 0] for e in range(3)])
+    sums = {f"c{r}{d}": lambda p, axes=axes, d=d: f"{factor(p, axes)} * {at(p, d)}" for r, axes in enumerate(ALONG) for d in which}
+    out = gather(particles, mesh, location, 1, field, sums, key, ("gradient",), (state,) if state else ())
     other = lambda r, d: _c(state, r * 3 + d) if state else F.lit(0.0)
     return out.select(key, F.array(*(F.col(f"c{r}{d}") if d in which else other(r, d) for r in range(8) for d in range(3))).alias("c"))
-
-
-def axis_factors(particles: DataFrame, mesh: Mesh, location: str, keep: list[str]) -> DataFrame:
-    """Linear stencil rows with each axis's weight and gradient apart: _w0.., _g0.."""
-    from meshquill.operators.mesh import OFFSETS
-
-    off = OFFSETS[location]
-    rows = particles.select(*keep, *(((F.col(p) - mesh.low[d]) / mesh.cell_size[d] - off[d]).alias(f"_x{d}") for d, p in enumerate(POSITION)))
-    rows = rows.select(*keep, *(f"_x{d}" for d in range(3)), *(F.floor(f"_x{d}").cast("long").alias(f"_b{d}") for d in range(3)), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("_s"))
-    bit = [F.expr(f"shiftright(_s, {2 - d}) & 1") for d in range(3)]
-    f = [F.col(f"_x{d}") - F.col(f"_b{d}") for d in range(3)]
-    rows = rows.select(
-        *keep,
-        *(mesh.wrapped(d, location, F.col(f"_b{d}") + bit[d]).cast("long").alias(a) for d, a in enumerate(mesh.axes)),
-        *(F.when(bit[d] == 1, f[d]).otherwise(1.0 - f[d]).alias(f"_w{d}") for d in range(3)),
-        *((F.when(bit[d] == 1, F.lit(1.0)).otherwise(F.lit(-1.0)) / mesh.cell_size[d]).alias(f"_g{d}") for d in range(3)),
-    )
-    inside = mesh.inside(location)
-    return rows if inside is None else rows.filter(inside)
-
-

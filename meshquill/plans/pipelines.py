@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from meshquill.operators import geometry, levelset, particles, transfer
 from meshquill.operators.mesh import Mesh
-from meshquill.operators.spline import stencil
 from meshquill.plans import sqlgen as Q
 from meshquill.sources import fixtures as FX
 from meshquill.sources import stl
@@ -33,15 +32,12 @@ def incompressible_step(p: DataFrame, mesh: Mesh, dt: float, bulk: float, gamma:
     """Nearly incompressible affine step. p: pid, x, y, z, m, jac (volume ratio), c (4 x 3). Pressure force and momentum are
     summed in one shuffle; walls stop what leaves through them."""
     pressure = -bulk * (F.pow(F.col("jac"), -gamma) - 1.0)
-    rows = stencil(p.withColumn("pressure", pressure), mesh, "node", 2, ["m", "c", "jac", "pressure"], ("gradient", "distance"))
     scale = transfer.inertial_scaling(2, mesh.cell_size[0])
-    c, w, m = F.col("c"), F.col("w"), F.col("m")
-    sums = [F.sum(w * m).alias("mass")]
-    for d, g in enumerate(transfer.G):
-        bend = c[3 + d] * F.col("di") + c[6 + d] * F.col("dj") + c[9 + d] * F.col("dk")
-        sums.append(F.sum(w * m * (c[d] + scale * bend)).alias(f"mu{d}"))
-        sums.append(F.sum(F.lit(-volume) * F.col("jac") * F.col("pressure") * F.col(g)).alias(f"f{d}"))
-    grid = rows.groupBy("i", "j", "k").agg(*sums)
+    sums = {"mass": lambda q: f"{q.w} * m"}
+    for d in range(3):
+        sums[f"mu{d}"] = lambda q, d=d: f"{q.w} * m * (c[{d}] + {scale!r}D * {transfer.dot([f'c[{3 + 3 * e + d}]' for e in range(3)], q.d)})"
+        sums[f"f{d}"] = lambda q, d=d: f"{-volume!r}D * jac * pressure * {q.g[d]}"
+    grid = transfer.scatter(p.withColumn("pressure", pressure), mesh, "node", 2, sums, ["m", "c", "jac", "pressure"], ("gradient", "distance"))
     last = [n for n in mesh.extent("node")]
     u = []
     for d, a in enumerate("ijk"):
@@ -49,11 +45,9 @@ def incompressible_step(p: DataFrame, mesh: Mesh, dt: float, bulk: float, gamma:
         wall = F.lit(False) if mesh.periodic[d] else ((F.col(a) <= 0) & (free < 0)) | ((F.col(a) >= last[d] - 1) & (free > 0))
         u.append(F.when(wall, 0.0).otherwise(free))
     grid = grid.filter("mass > 0").select("i", "j", "k", F.array(*u).alias("u"))
-    rows = stencil(p, mesh, "node", 2, ["pid", "x", "y", "z", "m", "jac"], ("gradient", "distance")).join(grid, ["i", "j", "k"])
-    u, w = F.col("u"), F.col("w")
-    out = [F.sum(w * u[d]).alias(f"c{d}") for d in range(3)] + [F.sum(w * u[d] * F.col(transfer.D[e])).alias(f"c{3 + 3 * e + d}") for e in range(3) for d in range(3)]
-    div = F.sum(F.col("gi") * u[0] + F.col("gj") * u[1] + F.col("gk") * u[2]).alias("div")
-    new = rows.groupBy("pid", "x", "y", "z", "m", "jac").agg(*out, div)
+    out = {f"c{d}": lambda q, d=d: f"{q.w} * {q.read('u', d)}" for d in range(3)} | {f"c{3 + 3 * e + d}": lambda q, e=e, d=d: f"{q.w} * {q.read('u', d)} * {q.d[e]}" for e in range(3) for d in range(3)}
+    out["div"] = lambda q: transfer.dot(q.g, [q.read("u", d) for d in range(3)])
+    new = transfer.gather(p, mesh, "node", 2, grid, out, members=("gradient", "distance"), keep=("x", "y", "z", "m", "jac"))
     return new.select("pid", *((F.col(a) + dt * F.col(f"c{d}")).alias(a) for d, a in enumerate("xyz")), "m", (F.col("jac") * F.exp(dt * F.col("div"))).alias("jac"), F.array(*(F.col(f"c{n}") for n in range(12))).alias("c"))
 
 
@@ -68,9 +62,8 @@ def position_correction(p: DataFrame, mesh: Mesh, dt: float, density: float, kap
         edge = edge | (F.col(a).isin(0, mesh.num_cell[d] - 1) if not mesh.periodic[d] else F.lit(False))
     r = F.when((F.col("filled") > 0) | edge, F.col("rho")).otherwise(F.greatest("rho", F.lit(density)))
     push = cells.select("i", "j", "k", (dt * dt / density * kappa * (1 - r / density)).alias("push"))
-    nodes = mesh.nodes(p.sparkSession).withColumn("pid", F.monotonically_increasing_id())
-    shift = stencil(nodes.withColumnsRenamed({"i": "ni", "j": "nj", "k": "nk"}), mesh, "cell", 1, ["ni", "nj", "nk"], ("gradient",)).join(push, ["i", "j", "k"])
-    shift = shift.groupBy("ni", "nj", "nk").agg(*(F.sum(-F.col(g) * F.col("push")).alias(f"s{d}") for d, g in enumerate(transfer.G)))
+    nodes = mesh.nodes(p.sparkSession).withColumnsRenamed({"i": "ni", "j": "nj", "k": "nk"})
+    shift = transfer.gather(nodes, mesh, "cell", 1, push, {f"s{d}": lambda q, d=d: f"-{q.g[d]} * {q.read('push')}" for d in range(3)}, "ni", ("gradient",), ("nj", "nk"))
     shift = shift.select(F.col("ni").alias("i"), F.col("nj").alias("j"), F.col("nk").alias("k"), F.array("s0", "s1", "s2").alias("s"))
     return transfer.g2p_value(p, mesh, "node", 2, shift, "s", 3).withColumnsRenamed({"out_0": "dx", "out_1": "dy", "out_2": "dz"})
 
@@ -82,11 +75,11 @@ def regularized(phi, h: float):
 
 def heat_step(p: DataFrame, mesh: Mesh, dt: float, conductivity: float, capacity: float, phi: DataFrame, source: float) -> DataFrame:
     """Internal energy by diffusion and a surface source. p: pid, x, y, z, m, v, e; phi: i, j, k, phi. Returns pid, e."""
-    grid = transfer.scatter(p, mesh, "node", 2, {"mass": lambda q: q.w * F.col("m"), "me": lambda q: q.w * F.col("m") * F.col("e")}, ["m", "e"])
+    grid = transfer.scatter(p, mesh, "node", 2, {"mass": lambda q: f"{q.w} * m", "me": lambda q: f"{q.w} * m * e"}, ["m", "e"])
     grid = grid.filter("mass > 0").select("i", "j", "k", "mass", (F.col("me") / F.col("mass")).alias("mean")).join(phi.select("i", "j", "k", regularized(F.col("phi"), mesh.cell_size[0]).alias("soft")), ["i", "j", "k"])
-    at = transfer.gather(p, mesh, "node", 2, grid, {"soft_p": F.col("w") * F.col("soft")} | {f"slope{d}": F.col(g) * F.col("mean") for d, g in enumerate(transfer.G)}, members=("gradient",), keep=("x", "y", "z", "v", "e"))
+    at = transfer.gather(p, mesh, "node", 2, grid, {"soft_p": lambda q: f"{q.w} * {q.read('soft')}"} | {f"slope{d}": lambda q, d=d: f"{q.g[d]} * {q.read('mean')}" for d in range(3)}, members=("gradient",), keep=("x", "y", "z", "v", "e"))
     at = at.withColumn("s", F.when(F.abs("soft_p") <= 0.45, source).otherwise(0.0))
-    gain = lambda q: F.col("v") * (q.w * F.col("s") - conductivity / capacity * (F.col("slope0") * q.g[0] + F.col("slope1") * q.g[1] + F.col("slope2") * q.g[2]))
+    gain = lambda q: f"v * ({q.w} * s - {conductivity / capacity!r}D * {transfer.dot([f'slope{d}' for d in range(3)], q.g)})"
     change = transfer.scatter(at, mesh, "node", 2, {"gain": gain}, ["v", "s", "slope0", "slope1", "slope2"], ("gradient",))
     rise = grid.join(change, ["i", "j", "k"]).select("i", "j", "k", (dt * F.col("gain") / F.col("mass")).alias("rise"))
     up = transfer.g2p_value(p, mesh, "node", 2, rise, "rise", keep=("e",))
@@ -96,7 +89,7 @@ def heat_step(p: DataFrame, mesh: Mesh, dt: float, conductivity: float, capacity
 def flip_step(p: DataFrame, mesh: Mesh, dt: float, gravity: tuple[float, float, float], blend: float = 1.0) -> DataFrame:
     """Explicit step that gives particles the grid's velocity change (blend 1) or its velocity (0).
     p: pid, x, y, z, m, u (array of 3)."""
-    sums = {"mass": lambda q: q.w * F.col("m")} | {f"mu{d}": lambda q, d=d: q.w * F.col("m") * F.col("u")[d] for d in range(3)}
+    sums = {"mass": lambda q: f"{q.w} * m"} | {f"mu{d}": lambda q, d=d: f"{q.w} * m * u[{d}]" for d in range(3)}
     grid = transfer.scatter(p, mesh, "node", 1, sums, ["m", "u"]).filter("mass > 0")
     old = [F.col(f"mu{d}") / F.col("mass") for d in range(3)]
     grid = grid.select("i", "j", "k", F.array(*old, *(o + dt * g for o, g in zip(old, gravity))).alias("both"))

@@ -136,7 +136,7 @@ def _grid_op_zero(s: SparkSession, d: str) -> DataFrame:
     cat = FD.FieldCatalog(FX.MESH, s)
     op = FD.create_grid_operator(FX.MESH, scatter=[_BAR])
     op.setup(cat)
-    op.apply_particles(cat, FX.particles_li(s, d).select("x", "y", "z", "m"), "node", 1, lambda: {"bar": F.col("w") * F.col("m")})
+    op.apply_particles(cat, FX.particles_li(s, d).select("x", "y", "z", "m"), "node", 1, lambda p: {"bar": f"{p.w} * m"})
     return rounded(cat.array(_BAR))
 
 

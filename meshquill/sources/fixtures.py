@@ -8,17 +8,23 @@ from pyspark.sql import functions as F
 
 from meshquill.operators.mesh import Mesh
 
+SPLIT_BYTES = 32 << 20
 MESH = Mesh((16, 8, 8), (0.0,) * 3, (1.0,) * 3, (False,) * 3, halo=2)
 PERIODIC = Mesh((16, 8, 8), (0.0,) * 3, (1.0,) * 3, (True,) * 3, halo=2)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, by: str | None = None) -> DataFrame:
+    """by: a key to deal a small file's rows out by, where it has fewer splits than there are slots."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    slots = spark.sparkContext.defaultParallelism
+    if by and int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < slots * SPLIT_BYTES:
+        return rows.repartition(slots, by)
+    return rows
 
 
 def particles_li(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No key: for sums over the grid."""
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem", "l_orderkey")
     x = (F.col("l_quantity") * 4 + F.col("l_orderkey") % 4) / 16.0
     y = (F.round(F.col("l_discount") * 100) * 8 + F.col("l_partkey") % 8) / 16.0
     z = (F.round(F.col("l_tax") * 100) * 8 + F.col("l_suppkey") % 8) / 16.0
@@ -32,7 +38,7 @@ def particles_li(spark: SparkSession, sf_dir: str) -> DataFrame:
 def particles_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pid is event_id: for results by particle."""
     e, u = F.col("event_id"), F.col("user_id")
-    return table(spark, sf_dir, "events").select(e.alias("pid"), ((e * 7 % 160) / 16.0).alias("x"), ((u * 3 % 96) / 16.0).alias("y"), ((e * 5 % 80) / 16.0).alias("z"))
+    return table(spark, sf_dir, "events", "event_id").select(e.alias("pid"), ((e * 7 % 160) / 16.0).alias("x"), ((u * 3 % 96) / 16.0).alias("y"), ((e * 5 % 80) / 16.0).alias("z"))
 
 
 def grid_field(spark: SparkSession, mesh: Mesh = MESH, location: str = "node") -> DataFrame:

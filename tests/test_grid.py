@@ -65,7 +65,7 @@ def test_scatter_field_is_zeroed_first(spark):
     op = FD.create_grid_operator(FX.MESH, scatter=[bar])
     op.setup(cat)
     p = spark.createDataFrame([(1, 2.5, 2.5, 2.5)], "pid long, x double, y double, z double")
-    op.apply_particles(cat, p, "node", 1, lambda: {"bar": F.col("w") * 8.0})
+    op.apply_particles(cat, p, "node", 1, lambda p: {"bar": f"{p.w} * 8"})
     got = {r.bar for r in cat.array(bar).collect()}
     assert got == {0.0, 1.0}
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from meshquill.operators import transfer as T
 from meshquill.operators.mesh import Mesh
+from meshquill.operators.spline import stencil
 
 MESH = Mesh((200, 200, 200), (-50.0,) * 3, (0.5,) * 3, (False,) * 3)
 
@@ -28,7 +29,7 @@ def particle(spark):
 
 @pytest.mark.parametrize("order,location", [(1, "node"), (2, "cell")])
 def test_affine_gather_known(particle, order, location):
-    grid = field(T.stencil(particle, MESH, location, order, ["pid"]))
+    grid = field(stencil(particle, MESH, location, order, ["pid"]))
     c = T.apic_g2p(particle, MESH, location, order, grid).first().c
     assert c[:3] == pytest.approx(U[order], abs=1e-9)
     if order == 1:
