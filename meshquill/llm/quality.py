@@ -7,12 +7,13 @@ seeded by the document, those with the highest weight plus noise are taken, as i
 another in proportion to their weights. The k-th highest key is found from a histogram of all keys and
 an exact ranking of the few rows of the one bin it falls in, so nothing is sorted as a whole.
 
-Weights are per n-gram and scaled by `sharpness`: raw sums grow with length, which would rank documents
-by how long they are.
+A sum grows with length: so does the evidence, and long documents are drawn, or left, more surely than
+short ones; a `temperature` above 1 divides all weights. The quality reported beside it is the logistic
+of the weight per n-gram, times `sharpness`, and plays no part in the draw.
 
 Edge cases: null and empty texts have no n-gram, weight 0 and quality 0.5, and are drawn last; ties
-(repeated rows) go to the smaller doc_id, then to the smaller text hash; a k of all rows or more takes all; no target
-texts leave every weight 0.
+(repeated rows) go to the smaller doc_id, then to the smaller text hash, then to the first row in the
+table written on the way; a k of all rows or more takes all; no target texts leave every weight 0.
 """
 
 from __future__ import annotations
@@ -71,17 +72,14 @@ def _weigh(ratio: np.ndarray):
 
 
 def resample(
-    docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.8, sharpness: float = 24.0, seed: int = 5, most_targets: int = 20_000
+    docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.8, temperature: float = 1.0, sharpness: float = 24.0, seed: int = 5
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_grams, log_weight, quality (0 to 1), resample_key, kept (drawn:
-    round(share * rows) of them). targets: ids of target texts; about `most_targets` of them are used,
-    picked by a hash of their id (the documented bound of the fitting sample). Raw counts cover all rows."""
-    wanted = targets.select(F.col(f"`{id_col}`").cast("long").alias("__id")).filter("__id IS NOT NULL").distinct()
-    many = wanted.count()
-    unit = F.pmod(F.xxhash64("__id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    wanted = wanted.filter(unit < min(1.0, most_targets / max(1, many))).withColumn("__target", F.lit(True))
+    round(share * rows) of them). targets: ids of target texts. Both models are counted over all their texts."""
+    wanted = targets.select(F.col(f"`{id_col}`").cast("long").alias("__id")).filter("__id IS NOT NULL").distinct().withColumn("__target", F.lit(True))
     rows = text_rows(docs, id_col, text_col).withColumn("__key", F.xxhash64("__text"))
-    marked = rows.select("__id", "__text").join(F.broadcast(wanted), "__id", "left").select("__text", F.coalesce("__target", F.lit(False)).alias("__target"))
+    named = rows.filter("__id IS NOT NULL").select("__id", "__text").join(wanted, "__id", "left").select("__text", F.coalesce("__target", F.lit(False)).alias("__target"))
+    marked = named.unionByName(rows.filter("__id IS NULL").select("__text", F.lit(False).alias("__target")))
     counts = marked.mapInArrow(_count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # BUCKETS rows at most
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
     for r in counts:
@@ -95,33 +93,46 @@ def resample(
     gumbel = -F.log(-F.log(uniform))
     weighed = rows.mapInArrow(_weigh(ratio), "doc_id long, key long, n_grams long, log_weight double")
     weighed = weighed.withColumn("quality", 1 / (1 + F.exp(-F.lit(sharpness) * mean)))
-    key = F.when(F.col("n_grams") > 0, F.lit(sharpness) * mean + gumbel).otherwise(gumbel - 1000)
-    weighed = materialise(weighed.withColumn("resample_key", key), "weights")
+    # without n-grams: below every weight there can be
+    key = F.when(F.col("n_grams") > 0, F.col("log_weight") / F.lit(float(temperature)) + gumbel).otherwise(gumbel - 1e15)
+    weighed = materialise(weighed.withColumns({"resample_key": key, "row": F.monotonically_increasing_id()}), "weights")
     n = weighed.count()
     return _top(weighed, round(share * n), n)
 
 
 def _top(rows: DataFrame, k: int, n: int) -> DataFrame:
-    """rows with kept: the k highest resample_keys."""
+    """rows with kept: the k highest resample_keys; row tells all rows apart."""
     out = ["doc_id", "n_grams", "log_weight", "quality", "resample_key"]
     if k >= n:
         return rows.select(*out, F.lit(True).alias("kept"))
     if k <= 0:
         return rows.select(*out, F.lit(False).alias("kept"))
-    lo, hi = rows.agg(F.min("resample_key"), F.max("resample_key")).first()
-    hi, above = hi + 1e-9 * (1 + abs(hi)), 0
-    while True:  # a histogram of the range that holds the k-th highest, until few rows are left in it
+    lo, top, above, left = _edge(rows, "resample_key", k)
+    key = F.col("resample_key")
+    edge, kept = (key >= lo) & (key <= top), key > top
+    if left > EDGE_ROWS:  # so many rows with one key are copies of a row: the first of them, again by a histogram
+        first, last, ahead, _ = _edge(rows.filter(edge).withColumn("turn", -F.col("row").cast("double")), "turn", k - above)
+        turn = -F.col("row").cast("double")
+        kept = kept | (edge & (turn > last))
+        edge = edge & (turn >= first) & (turn <= last)
+        above += ahead
+    w = Window.orderBy(F.desc("resample_key"), F.asc_nulls_last("doc_id"), "key", "row")
+    tail = rows.filter(edge).withColumn("kept", F.row_number().over(w) <= k - above)
+    return rows.filter(~edge).withColumn("kept", kept).select(*out, "kept").unionByName(tail.select(*out, "kept"))
+
+
+def _edge(rows: DataFrame, column: str, k: int) -> tuple[float, float, int, int]:
+    """(lo, hi, above, n): the k-th highest is among the n rows from lo to hi, `above` are higher. n is at most
+    EDGE_ROWS, unless all n are equal."""
+    x = F.col(column)
+    lo, hi = rows.agg(F.min(x), F.max(x)).first()
+    above, left = 0, EDGE_ROWS + 1
+    while lo < hi and left > EDGE_ROWS:  # a histogram of the range that holds it
         step = (hi - lo) / BINS
-        within = rows.filter((F.col("resample_key") >= lo) & (F.col("resample_key") < hi))
-        found = within.groupBy(F.least(F.lit(BINS - 1), F.floor((F.col("resample_key") - lo) / step)).alias("bin")).agg(F.count("*").alias("n"), F.min("resample_key").alias("lo"), F.max("resample_key").alias("hi")).collect()  # BINS rows at most
+        found = rows.filter((x >= lo) & (x <= hi)).groupBy(F.least(F.lit(BINS - 1), F.floor((x - lo) / step)).alias("bin")).agg(F.count("*").alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).collect()  # BINS rows at most
         for r in sorted(found, key=lambda r: -r.bin):
             if above + r.n >= k:
                 break
             above += r.n
-        lo, top, hi = r.lo, r.hi, float(np.nextafter(r.hi, np.inf))
-        if r.n <= EDGE_ROWS or lo == top:
-            break
-    w = Window.orderBy(F.desc("resample_key"), F.asc_nulls_last("doc_id"), "key")
-    edge = (F.col("resample_key") >= lo) & (F.col("resample_key") <= top)
-    last = rows.filter(edge).withColumn("kept", F.row_number().over(w) <= k - above)
-    return rows.filter(~edge).withColumn("kept", F.col("resample_key") > top).select(*out, "kept").unionByName(last.select(*out, "kept"))
+        lo, hi, left = r.lo, r.hi, r.n
+    return lo, hi, above, left

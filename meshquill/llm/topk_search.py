@@ -9,13 +9,14 @@ place becoming one there and a carry. From the highest sum slice down the standa
 the k-th largest coarse sum. Dropped low bits can add at most the sum of the weights, so rows within
 that of the k-th are the boundary; they are resolved by exact integer inner products on stored values.
 
-Blocks of queries meet blocks of vectors by an equi-join on the block's number. Every row is indexed
-and the answer is exact, so recall is 1. The best k of each block are merged by a ranked window.
+A task gets the index of a block of vectors once, then the blocks of queries one after another; few
+blocks are each sent to several tasks, which share the queries. Every row is indexed and the answer is
+exact, so recall is 1. The best k of each block are merged by a ranked window.
 
 Edge cases: null vectors, null ids and vectors with null or non-finite components take no part;
 shorter vectors count as padded with zeros; a query's own rows (equal id) are not its candidates; ties
 go to the smaller id; with fewer candidates all are returned; no rows or no queries give no rows.
-Scores must fit in 64 bits.
+Scores that might not fit in 64 bits are refused (ValueError), before any search.
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from meshquill.llm.shared import materialise, partitions
+from meshquill.llm.shared import bound_batches, materialise, partitions
 
 BLOCK_ROWS, QUERY_ROWS, SLICES = 32_768, 256, 6
+BLOCK_BYTES = 32 << 20  # of a block's integers: wide vectors make shorter blocks
+MOST_SCORE = 2.0**62
 
 
 def _integers(scale: float):
@@ -43,11 +46,14 @@ def _integers(scale: float):
             x = flat.to_numpy(zero_copy_only=False).astype(np.float64)
             bad = np.isin(np.arange(len(v)), of[~np.isfinite(x)]) | np.asarray(v.is_null()) | np.asarray(batch.column("id").is_null())
             with np.errstate(invalid="ignore"):
-                y = np.where(np.isfinite(x), np.floor(scale * x), 0).astype("<i8")
+                whole = np.where(np.isfinite(x), np.floor(scale * x), 0)
+                y = np.clip(whole, -(2.0**62), 2.0**62).astype("<i8")
+            most = np.zeros(len(v))
+            np.maximum.at(most, of, np.abs(whole))
             at = np.append(0, np.cumsum(n) * 8).astype(np.int32)
             blob = pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer(at), pa.py_buffer(y)])
             keep = pa.array(~bad)
-            yield pa.record_batch([batch.column("id").filter(keep), blob.filter(keep)], ["id", "v"])
+            yield pa.record_batch([batch.column("id").filter(keep), blob.filter(keep), pa.array(most).filter(keep)], ["id", "v", "most"])
 
     return run
 
@@ -155,19 +161,21 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _search(k: int):
+    """Rows by (block, part, seq): a block's index, seq -1, then the queries that meet it there."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, index, ids = None, None, None
+        index, ids = None, None
         for batch in batches:
             for r in range(batch.num_rows):
-                get = lambda c: batch.column(c)[r].as_py()  # noqa: B023, E731
-                if (block := get("block")) != last:
-                    last, ids = block, np.frombuffer(get("ids"), "<i8")
-                    index = Index(np.frombuffer(get("data"), "<i8").reshape(len(ids), get("width")))
-                q_ids = np.frombuffer(get("q_ids"), "<i8")
-                queries = np.frombuffer(get("q_data"), "<i8").reshape(len(q_ids), get("q_width"))
-                width = min(index.width, queries.shape[1])
+                get = lambda c: batch.column(c)[r]  # noqa: B023, E731
+                own = np.frombuffer(get("ids").as_buffer(), "<i8")
+                values = np.frombuffer(get("data").as_buffer(), "<i8").reshape(len(own), get("width").as_py())
+                if get("seq").as_py() < 0:
+                    ids, index = own.copy(), Index(values.copy())
+                    continue
+                width = min(index.width, values.shape[1])
                 found = []
-                for q_id, q in zip(q_ids, queries):
+                for q_id, q in zip(own, values):
                     rows = index.top(q, k, np.flatnonzero(ids == q_id))
                     score = index.values[rows, :width] @ q[:width]
                     best = np.lexsort((ids[rows], -score))[:k]
@@ -184,14 +192,20 @@ def _blocks(rows: DataFrame, count: int) -> DataFrame:
 
 def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: float = 1024.0) -> DataFrame:
     """Each query's k best: query_id, rank, vec_id, score. is_query picks the queries among the rows, by their id named `id`."""
+    bound_batches(vectors.sparkSession)
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
-    rows = materialise(rows.mapInArrow(_integers(scale), "id long, v binary"), "integers")
-    queries = rows.filter(is_query)
-    n, q = rows.count(), queries.count()
-    index_blocks, query_blocks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-q // QUERY_ROWS))
-    index = materialise(_blocks(rows, index_blocks), "index")
-    asked = _blocks(queries, query_blocks).select(F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("data").alias("q_data"))
+    rows = materialise(rows.mapInArrow(_integers(scale), "id long, v binary, most double"), "integers")
+    n, q, most, size = rows.agg(F.count("*"), F.count(F.when(is_query, 1)), F.coalesce(F.max("most"), F.lit(0.0)), F.coalesce(F.max(F.length("v")), F.lit(0))).first()
+    if most * most * (size // 8) >= MOST_SCORE:
+        raise ValueError(f"scores of up to {most * most * (size // 8):.3g} might not fit in 64 bits: take a smaller scale")
+    per = max(1, min(BLOCK_ROWS, BLOCK_BYTES // max(8, size)))
+    index_blocks, query_blocks = max(1, -(-n // per)), max(1, -(-q // min(QUERY_ROWS, per)))
+    parts = max(1, min(query_blocks, -(-4 * partitions(vectors.sparkSession) // index_blocks)))
+    rows = rows.drop("most")
+    index = materialise(_blocks(rows, index_blocks), "index").withColumns({"part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1))), "seq": F.lit(-1)})
+    asked = materialise(_blocks(rows.filter(is_query), query_blocks), "queries").withColumnRenamed("block", "seq").withColumn("part", F.col("seq") % parts)
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(index_blocks - 1))))
-    met = index.join(asked, "block").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    tasks = max(1, min(index_blocks * parts, 8 * partitions(vectors.sparkSession)))
+    met = index.unionByName(asked).repartition(tasks, "block", "part").sortWithinPartitions("block", "part", "seq").mapInArrow(_search(k), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

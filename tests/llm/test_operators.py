@@ -1,4 +1,5 @@
 import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -180,10 +181,42 @@ def test_quality(spark, docs, none):
     assert all(r.kept and r.log_weight == 0 for r in flat)
 
 
+def test_weights_and_draw_against_plain_ones(spark):
+    """log_weight is the sum of log ratios of both counted models; the draw is by it plus the noise."""
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(rng.choice([f"w{n}" for n in range(30)], int(rng.integers(1, 40))))) for i in range(60)] + [(60, None), (None, "w1 w2")]
+    out = quality.resample(frame(spark, rows), frame(spark, rows).filter("doc_id < 20"), share=0.5).collect()
+
+    def grams(t):
+        w = words_of(*bytes_of(pa.array([t or ""])))
+        return quality._features(w)[0].tolist()
+
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(grams(t))
+        if i is not None and i < 20:
+            target.update(grams(t))
+    total = quality.BUCKETS + sum(raw.values()), quality.BUCKETS + sum(target.values())
+    weight = lambda t: sum(math.log((1 + target[g]) / total[1]) - math.log((1 + raw[g]) / total[0]) for g in grams(t))
+    want = {(i, len(grams(t))): weight(t) for i, t in rows}
+    assert all(r.log_weight == pytest.approx(want[r.doc_id, r.n_grams], abs=1e-9) for r in out) and len(out) == len(rows)
+    noise = [r.resample_key - r.log_weight for r in out if r.n_grams]
+    assert -3 < min(noise) and abs(np.mean(noise) - 0.5772) < 0.6
+    best = sorted(out, key=lambda r: -r.resample_key)[:31]
+    assert {(r.doc_id, r.n_grams) for r in out if r.kept} == {(r.doc_id, r.n_grams) for r in best}
+
+
+def test_many_equal_rows_at_the_edge(spark, monkeypatch):
+    monkeypatch.setattr(quality, "EDGE_ROWS", 5)
+    docs = frame(spark, [(None, "")] * 200 + [(i, "some words here") for i in range(10)])
+    got = quality.resample(docs, docs.filter("doc_id < 3"), share=0.5).collect()
+    assert len(got) == 210 and sum(r.kept for r in got) == 105 and all(r.kept for r in got if r.doc_id is not None)
+
+
 def test_top_is_exact(spark, monkeypatch):
     monkeypatch.setattr(quality, "EDGE_ROWS", 3)
     monkeypatch.setattr(quality, "BINS", 4)
-    rows = spark.range(200).selectExpr("id as doc_id", "1L as key", "1L as n_grams", "0d as log_weight", "0d as quality", "cast(id * 37 % 50 as double) as resample_key")
+    rows = spark.range(200).selectExpr("id as doc_id", "1L as key", "1L as n_grams", "0d as log_weight", "0d as quality", "id as row", "cast(id * 37 % 50 as double) as resample_key")
     got = {r.doc_id for r in quality._top(rows, 61, 200).filter("kept").collect()}
     want = {i for i, _ in sorted(((i, i * 37 % 50) for i in range(200)), key=lambda x: (-x[1], x[0]))[:61]}
     assert got == want
@@ -291,6 +324,27 @@ def test_topk_few_rows(spark):
     assert topk_search.search(d.limit(0), F.col("id") == 0).count() == 0
 
 
+def test_topk_refuses_what_could_overflow(spark):
+    d = spark.createDataFrame([(0, [1e15, 1.0]), (1, [2e15, 0.5])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        topk_search.search(d, F.col("id") == 0)
+
+
+def test_topk_repeated_ids_and_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(topk_search, "QUERY_ROWS", 4)
+    rng = np.random.default_rng(5)
+    v = [(int(i) // 2, [float(x) for x in rng.normal(size=5)]) for i in range(200)]  # every id twice
+    d = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    whole = [(i, np.floor(1024 * np.array(x)).astype(int)) for i, x in v]
+    got = defaultdict(list)
+    for r in topk_search.search(d, F.col("id") % 10 == 0, k=3).collect():
+        got[r.query_id].append((r.score, r.vec_id))
+    for q in range(0, 100, 10):
+        every = [(int(a @ b), j) for i, a in whole if i == q for j, b in whole if j != q]
+        assert sorted(got[q], key=lambda x: (-x[0], x[1])) == sorted(every, key=lambda x: (-x[0], x[1]))[:3]
+
+
 # 7 ------------------------------------------------------------------------------
 
 
@@ -428,10 +482,14 @@ def test_contamination(spark, docs, none):
     for i, t in ROWS:
         for j, q in items:
             a, b = low(q), low(t)
-            if i is not None and a and 100 * len(a & b) >= 75 * len(a):
+            if a and 100 * len(a & b) >= 75 * len(a):
                 want.add((i, j, len(a), len(a & b)))
-    got = {tuple(r)[:4] for r in decontam.find_contamination(docs, bench).collect()}
-    assert {g for g in got if g[0] is not None} == want
+    got = [tuple(r)[:4] for r in decontam.find_contamination(docs, bench).collect()]
+    assert set(got) == want and len(got) == len(want) and any(g[0] is None for g in got)
+    kept = decontam.drop_contaminated(docs, bench)
+    hit = {t for i, t in ROWS for _, q in items if low(q) and 100 * len(low(q) & low(t)) >= 75 * len(low(q))}
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted(((i, t) for i, t in ROWS if t not in hit), key=key)
     assert decontam.find_contamination(none, bench).count() == 0 and decontam.find_contamination(docs, bench.limit(0)).count() == 0
 
 
@@ -448,6 +506,24 @@ def test_short_items_in_long_documents(spark):
     assert got == {(3 * i + n, i) for i in range(40) for n in range(3)}
 
 
+def test_contaminated_rows_without_an_id(spark):
+    """A null id is judged by its own text: two contaminated rows, a clean one."""
+    item = " ".join(f"q{n}" for n in range(30))
+    docs = frame(spark, [(None, item), (1, item), (None, "nothing of the kind is in here at all"), (1, "clean words of one with the same id")])
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert sorted(((r.doc_id, r.item_id) for r in decontam.find_contamination(docs, bench).collect()), key=key) == [(None, 7), (1, 7)]
+    assert sorted(r.text.split()[0] for r in decontam.drop_contaminated(docs, bench).collect()) == ["clean", "nothing"]
+
+
+def test_a_stock_phrase_makes_no_candidates(spark):
+    """Items that share five words with every document are not candidates for all of them, and none that counts is lost."""
+    stock = "all rights reserved by the"
+    items = [(i, " ".join([*(f"q{i}_{n}" for n in range(20)), stock])) for i in range(30)]
+    docs = [(i, " ".join([*(f"r{i}_{n}" for n in range(60)), stock, *(items[i][1].split() if i < 5 else [])])) for i in range(300)]
+    got = {(r.doc_id, r.item_id) for r in decontam.find_contamination(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i) for i in range(5)}
+
+
 def test_items_of_few_shingles(spark):
     rng = np.random.default_rng(5)
     items = [(i, " ".join(f"q{i}_{n}" for n in range(3 + i % 12))) for i in range(240)]  # 3 to 14 words
