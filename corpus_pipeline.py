@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshquill.llm.decontam import find_contamination
+from meshquill.llm.decontam import drop_contaminated
 from meshquill.llm.langid import crc_of_id
 from meshquill.llm.mixing import mix_sources, mixed_documents
 from meshquill.llm.near_dedup import near_duplicates
@@ -35,8 +35,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose own text holds no benchmark item. Null texts stay, null ids are no matter, repeated rows go or
+    stay together; an empty benchmark or empty docs change nothing."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
