@@ -558,6 +558,51 @@ def test_warc(spark, tmp_path):
     assert gzip.open(tmp_path / "a.warc.gz").read().startswith(b"WARC/1.1\r\n")
 
 
+def test_warc_hot_payloads_files_and_ids(spark, tmp_path, monkeypatch):
+    """One payload in most rows, null ids, repeated rows; archives that roll over, read back as files."""
+    monkeypatch.setattr(warc, "HOT", 5)
+    rows = [(i if i % 7 else None, "u", "h" * 1500) for i in range(60)] + [(100 + i, "u", f"p{i // 2} " * 500) for i in range(10)] + [(200, "v", "a" * (3 << 20)), (300, None, None), (300, None, None)]
+    rows += [(400 + i, "w", hashlib.sha256(bytes([i])).hexdigest() * 20) for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = warc.write_warc(pages.repartition(3), level=0)
+    order = lambda x: sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in x.collect()), key=key)
+    want = []
+    for i, _, t in rows:
+        n, last = len(t or ""), max((j for j, _, u in rows if u == t and j is not None), default=None)
+        again = n >= 1000 and last is not None and i != last
+        want.append((i, n, "revisit" if again else "response", last if again else None))
+    assert order(warc.read_warc(spark, path)) == sorted(want, key=key)
+    names = sorted({r.archive for r in spark.read.parquet(path).select("archive").collect()})
+    (tmp_path / "w").mkdir()
+    ids = []
+    for name in names:
+        to = str(tmp_path / "w" / f"{name}.warc.gz")
+        warc.export_archive(spark, path, name, to)
+        ids += [warc.parse(m)["head"]["WARC-Record-ID"] for m in warc.members([open(to, "rb").read()])]
+    assert order(warc.read_files(spark, str(tmp_path / "w"))) == sorted(want, key=key)
+    assert len(set(ids)) == len(ids) == len(rows)
+
+
+def test_warc_archives_roll_over(spark, monkeypatch):
+    pages = spark.range(300).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 200).alias("html"))
+    out, number = [], warc._write(0)
+    monkeypatch.setattr(warc, "CHUNK_BYTES", 100_000)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 400_000)
+    monkeypatch.setattr(warc, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    rows = pages.select("page_id", "url", "html", F.sha1("html").alias("d"), F.lit(None).cast("long").alias("last")).toArrow()
+    for b in number(iter(rows.to_batches())):
+        out += list(zip(b.column("archive").to_pylist(), b.column("seq").to_pylist(), b.column("data").to_pylist()))
+    assert len({a for a, _, _ in out}) > 3 and [s for a, s, _ in out if a == out[0][0]] == list(range(4))
+    got = [r for b in warc._read(iter([pa.record_batch([pa.array([a for a, _, _ in out]), pa.array([d for _, _, d in out], pa.binary())], ["archive", "data"])])) for r in b.column("page_id").to_pylist()]
+    assert got == list(range(300))
+
+
+def test_warc_refuses_a_record_beyond_the_bound(monkeypatch):
+    monkeypatch.setattr(warc, "MOST_RECORD", 1000)
+    with pytest.raises(ValueError, match="more than 1000 bytes"):
+        list(warc.members([warc.record("response", 1, "u", b"x" * 5000, "d")]))
+
+
 def test_warc_reader_refuses_damage():
     payload = b"body " * 50
     good = warc.record("response", 1, "http://x", payload, hashlib.sha1(payload).hexdigest())
