@@ -32,6 +32,7 @@ from meshquill.llm.words import chunks, mix, ngram_hash
 BUCKETS = 1 << 16
 BINS = 4096
 EDGE_ROWS = 10_000  # ranked one by one
+BROADCAST_IDS = 2_000_000  # of target texts: about 32 MB; more are joined by a shuffle
 
 
 def _features(w) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +79,7 @@ def resample(
     round(share * rows) of them). targets: ids of target texts. Both models are counted over all their texts."""
     wanted = targets.select(F.col(f"`{id_col}`").cast("long").alias("__id")).filter("__id IS NOT NULL").distinct().withColumn("__target", F.lit(True))
     rows = text_rows(docs, id_col, text_col).withColumn("__key", F.xxhash64("__text"))
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     named = rows.filter("__id IS NOT NULL").select("__id", "__text").join(wanted, "__id", "left").select("__text", F.coalesce("__target", F.lit(False)).alias("__target"))
     marked = named.unionByName(rows.filter("__id IS NULL").select("__text", F.lit(False).alias("__target")))
     counts = marked.mapInArrow(_count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()  # BUCKETS rows at most
