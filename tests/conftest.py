@@ -24,3 +24,7 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+def pytest_configure(config):
+    config.addinivalue_line("markers", "slow: takes a minute or more")

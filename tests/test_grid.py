@@ -104,6 +104,31 @@ def test_bilinear_roundtrip(spark, n):
         assert r.ok and r.ref == pytest.approx(pts[r.pid])
 
 
+def test_newton_crosses_cells_and_wraps(spark):
+    """Starts far from the goal on a bent mesh, one dimension of it periodic; singular cells give up."""
+    cells = (8, 6)
+    mesh = ME.Mesh(cells, (0.0, 0.0), (1.0, 1.0), (False, False))
+    nodes = mesh.entities(spark).select("i", "j", F.array(F.col("i") + 0.1 * F.col("j"), F.col("j") + 0.02 * F.col("i") * F.col("j")).alias("x"))
+    m = MP.BilinearMapping(cells, (False, False), nodes)
+    goal = [(n, 0.3 + 0.9 * n, 5.7 - 0.6 * n) for n in range(8)]
+    at = m.forward(spark.createDataFrame(goal, "pid long, r0 double, r1 double"), "pid")
+    start = at.select("pid", "x0", "x1", F.lit(7.5).alias("r0"), F.lit(0.5).alias("r1"))
+    got = {r.pid: r for r in m.reverse(start, "pid").collect()}
+    assert len(got) == 8 and all(got[n].ok and got[n].ref == pytest.approx([a, b], abs=1e-9) for n, a, b in goal)
+    flat = MP.BilinearMapping(cells, (False, False), nodes.withColumn("x", F.array(F.lit(1.0), F.lit(2.0))))
+    assert not any(r.ok for r in flat.reverse(start, "pid").collect())
+    assert m.reverse(start.limit(0), "pid").count() == 0
+
+
+@pytest.mark.slow
+def test_newton_on_more_than_two_million_nodes(spark):
+    m = MP.uniform_bilinear(spark, [0.0] * 3 + [130.0] * 3, 1.0, (False,) * 3)
+    ref = spark.createDataFrame([(n, 0.4 + 25.3 * n, 129.7 - 25 * n, 64.2) for n in range(5)], "pid long, r0 double, r1 double, r2 double")
+    start = m.forward(ref, "pid").select("pid", "x0", "x1", "x2", *(F.lit(10.5).alias(f"r{d}") for d in range(3)))
+    got = {r.pid: r for r in m.reverse(start, "pid").collect()}
+    assert all(got[r.pid].ok and got[r.pid].ref == pytest.approx([r.r0, r.r1, r.r2]) for r in ref.collect())
+
+
 def test_stl(spark, tmp_path):
     text = ["solid Volume 7", *["  facet normal 0 0 0", "    outer loop", "      vertex 0 0 0", "      vertex 1.5e0 0 0", "      vertex 0 -2 0", "    endloop", "  endfacet"], "endsolid Volume 7", "solid Surface 2", "endsolid Surface 2"]
     f = tmp_path / "a.stl"
