@@ -2,14 +2,17 @@
 
 The words of each source, its documents one after another, are packed into blocks of `block` words.
 Targets share the wanted total by weight and stop at `most` times their source's size; the excess is
-shared again by weight until none is above. For every output shard the counts of slots per source are
-a multinomial draw from what the sources still owe, so each source's total is met exactly. A source's
-k-th slot is block `permutation(k mod blocks)` of pass `k div blocks`; the permutation is a seeded
-four-round Feistel network, walked until it falls inside. Slots find their blocks by a join on
-(source, block index). The last slot of a source takes only the words still wanted.
+shared again by weight until none is above. The counts of slots per source in every output shard are a
+multinomial draw from what the sources still owe, so each source's total is met exactly; shards are
+drawn by halving the range of shards with a seed per half, so any task draws any shard by itself, and
+neither the driver nor the number of shards limits them. A source's k-th slot is block
+`permutation(k mod blocks)` of pass `k div blocks`; the permutation is a seeded four-round Feistel
+network, walked until it falls inside. Slots find their blocks by a join on (source, block index). The
+last slot of a source takes only the words still wanted.
 
 Skew: a source's documents are laid out in LANES lanes by a hash of their id, each placed on its own,
-so a source with a third of all rows is many groups; blocks of a source are spread by their index.
+so a source with a third of all rows is many groups; blocks of a source are spread by their index. What
+the driver holds, and tasks are sent, is a row per source.
 
 Edge cases: null or empty texts have size 0 and are taken 0 times; a null source is a source like
 others, last in order; repeated rows are documents of their own, numbered apart; no rows give no rows.
@@ -25,15 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from meshquill.llm.shared import materialise
+from meshquill.llm.shared import materialise, partitions
 from meshquill.llm.words import C, chunks, mix
 
 WORD = r"[^\x20\x09-\x0D]+"
 LANES = 1024
 BLOCK = 64
 SHARD_SLOTS = 65_536
-MOST_SHARDS = 20_000  # beyond, shards grow: the counts are drawn on the driver
 BATCH_SLOTS = 1 << 18
+BROADCAST_LANES = 1 << 19  # rows: about 32 MB
 
 
 def size_of(text: Column) -> Column:
@@ -86,36 +89,59 @@ def place_of(x: int, n: int, seed: int) -> int:
             return int(y[0])
 
 
-def draw(slots: np.ndarray, seed: int, shard_slots: int) -> list[tuple[int, int, int, int]]:
-    """(shard, source, slots, first) of every shard: multinomial counts out of what is still owed."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    left, done, out, shard = slots.copy(), np.zeros(len(slots), np.int64), [], 0
-    while left.sum() > 0:
-        room = min(shard_slots, int(left.sum()))
-        take = np.zeros(len(left), np.int64)
-        while room > 0:
-            more = np.minimum(rng.multinomial(room, (left - take) / (left - take).sum()), left - take)
-            take += more
-            room -= int(more.sum())
-        out += [(shard, int(s), int(take[s]), int(done[s])) for s in np.flatnonzero(take)]
-        left, done, shard = left - take, done + take, shard + 1
-    return out
-
-
-def _slots(size: np.ndarray, owed: list[tuple[int, int]], block: int, seed: int):
+def _taken(rng: np.random.Generator, owed: np.ndarray, room: int) -> np.ndarray:
+    """room slots by a multinomial draw from what is owed, none beyond that."""
+    take = np.zeros(len(owed), np.int64)
+    while room > 0:
+        left = owed - take
+        more = np.minimum(rng.multinomial(room, left / left.sum()), left)
+        take += more
+        room -= int(more.sum())
+    return take
+
+
+class Shards:
+    """The counts of slots per source in every shard: a range of shards takes its slots, its first half draws its
+    own from those, the second half has the rest."""
+
+    def __init__(self, slots: np.ndarray, seed: int, shard_slots: int):
+        self.slots, self.seed, self.size, self.total = slots, seed, shard_slots, int(slots.sum())
+        self.count = -(-self.total // shard_slots)
+        self.known: dict[tuple[int, int], np.ndarray] = {}
+
+    def of(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
+        """Slots per source in the shard, and in those before it."""
+        lo, hi, own, before = 0, self.count, self.slots, np.zeros(len(self.slots), np.int64)
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            if (first := self.known.get((lo, hi))) is None:
+                first = _taken(np.random.Generator(np.random.PCG64([self.seed, lo, hi])), own, (mid - lo) * self.size)
+                if len(self.known) > 4096:
+                    self.known.clear()
+                self.known[lo, hi] = first
+            if shard < mid:
+                hi, own = mid, first
+            else:
+                lo, own, before = mid, own - first, before + first
+        return own, before
+
+
+def _slots(size: np.ndarray, owed: list[tuple[int, int]], block: int, seed: int, shards: Shards):
     """Rows of every drawn slot: shard, slot, source, block, pass and how many words it takes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, s, n, first in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for shard in (x for batch in batches for x in batch.column("shard").to_pylist()):
+            counts, before = shards.of(shard)
+            for s in np.flatnonzero(counts):
+                n, first = int(counts[s]), int(before[s])
                 blocks, last = -(-int(size[s]) // block), owed[s]
                 for lo in range(0, n, BATCH_SLOTS):
                     slot = np.arange(lo, min(n, lo + BATCH_SLOTS))
                     k = first + slot
-                    at = permuted(k % blocks, blocks, seed * 1_000_003 + s)
+                    at = permuted(k % blocks, blocks, seed * 1_000_003 + int(s))
                     words = np.minimum(block, size[s] - at * block)
                     words[k == last[0]] = last[1]
-                    yield pa.record_batch([pa.array(np.full(len(k), shard), pa.int32()), pa.array(slot, pa.int32()), pa.array(np.full(len(k), s), pa.int32()), pa.array(at), pa.array(k // blocks, pa.int32()), pa.array(words, pa.int32())], ["shard", "slot", "source_id", "block", "turn", "words"])
+                    yield pa.record_batch([pa.array(np.full(len(k), shard), pa.int64()), pa.array(slot, pa.int32()), pa.array(np.full(len(k), s), pa.int32()), pa.array(at), pa.array(k // blocks, pa.int32()), pa.array(words, pa.int32())], ["shard", "slot", "source_id", "block", "turn", "words"])
 
     return run
 
@@ -163,15 +189,17 @@ def mix_sources(
     w = Window.partitionBy("source", "lane").orderBy("doc_id", "__key", "__copy").rowsBetween(Window.unboundedPreceding, -1)
     begin = F.coalesce(F.sum("size").over(w), F.lit(0)).alias("at")
     placed = rows.select("doc_id", "__key", "__copy", "size", "source", "lane", begin)
-    placed = placed.join(F.broadcast(lanes.select(F.col("source").alias("s2"), F.col("lane").alias("l2"), "begin")), placed.source.eqNullSafe(F.col("s2")) & (placed.lane == F.col("l2")))  # LANES rows a source at most
-    placed = placed.join(F.broadcast(sources.withColumnRenamed("source", "s3")), placed.source.eqNullSafe(F.col("s3")))
+    few = len(found) * LANES <= BROADCAST_LANES  # LANES rows a source at most; more are joined by a shuffle
+    small = F.broadcast if few else lambda x: x
+    placed = placed.join(small(lanes.select(F.col("source").alias("s2"), F.col("lane").alias("l2"), "begin")), placed.source.eqNullSafe(F.col("s2")) & (placed.lane == F.col("l2")))
+    placed = placed.join(small(sources.withColumnRenamed("source", "s3")), placed.source.eqNullSafe(F.col("s3")))
     placed = materialise(placed.select("doc_id", "__key", "__copy", "size", "source_id", "source_size", "target", (F.col("begin") + F.col("at")).alias("at")), "placed")
     pieces = placed.filter("size > 0").select("doc_id", "__key", "__copy", "source_id", "at", "size", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block"))
     lo = F.greatest("at", F.col("block") * block)
     pieces = pieces.select("doc_id", "__key", "__copy", "source_id", "block", (lo - F.col("at")).alias("first"), (lo - F.col("block") * block).cast("int").alias("skip"), (F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block) - lo).cast("int").alias("n"))
-    shard_slots = max(shard_slots, -(-int(slots.sum()) // MOST_SHARDS))
-    drawn = spark.createDataFrame(draw(slots, seed, shard_slots), "shard int, source_id int, n int, first long").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "source_id")
-    drawn = drawn.mapInArrow(_slots(size, owed, block, seed), "shard int, slot int, source_id int, block long, turn int, words int")
+    shards = Shards(slots, seed, shard_slots)
+    drawn = spark.range(0, shards.count, 1, max(1, min(shards.count, 4 * partitions(spark)))).select(F.col("id").alias("shard"))
+    drawn = drawn.mapInArrow(_slots(size, owed, block, seed, shards), "shard long, slot int, source_id int, block long, turn int, words int")
     # without the hint the few drawn rows pass for a small side, though each becomes thousands of slots
     picks = drawn.hint("shuffle_merge").join(pieces, ["source_id", "block"]).filter(F.col("words") > F.col("skip"))
     picks = picks.select("shard", "source_id", "slot", "turn", "doc_id", "__key", "__copy", "first", F.least(F.col("n"), F.col("words") - F.col("skip")).alias("n"))

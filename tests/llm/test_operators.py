@@ -157,6 +157,59 @@ def test_mixing(spark, docs):
     assert sum(taken.values()) == sum(r[4] for r in rows) and set(taken) <= set(total)
 
 
+def test_shards_are_drawn_alike_anywhere():
+    slots = np.array([700, 0, 1, 5000, 333])
+    every = mixing.Shards(slots, 3, 100)
+    got = [every.of(i) for i in range(every.count)]
+    assert (sum(c for c, _ in got) == slots).all()
+    assert [int(c.sum()) for c, _ in got] == [100] * 60 + [34]
+    assert all((b == sum((c for c, _ in got[:i]), np.zeros(5, int))).all() for i, (_, b) in enumerate(got))
+    for i in (60, 7, 0, 31):
+        own, before = mixing.Shards(slots, 3, 100).of(i)
+        assert (own == got[i][0]).all() and (before == got[i][1]).all()
+
+
+@pytest.mark.parametrize("shard_slots", [7, 65_536])
+def test_mixing_against_a_plain_one(spark, docs, shard_slots):
+    """taken of every document, from a plain walk over the permuted blocks of its source's words."""
+    docs = docs.withColumn("source", F.when(F.col("doc_id") % 4 == 0, None).otherwise(F.col("source")))
+    out, picks = mixing.mix_sources(docs, shard_slots=shard_slots)
+    assert picks.agg(F.countDistinct("shard", "slot", "source_id")).first()[0] == picks.select("shard", "slot", "source_id").distinct().count()
+    keyed = docs.select("doc_id", "source", F.xxhash64("text").alias("k"), F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(mixing.LANES)).alias("lane"), "text").collect()
+    by = defaultdict(list)
+    for r in keyed:
+        by[r.source].append(((r.lane, r.doc_id is not None, r.doc_id or 0, r.k), len(words(r.text)), r.doc_id, r.text))
+    names = sorted(by, key=lambda x: (x is None, x or ""))
+    size = np.array([sum(n for _, n, _, _ in by[s]) for s in names])
+    target = mixing.targets(size, np.array([(3, 1, 2)[i % 3] for i in range(len(names))], float), 1.5 * size.sum(), 2.0)
+    want = Counter()
+    for s, name in enumerate(names):
+        line = [(i, t) for _, n, i, t in sorted(by[name], key=lambda x: x[0]) for _ in range(n)]
+        left, blocks, turn = int(target[s] + 1e-9), -(-len(line) // 64), 0
+        while left > 0:
+            order = mixing.permuted(np.arange(blocks), blocks, 11 * 1_000_003 + s)
+            for b in order:
+                take = line[b * 64 : (b + 1) * 64][:left]
+                want.update(take)
+                left -= len(take)
+    texts = Counter((i, len(words(t))) for i, t in ROWS)
+    plain = defaultdict(int)
+    for (i, t), n in want.items():
+        plain[i, len(words(t))] += n
+    have = defaultdict(int)
+    for r in out.collect():
+        have[r.doc_id, r["size"]] += r.taken
+    assert set(have) == set(texts) and all(have[x] == plain[x] for x in have)
+
+
+def test_mixing_repeated_rows_without_an_id(spark):
+    docs = frame(spark, [(None, "a b c")] * 5 + [(1, "d e")] * 3 + [(None, None)] * 2)
+    out, picks = mixing.mix_sources(docs)
+    rows = out.collect()
+    assert len(rows) == 10 and sum(r.taken for r in rows) == 31 and all(r.taken <= 2 * r["size"] for r in rows)
+    assert sum(len(words(r.text)) for r in mixing.mixed_documents(docs, picks).collect()) == 31
+
+
 def test_mixing_empty(none):
     out, picks = mixing.mix_sources(none)
     assert out.count() == 0 and mixing.mixed_documents(none, picks).count() == 0
