@@ -6,9 +6,11 @@ to the bucket of that minimiser, so equal windows meet without sending every win
 windows are sorted by hash and neighbours are compared byte by byte, so counts are exact.
 
 Skew: a chunk of texts sends each distinct super-k-mer once, for its smallest doc_id (the other
-holders are known repeats there and then). Minimisers are counted first, over all texts, in a fixed
-number of bins; windows of a bin that would fill a good part of a bucket go one by one to the bucket
-of their own hash instead.
+holders are known repeats there and then). Minimisers are counted first, over all texts, in bins whose
+number follows the input's size; windows of a bin that would fill a good part of a bucket go one by one
+to the bucket of their own hash instead. That part is a fixed number of windows up to some terabytes of
+text; beyond, where bins are as many as a task can count, it is three bins' mean (10 million windows at
+100 TB), which a task still holds.
 
 Edge cases: null text or no words gives no windows, and 0 words; a null doc_id neither counts as a
 source of repeats nor loses words; repeated rows with one doc_id don't remove each other's words.
@@ -23,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshquill.llm.shared import partitions, text_rows
+from meshquill.llm.shared import materialise, partitions, text_rows
 from meshquill.llm.words import C, chunks, equal_ranges, gather, mix, ngram_hash, sliding_min, trim, words_of
 
-BINS = 1 << 13
+BIN_BITS, BIN_BYTES = (13, 22), 128 << 10  # bins: one per so many bytes of input, 2**13 to 2**22 of them
 BUCKET_WINDOWS = 1_500_000  # aimed at; a bucket is worked through in PARTS, so this bounds packed bytes only
 PARTS = 16
 HOT_LEAST, HOT_SHARE = 2_000, 0.25  # a bin is hot beyond so many windows and that part of a bucket
@@ -46,16 +48,22 @@ def _windows(w, window: int, m: int):
     return h, ngram_hash(h, window), small, np.arange(len(small)) + window <= last
 
 
-def _bin(minimiser: np.ndarray) -> np.ndarray:
-    return (mix(minimiser, 7) >> np.uint64(64 - 13)).astype(np.int64)
+def _bin(minimiser: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(minimiser, 7) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _count(window: int, m: int):
+def _bits(rows: DataFrame) -> int:
+    """How many bins to count minimisers in, as a power of two: more of a larger input."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(BIN_BITS[1], max(BIN_BITS[0], (size // BIN_BYTES).bit_length()))
+
+
+def _count(window: int, m: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(BINS, np.int64)
+        seen = np.zeros(1 << bits, np.int64)
         for batch, w in chunks(batches, "__text"):
             _, _, small, valid = _windows(w, window, m)
-            seen += np.bincount(_bin(small[valid]), minlength=BINS)
+            np.add.at(seen, *np.unique(_bin(small[valid], bits), return_counts=True))
         some = np.flatnonzero(seen)
         yield pa.record_batch([pa.array(some, pa.int32()), pa.array(seen[some], pa.int64())], ["bin", "n"])
 
@@ -81,9 +89,9 @@ def _unpack(blob: bytes) -> tuple[list[np.ndarray], np.ndarray]:
     return out, np.frombuffer(body, np.uint8, offset=at)
 
 
-def _send(window: int, m: int, hot: np.ndarray, buckets: int):
+def _send(window: int, m: int, hot: np.ndarray, buckets: int, bits: int):
     """Map side: the chunk's distinct super-k-mers by bucket, and what is known to repeat already."""
-    is_hot = np.zeros(BINS, bool)
+    is_hot = np.zeros(1 << bits, bool)
     is_hot[hot] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +102,7 @@ def _send(window: int, m: int, hot: np.ndarray, buckets: int):
             text = w.text_of()
             ids = batch.column("__id").to_numpy(zero_copy_only=False)
             keys = batch.column("__key").to_numpy(zero_copy_only=False)
-            alone = is_hot[_bin(small)]
+            alone = is_hot[_bin(small, bits)]
             cut = np.ones(len(small), bool)  # a super-k-mer begins here
             cut[1:] = (small[1:] != small[:-1]) | (text[1 : len(small)] != text[: len(small) - 1]) | alone[1:]
             first = np.flatnonzero(cut & valid)
@@ -280,13 +288,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     rows = text_rows(docs, id_col, text_col).withColumn("__key", F.xxhash64("__text"))
     source = rows.filter("__id IS NOT NULL AND __text IS NOT NULL")
-    seen = source.select("__text").mapInArrow(_count(window, m), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()  # BINS rows at most
-    total = sum(r.n for r in seen)
+    bits = _bits(docs)
+    seen = materialise(source.select("__text").mapInArrow(_count(window, m, bits), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")), "minimisers")
+    total = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(2 * partitions(spark), -(-total // BUCKET_WINDOWS))
-    hot = np.array([r.bin for r in seen if r.n > max(HOT_LEAST, HOT_SHARE * total / buckets, 12 * HOT_SHARE * total / BINS)], np.int64)
+    most = max(HOT_LEAST, HOT_SHARE * total / buckets, 12 * HOT_SHARE * total / (1 << bits))
+    hot = np.array([r.bin for r in seen.filter(F.col("n") > most).collect()], np.int64)  # a third of the bins at most, a few in fact
     tasks = max(partitions(spark), min(buckets, 4 * partitions(spark)))
     spans = (
-        source.mapInArrow(_send(window, m, hot, buckets), PACKED)
+        source.mapInArrow(_send(window, m, hot, buckets, bits), PACKED)
         .repartition(tasks, "bucket")
         .sortWithinPartitions("bucket")
         .mapInArrow(_receive(window), "__id long, __key long, s int, e int")

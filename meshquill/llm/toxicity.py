@@ -9,14 +9,18 @@ length alone; inserted letters only lower a weight.
 A unit's Nystroem features against m landmarks are K_mm^(-1/2) k_m(unit); a linear hinge-loss machine
 on them is trained on the units of labelled sentences, multiple-instance style: every unit of a clean
 text is a negative, and the units typical of toxic texts (then each toxic text's best-scoring unit)
-are the positives, each also with one, two and three meaningless letters inserted. A text's score is a logistic function, fitted on texts, of its few highest units.
+are the positives, each also with one, two and three meaningless letters inserted. Typical is a unit with a
+stem that toxic texts hold and clean ones hardly do, once or several times over (a stem made of common
+syllables turns up by chance, but not thrice in a text). A text's score is a logistic function, fitted on
+texts, of its highest units.
 
 The trained machine is a weighted sum of kernels, and the kernel is an inner product of finite
 feature vectors, so it folds into one table of weights by subsequence; scoring looks subsequences up
 in that table and gives the same value as the sum over landmarks would.
 
 Edge cases: null and empty texts have no unit and get the lowest score the model gives; with no
-labelled text of either class every score is 0.
+labelled text of either class every score is 0; repeated rows and ties score alike, each in its row; very
+long texts are scored whole, in chunks by bytes; no rows give no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -31,8 +35,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from meshquill.llm.shared import bound_batches, text_rows
+from meshquill.llm.shared import bound_batches, materialise, text_rows
 from meshquill.llm.words import LOWER, bytes_of, chunks, gather, mix, trim, words_of
 
 LENGTH, SPAN, DECAY = 4, 7, 0.7
@@ -41,9 +46,10 @@ CHUNK = 2 << 20
 BITS = 5
 STEMS = (5, 8)  # signs of a stem
 STEM_CLEAN = 0.1  # clean texts that may hold a telling stem, for each toxic one
-TOP, HEAT = 3, 0.5  # a text's value: HEAT times the log of the summed exponentials of its TOP highest units over HEAT
+TIMES = (1, 2, 3)  # so many units of a text with a stem, for it to hold it
+TOP, HEAT = 8, 0.7  # a text's value: HEAT times the log of the summed exponentials of its TOP highest units over HEAT
 CHANCES = (1e7, 1e5, 1e3, 30, 2)  # how unlikely chance must be for a stem to tell: lowered until half of the toxic texts hold one
-# 1..26 letters, 27..30 other letters by their last byte, 31 a unit's start, 0 no letter (or a byte of one before its last)
+# 1..26 letters, 27..30 other letters by their code point, 31 a unit's start, 0 no letter (or a byte of one before its last)
 _SIGN = np.zeros(256, np.uint8)
 _SIGN[97:123] = np.arange(1, 27)
 _INSERTED = (1, 2, 3)  # letters, in the altered positives
@@ -52,9 +58,16 @@ _PLACES = [(0, *rest) for rest in combinations(range(1, SPAN), LENGTH - 1)]
 
 @cache
 def _letters() -> np.ndarray:
-    """By code point: whether it is a letter, or a mark that scripts of Asia spell with. Accents set apart are none."""
-    kind = [unicodedata.category(chr(x)) for x in range(sys.maxunicode + 1)]
-    return np.array([k[0] == "L" or (k in ("Mn", "Mc") and 0x900 <= x < 0x1A00) for x, k in enumerate(kind)])
+    """The sign of every code point: a to z, also in styled and full-width forms, as the plain letter; other letters
+    (those with accents too: they tell words apart), and marks that scripts of Asia spell with, one of four by their
+    code point; 0 for all else. Accents set apart are none."""
+    out = np.zeros(sys.maxunicode + 1, np.uint8)
+    for x in range(sys.maxunicode + 1):
+        kind = unicodedata.category(chr(x))
+        if kind[0] == "L" or (kind in ("Mn", "Mc") and 0x900 <= x < 0x1A00):
+            plain = unicodedata.normalize("NFKD", chr(x)).lower()
+            out[x] = ord(plain) - 96 if len(plain) == 1 and "a" <= plain <= "z" else 27 + x % 4
+    return out
 
 
 def letter_signs(body: np.ndarray) -> np.ndarray:
@@ -70,8 +83,7 @@ def letter_signs(body: np.ndarray) -> np.ndarray:
             point = np.where(more >= k, point << 6 | (body[at] & 0x3F), point)
         last = lead + more
         ok = (last < len(body)) & (point <= sys.maxunicode)
-        ok[ok] = _letters()[point[ok]]
-        sign[last[ok]] = 27 + body[last[ok]] % 4
+        sign[last[ok]] = _letters()[point[ok]]
     return sign
 
 
@@ -324,10 +336,13 @@ def _stem_odds(rows: np.ndarray, pairs: np.ndarray, toxic: np.ndarray, n_toxic:
     begin = np.searchsorted(pairs[order, 1], np.arange(len(rows) + 1))
     n = np.diff(begin)[owner]
     flat = np.repeat(begin[owner] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    held = np.unique(np.repeat(at, n) * len(toxic) + pairs[order[flat], 0])
-    which, text = held // len(toxic), held % len(toxic)
-    a, b = np.bincount(which[toxic[text]], minlength=len(stems)), np.bincount(which[~toxic[text]], minlength=len(stems))
-    share = np.where((a >= need) & (b <= STEM_CLEAN * a), a / max(1, n_toxic), 0)
+    held, units_held = np.unique(np.repeat(at, n) * len(toxic) + pairs[order[flat], 0], return_counts=True)
+    share = np.zeros(len(stems))
+    for least in TIMES:  # a stem that clean texts hold by chance may still tell where a text has several units of it
+        often = units_held >= least
+        which, text = held[often] // len(toxic), held[often] % len(toxic)
+        a, b = np.bincount(which[toxic[text]], minlength=len(stems)), np.bincount(which[~toxic[text]], minlength=len(stems))
+        share = np.maximum(share, np.where((a >= need) & (b <= STEM_CLEAN * a), a / max(1, n_toxic), 0))
     np.maximum.at(out, owner, share[at])
     return out
 
@@ -352,7 +367,9 @@ def _merged(found: tuple[np.ndarray, np.ndarray], typical: np.ndarray, a: np.nda
     return both, weight
 
 
-def train(texts: list[str], toxic: np.ndarray, landmarks: int = 160, rounds: int = 3) -> Machine:
+def train(texts: list[str], toxic: np.ndarray, landmarks: int = 160, rounds: int = 3, most_typical: int = 600, most_negative: int = 2000, most_worst: int = 1500) -> Machine:
+    """Bounds on units, beside that on texts: most_typical positives that stand for all texts with their stem,
+    most_negative clean units to begin with (drawn at random), most_worst clean ones added a round."""
     if not len(texts) or toxic.all() or not toxic.any():
         return Machine()
     rows, pairs = _all_units(texts)
@@ -371,14 +388,14 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = 160, rounds: int
         if len(np.unique(pairs[bad & telling[pairs[:, 1]], 0])) >= 0.5 * toxic[alone].sum():
             break
     typical = np.flatnonzero(telling)
-    typical = typical[np.argsort(-share[typical], kind="stable")][:600]
+    typical = typical[np.argsort(-share[typical], kind="stable")][:most_typical]
     # each toxic text's most telling unit stands for it, as often as it does so
     positive, weight = _merged(_witnesses(pairs, toxic, share, telling), typical, a)
     if not len(positive):
         return Machine()
     clean = np.flatnonzero(b > 0)
     rng = np.random.Generator(np.random.PCG64(7))
-    negative = rng.permutation(clean)[:2000]
+    negative = rng.permutation(clean)[:most_negative]
     machine = Machine()
     for turn in range(rounds):
         half = landmarks // 2
@@ -420,23 +437,29 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = 160, rounds: int
     machine.slope, machine.shift = float(c[0]), float(c[1])
     low, high = np.quantile(best[toxic], 0.02), best[~toxic].max()
     if low > high:  # the classes are apart: 0.7 lies between them, so that altered insults still pass it
-        at = high + 0.35 * (low - high)
+        at = high + 0.2 * (low - high)
         logit = lambda x: float(np.log(x / (1 - x)))
         machine.slope = (logit(0.985) - logit(0.7)) / (low - at)
         machine.shift = logit(0.7) - machine.slope * at
     return machine
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1000) -> Machine:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1000, most_bytes: int = 256 << 20, **bounds: int) -> Machine:
     """Train on about `per_class` labelled toxic texts and twice as many clean ones (all, where there are
-    fewer), drawn by a hash of their id: the documented bound of the sample that reaches the driver."""
+    fewer), drawn by a hash of their id, and of those on as many as most_bytes of text hold, again by that hash:
+    the documented bounds of the sample that reaches the driver. bounds: those of train()."""
     seen = labels.select(F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{label_col}`").cast("int").alias("__label")).filter("__id IS NOT NULL AND __label IN (0, 1)").groupBy("__id").agg(F.max("__label").alias("__label"))
     count = {r["__label"]: r.n for r in seen.groupBy("__label").agg(F.count("*").alias("n")).collect()}
     unit = F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("__label") == 1, F.lit(min(1.0, per_class / count.get(1, 1)))).otherwise(F.lit(min(1.0, 2 * per_class / count.get(0, 1))))
     chosen = seen.filter(unit < share)  # about 3 * per_class rows
-    rows = text_rows(docs, id_col, text_col).join(F.broadcast(chosen), "__id").select("__id", "__text", "__label").orderBy("__id", F.xxhash64("__text")).collect()
-    machine = train([r["__text"] for r in rows], np.array([r["__label"] == 1 for r in rows], bool))
+    rows = materialise(text_rows(docs, id_col, text_col).join(F.broadcast(chosen), "__id").select("__id", "__text", "__label", unit.alias("__unit")), "labelled")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()[0]
+    if size > most_bytes:  # in order of the hash, while they fit: a window over about 3 * per_class rows
+        fits = F.sum(F.octet_length("__text")).over(Window.orderBy("__unit", "__id", F.xxhash64("__text"))) <= most_bytes
+        rows = rows.withColumn("__fits", fits).filter("__fits")
+    rows = rows.orderBy("__id", F.xxhash64("__text")).collect()
+    machine = train([r["__text"] for r in rows], np.array([r["__label"] == 1 for r in rows], bool), **bounds)
     del rows
     trim()
     return machine

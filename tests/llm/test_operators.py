@@ -66,6 +66,21 @@ def test_substring_dedup(docs, least, monkeypatch):
     assert sorted(got, key=key) == brute_windows(ROWS)
 
 
+@pytest.mark.parametrize("bits", [13, 20])
+def test_boilerplate_in_every_row(spark, monkeypatch, bits):
+    """One long passage in all rows: its windows are hot and go one by one."""
+    monkeypatch.setattr(substring_dedup, "HOT_LEAST", 20)
+    monkeypatch.setattr(substring_dedup, "HOT_SHARE", 0.001)
+    monkeypatch.setattr(substring_dedup, "_bits", lambda rows: bits)
+    monkeypatch.setattr(substring_dedup, "CHUNK", 4000)
+    rng = np.random.default_rng(8)
+    own = lambda n: " ".join(f"r{x}" for x in rng.integers(0, 300, n))
+    licence = own(60)
+    rows = [(int(i), f"{own(int(rng.integers(0, 40)))} {licence} {own(5)}") for i in rng.permutation(300)]
+    got = [tuple(r)[:4] for r in substring_dedup.substring_dedup(frame(spark, rows)).collect()]
+    assert sorted(got, key=key) == brute_windows(rows)
+
+
 def test_substring_dedup_empty(none):
     assert substring_dedup.substring_dedup(none).count() == 0
 
@@ -471,6 +486,14 @@ def test_toxicity(spark, none):
     assert got[303].predicted == 1 and got[302].predicted == 0
     kept = toxicity.drop_toxic(d, m)
     assert kept.columns == d.columns and {r.doc_id for r in kept.select("doc_id").collect()} == {i for i, r in got.items() if not r.predicted}
+    # a very long text, repeated rows, null ids
+    long = " ".join(rng.choice(plain, 60_000))
+    odd = frame(spark, [(1, long), (2, long + " idiot"), (3, "an idiot"), (3, "an idiot"), (None, "an idiot"), (None, None)])
+    have = [(r.doc_id, r.score, r.predicted) for r in toxicity.score_toxicity(odd, m).collect()]
+    assert len(have) == 6 and len({s for i, s, _ in have if i == 3}) == 1 and all(p == 1 for i, _, p in have if i == 3)
+    assert [s for i, s, _ in have if i == 2] > [s for i, s, _ in have if i == 1]
+    small = toxicity.fit_toxicity(d, lab.filter("doc_id < 160"), per_class=20, most_bytes=6000, most_typical=10, most_negative=50, most_worst=20)
+    assert toxicity.score_toxicity(d, small).count() == len(rows)
     nothing = toxicity.fit_toxicity(d, lab.limit(0))
     assert {r.score for r in toxicity.score_toxicity(d, nothing).collect()} == {0.0}
     assert toxicity.score_toxicity(none, m).count() == 0
@@ -519,6 +542,11 @@ def test_languages(spark, none):
     assert all(got[i].lang_pred == lang for i, _, lang in rows[60:100])
     assert [got[i].lang_pred for i in (200, 201, 202, 205)] == ["und"] * 4 and got[203].lang_pred == "de" and got[204].lang_pred in ("de", "en")
     assert all(0 <= r.score <= 1 for r in got.values())
+    # repeated rows, null ids, a very long text, ties: one text, one answer
+    odd = frame(spark, [(1, rows[60][1]), (1, rows[60][1]), (None, rows[60][1]), (2, rows[61][1] * 2000), (3, "zz"), (4, "zz")])
+    have = [(r.doc_id, r.lang_pred, r.score) for r in langid.identify_languages(odd, t).collect()]
+    assert len(have) == 6 and len({x[1:] for x in have if x[0] in (1, None)}) == 1 and len({x[1:] for x in have if x[0] in (3, 4)}) == 1
+    assert [x[1] for x in have if x[0] == 2] == [rows[61][2]]
     assert langid.fit_languages(d.limit(0)) is None
     assert {r.lang_pred for r in langid.identify_languages(d, None).collect()} == {"und"}
     assert langid.identify_languages(none, t).count() == 0
