@@ -20,12 +20,15 @@ from meshquill.llm.toxicity import drop_toxic, fit_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that score under the threshold, as they are. Null and empty texts score lowest and stay, repeated rows
+    go or stay together, ids are read only to find labels; without labels of both classes all rows stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(crc_of_id() % 3 != 1)
     return drop_toxic(docs, fit_toxicity(docs, labels), threshold=0.7)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are kept, rows that repeat a doc_id and its text once (other texts of it stay)."""
+    """Documents that are kept, rows that repeat a doc_id and its text once (other texts of it stay). Rows with a null
+    id, and texts without words, are linked with nothing and stay; empty docs stay empty."""
     found = materialise(near_duplicates(docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("kept").alias("kept"), F.count("*").alias("n")).filter("NOT kept OR n > 1"), "near-copies")
     single = docs.join(found.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
     repeated = found.filter("kept").select("doc_id")
@@ -41,10 +44,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as the mix takes them: those of which it takes no word, null and empty texts among them, go. A null
+    source is a source of its own; rows without an id, and repeated ones, are documents of their own."""
     return mixed_documents(docs, mix_sources(docs)[1])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per row of docs, in order of doc_id; null and empty texts are an end id alone."""
     return read_tokens(spark, write_tokens(docs)).drop("ids")
 
 
