@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshquill.llm.shared import bound_batches, materialise, new_path
+from meshquill.llm.shared import bound_batches, materialise, new_path, partitions
 
 ARCHIVE_BYTES, CHUNK_BYTES = 64 << 20, 1 << 20
 HOT, MOST_HOT = 1_000, 500_000  # rows of a digest joined by broadcast; how many such digests may be (about 32 MB)
@@ -218,7 +218,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """A row per record: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload."""
     bound_batches(spark)
     chunks = spark.read.schema(CHUNKS).parquet(path)
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(partitions(spark), chunks.select("archive").distinct().count())  # tasks of an archive or so each, at every size
     return chunks.repartition(n, "archive").sortWithinPartitions("archive", "seq").mapInArrow(_read, RECORDS)
 
 
@@ -240,8 +240,7 @@ def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Rows as of read_warc, from .warc.gz files (a gzip member per record). Spark lists the files, and only
     that; a task reads its files one after another. Digests must be SHA-1, in hex or base 32."""
     names = spark.read.format("binaryFile").load(paths).select("path")
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return names.repartition(n, "path").mapInArrow(_read_files, RECORDS)
+    return names.repartition(max(partitions(spark), names.count()), "path").mapInArrow(_read_files, RECORDS)
 
 
 def export_archive(spark: SparkSession, path: str, archive: str, to: str) -> None:
