@@ -86,16 +86,48 @@ def heat_step(p: DataFrame, mesh: Mesh, dt: float, conductivity: float, capacity
     return up.select("pid", (F.col("e") + F.col("out")).alias("e"))
 
 
-def flip_step(p: DataFrame, mesh: Mesh, dt: float, gravity: tuple[float, float, float], blend: float = 1.0) -> DataFrame:
-    """Explicit step that gives particles the grid's velocity change (blend 1) or its velocity (0).
-    p: pid, x, y, z, m, u (array of 3)."""
+#: The corners of a cell in the order of a linear stencil, as signs by axis.
+CORNERS = [[1 if n >> (2 - d) & 1 else -1 for d in range(3)] for n in range(8)]
+
+
+def flip_step(
+    p: DataFrame, mesh: Mesh, dt: float, gravity: tuple[float, float, float], bulk: float, density: float, gamma: float, viscosity: float, second: float = 0.0, artificial: float = 0.0, blend: float = 1.0
+) -> DataFrame:
+    """Explicit step with pressure and viscosity in the cells, that gives particles the grid's velocity change (blend 1)
+    or its velocity (0). p: pid, x, y, z, m, v (volume at rest), jac (volume ratio), u (array of 3); so is the result.
+
+    Cells have density, a pressure bulk * ((rho / density) ** gamma - 1), the viscous pressure -(second + 2 viscosity)
+    div u, the shear viscosity * curl u, and, for artificial > 0, where the flow converges, a shock pressure. A node's
+    momentum changes by its corner gradient in each of the 8 cells round it, times their volume; at the walls nothing
+    flows through. The viscous pressure resists compression, so that what it takes from the motion is never negative."""
+    h, volume = mesh.cell_size, math.prod(mesh.cell_size)
     sums = {"mass": lambda q: f"{q.w} * m"} | {f"mu{d}": lambda q, d=d: f"{q.w} * m * u[{d}]" for d in range(3)}
-    grid = transfer.scatter(p, mesh, "node", 1, sums, ["m", "u"]).filter("mass > 0")
-    old = [F.col(f"mu{d}") / F.col("mass") for d in range(3)]
-    grid = grid.select("i", "j", "k", F.array(*old, *(o + dt * g for o, g in zip(old, gravity))).alias("both"))
-    at = transfer.g2p_value(p, mesh, "node", 1, grid, "both", 6, keep=("x", "y", "z", "m", "u"))
-    new = [blend * (F.col("u")[d] + F.col(f"out_{3 + d}") - F.col(f"out_{d}")) + (1 - blend) * F.col(f"out_{3 + d}") for d in range(3)]
-    return at.select("pid", *((F.col(a) + dt * F.col(f"out_{3 + d}")).alias(a) for d, a in enumerate("xyz")), "m", F.array(*new).alias("u"))
+    nodes = transfer.scatter(p, mesh, "node", 1, sums, ["m", "u"]).filter("mass > 0").select("i", "j", "k", "mass", F.array(*(F.expr(f"mu{d} / mass") for d in range(3))).alias("u"))
+    cells = transfer.scatter(p, mesh, "cell", 2, {"mc": lambda q: f"{q.w} * m", "vc": lambda q: f"{q.w} * v * jac"}, ["m", "v", "jac"]).filter("mc > 0 AND vc > 0")
+    corners = transfer.field_by_base(nodes.select("i", "j", "k", "u"), mesh, "node", 1).withColumnsRenamed({"_b0": "i", "_b1": "j", "_b2": "k"})
+    at = lambda n, d: f"coalesce(_f[{n}].u[{d}], 0D)"
+    slope = lambda e, d: "(" + " + ".join(f"{CORNERS[n][e] * 0.25 / h[e]!r}D * {at(n, d)}" for n in range(8)) + ")"
+    cells = cells.join(corners, ["i", "j", "k"]).select("i", "j", "k", F.expr("mc / vc").alias("rho"), F.expr(" + ".join(slope(d, d) for d in range(3))).alias("div"), *(F.expr(f"{viscosity!r}D * ({slope((d + 1) % 3, (d + 2) % 3)} - {slope((d + 2) % 3, (d + 1) % 3)})").alias(f"psi{d}") for d in range(3)))
+    shock = f"CASE WHEN div < 0 THEN {artificial**2 * h[0] ** 2!r}D * rho * div * div ELSE 0D END"
+    cells = cells.withColumn("press", F.expr(f"{bulk!r}D * (pow(rho / {density!r}D, {gamma!r}D) - 1) - {second + 2 * viscosity!r}D * div + {shock}"))
+    push = []
+    for n, sign in enumerate(CORNERS):
+        g = [f"{sign[d] * 0.25 / h[d] * volume!r}D" for d in range(3)]
+        force = [f"{g[d]} * press + ({g[(d + 1) % 3]} * psi{(d + 2) % 3} - {g[(d + 2) % 3]} * psi{(d + 1) % 3}) AS f{d}" for d in range(3)]
+        push.append("struct(" + ", ".join([f"{a} + {max(0, sign[d])} AS {a}" for d, a in enumerate("ijk")] + force) + ")")
+    pushed = cells.select(F.expr(f"explode(array({', '.join(push)})) AS q")).select(*(mesh.wrapped(d, "node", F.col(f"q.{a}")).cast("long").alias(a) for d, a in enumerate("ijk")), "q.f0", "q.f1", "q.f2")
+    pushed = pushed.groupBy("i", "j", "k").agg(*(F.sum(f"f{d}").alias(f"f{d}") for d in range(3)))
+    last = mesh.extent("node")
+    new = []
+    for d, a in enumerate("ijk"):
+        free = f"u[{d}] + {dt!r}D * (coalesce(f{d}, 0D) / mass + {float(gravity[d])!r}D)"
+        new.append(free if mesh.periodic[d] else f"CASE WHEN {a} = 0 OR {a} = {last[d] - 1} THEN 0D ELSE {free} END")
+    grid = nodes.join(pushed, ["i", "j", "k"], "left").select("i", "j", "k", F.expr(f"array({', '.join(new)})").alias("v1"), F.col("u").alias("v0"))
+    got = {f"n{d}": lambda q, d=d: f"{q.w} * {q.read('v1', d)}" for d in range(3)} | {f"o{d}": lambda q, d=d: f"{q.w} * {q.read('v0', d)}" for d in range(3)}
+    got["div"] = lambda q: transfer.dot(q.g, [q.read("v1", d) for d in range(3)])
+    seen = transfer.gather(p, mesh, "node", 1, grid, got, members=("gradient",), keep=("x", "y", "z", "m", "v", "jac", "u"))
+    u = [blend * (F.col("u")[d] + F.col(f"n{d}") - F.col(f"o{d}")) + (1 - blend) * F.col(f"n{d}") for d in range(3)]
+    return seen.select("pid", *((F.col(a) + dt * F.col(f"n{d}")).alias(a) for d, a in enumerate("xyz")), "m", "v", (F.col("jac") * F.exp(dt * F.col("div"))).alias("jac"), F.array(*u).alias("u"))
 
 
 def rotating_disk(spark: SparkSession, facets: DataFrame, box_id: int, mesh: Mesh, angle: float, radius: float, p: levelset.LevelSet) -> DataFrame:
@@ -136,16 +168,29 @@ select pid, round(x + 125e-3 * c0, 6) + 0e0 as x, round(y + 125e-3 * c1, 6) + 0e
 
 
 def _flip(s: SparkSession, d: str) -> DataFrame:
-    p = _ev(s, d).withColumn("u", F.array(*((F.col("pid") * (n + 1) % 5 - 2).cast("double") for n in range(3))))
-    out = unpacked(flip_step(p, FX.MESH, 0.125, (0.0, 0.0, -1.0)), "u", 3)
-    return out.select("pid", *((F.round(c, 6) + 0.0).alias(c) for c in ("x", "y", "z", "u_0", "u_1", "u_2")))
+    p = _ev(s, d).withColumn("u", F.array(*((F.col("pid") * (n + 1) % 5 - 2).cast("double") for n in range(3)))).withColumns({"v": F.lit(0.25), "jac": F.lit(1.0) + (F.col("pid") % 3) / 8.0})
+    out = unpacked(flip_step(p, FX.MESH, 0.03125, (0.0, 0.0, -1.0), 8.0, 16.0, 2.0, 0.5, 0.25, 1.0), "u", 3)
+    return out.select("pid", *((F.round(c, 6) + 0.0).alias(c) for c in ("x", "y", "z", "jac", "u_0", "u_1", "u_2")))
 
 
 def _flip_sql() -> str:
     v = lambda e: f"cast((pid * {e + 1}) % 5 - 2 as double)"
-    return f"""with {_EVM}, {Q.stencil('p', 1, 'node')}, g as (select i, j, k, {', '.join(f'sum(w * m * {v(e)}) / sum(w * m) as f{e}' for e in range(3))} from s group by i, j, k having sum(w * m) > 0),
-n as (select pid, any_value(s.x) as x, any_value(s.y) as y, any_value(s.z) as z, {', '.join(f'sum(w * (f{e} + {-0.125 if e == 2 else 0.0})) as u{e}, sum(w * {-0.125 if e == 2 else 0.0}) as a{e}' for e in range(3))} from s join g using (i, j, k) group by pid)
-select pid, {', '.join(f'round({x} + 125e-3 * u{e}, 6) + 0e0 as {x}' for e, x in enumerate('xyz'))}, {', '.join(f'round({v(e)} + a{e}, 6) + 0e0 as u_{e}' for e in range(3))} from n"""
+    at = lambda source, order, location, select: f"(with {Q.stencil(source, order, location)} {select})"
+    slope = lambda e, d: f"sum(c{e} * coalesce(f{d}, 0e0)) * 25e-2"
+    curl = ", ".join(f"5e-1 * ({slope((d + 1) % 3, (d + 2) % 3)} - {slope((d + 2) % 3, (d + 1) % 3)}) as psi{d}" for d in range(3))
+    force = ", ".join(f"sum(25e-2 * (c{d} * press + c{(d + 1) % 3} * psi{(d + 2) % 3} - c{(d + 2) % 3} * psi{(d + 1) % 3})) as p{d}" for d in range(3))
+    last = (16, 8, 8)
+    new = ", ".join(f"case when g.{a} = 0 or g.{a} = {last[d]} then 0e0 else f{d} + 3125e-5 * (coalesce(p{d}, 0e0) / mass + {-1.0 if d == 2 else 0.0}) end as n{d}" for d, a in enumerate("ijk"))
+    return f"""with {_EVM}, pj as (select *, 1e0 + (pid % 3) / 8e0 as jac from p),
+g as {at('pj', 1, 'node', f"select i, j, k, sum(w * m) as mass, {', '.join(f'sum(w * m * {v(e)}) / sum(w * m) as f{e}' for e in range(3))} from s group by i, j, k having sum(w * m) > 0")},
+c as {at('pj', 2, 'cell', 'select i, j, k, sum(w * m) / sum(w * 25e-2 * jac) as rho from s group by i, j, k having sum(w * m) > 0')},
+k as (select c.i, c.j, c.k, rho, x, y, z, 2 * x - 1 as c0, 2 * y - 1 as c1, 2 * z - 1 as c2 from c, (select unnest(range(2)) as x) as h0, (select unnest(range(2)) as y) as h1, (select unnest(range(2)) as z) as h2),
+m as (select k.i, k.j, k.k, any_value(rho) as rho, {slope(0, 0)} + {slope(1, 1)} + {slope(2, 2)} as dv, {curl} from k left join g on g.i = k.i + x and g.j = k.j + y and g.k = k.k + z group by k.i, k.j, k.k),
+t as (select *, 8e0 * (pow(rho / 16e0, 2e0) - 1) - 125e-2 * dv + case when dv < 0 then rho * dv * dv else 0e0 end as press from m),
+q as (select k.i + x as i, k.j + y as j, k.k + z as k, {force} from k join t on t.i = k.i and t.j = k.j and t.k = k.k group by k.i + x, k.j + y, k.k + z),
+n as (select g.i, g.j, g.k, f0, f1, f2, {new} from g left join q on q.i = g.i and q.j = g.j and q.k = g.k),
+r as {at('pj', 1, 'node', f"select pid, any_value(s.x) as x, any_value(s.y) as y, any_value(s.z) as z, any_value(jac) as jac, {', '.join(f'sum(w * n{e}) as a{e}, sum(w * (n{e} - f{e})) as b{e}' for e in range(3))}, sum(gi * n0 + gj * n1 + gk * n2) as dv from s join n on n.i = s.i and n.j = s.j and n.k = s.k group by pid")}
+select pid, {', '.join(f'round({x} + 3125e-5 * a{e}, 6) + 0e0 as {x}' for e, x in enumerate('xyz'))}, round(jac * exp(3125e-5 * dv), 6) + 0e0 as jac, {', '.join(f'round({v(e)} + b{e}, 6) + 0e0 as u_{e}' for e in range(3))} from r"""
 
 
 def _heat(s: SparkSession, d: str) -> DataFrame:
