@@ -75,8 +75,8 @@ class FieldCatalog:
     def __init__(self, mesh: Mesh, spark: SparkSession):
         self.mesh, self.spark, self._rows = mesh, spark, {}
         if mesh.kind in ("uniform", "adaptive"):
-            nodes = mesh.nodes(spark).select(*mesh.axes, F.array("x", "y", "z").alias("physical_position"))
-            self._rows[Layout("node", PhysicalPosition()).key] = nodes
+            nodes = mesh.nodes(spark).select(*mesh.axes, F.array(*"xyz"[: mesh.dim]).alias("physical_position"))
+            self._rows[Layout("node", PhysicalPosition(mesh.dim)).key] = nodes
 
     def add(self, layout: Layout, rows: DataFrame | None = None) -> None:
         if layout.key not in self._rows:

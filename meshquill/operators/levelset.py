@@ -72,19 +72,21 @@ def estimate_distance(particles: DataFrame, mesh: Mesh, location: str, radius: f
     return near.select(*mesh.axes, (F.col("near") - F.lit(radius).cast("float")).cast("double").alias("distance_estimate"))
 
 
-def nearest(points: DataFrame, entities: DataFrame, keys: list[str], low: tuple[float, ...], size: float, kind: str = "double") -> DataFrame:
+def nearest(points: DataFrame, entities: DataFrame, keys: list[str], low: tuple[float, ...], size: float, kind: str = "double", place: bool = False) -> DataFrame:
     """keys and near, the distance of every entity (keys, e0, e1, e2) to the nearest of the points (p0, p1, p2; one
-    at least), in arithmetic of that kind."""
+    at least), in arithmetic of that kind. place: with that point too (of equally near ones the first by coordinates)."""
     bins, at = ["b0", "b1", "b2"], [*keys, "e0", "e1", "e2"]
     key = lambda c, d: F.floor((F.col(c) - low[d]) / size).cast("long")
     diff = [(F.col(f"p{d}").cast(kind) - F.col(f"e{d}").cast(kind)).cast(kind) for d in range(3)]
     distance = F.sqrt((diff[0] * diff[0] + diff[1] * diff[1] + diff[2] * diff[2]).cast(kind)).cast(kind)
+    least = F.min(F.struct(distance.alias("near"), "p0", "p1", "p2")).alias("best") if place else F.min(distance).alias("near")
+    found_columns = [f"best.{c}" for c in ("near", "p0", "p1", "p2")] if place else ["near"]
     leaves = checkpoint(points.select("p0", "p1", "p2", *(key(f"p{d}", d).alias(f"b{d}") for d in range(3))))
     around = entities.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(26))))
     around = around.select(*keys, "e0", "e1", "e2", *((key(f"e{d}", d) + F.expr(f"(n div {3**d}) % 3 - 1")).alias(f"b{d}") for d in range(3)))
-    close = around.join(leaves, bins).groupBy(*keys).agg(F.min(distance).alias("near")).filter(F.col("near") <= size * 0.999)
+    close = around.join(leaves, bins).groupBy(*keys).agg(least).select(*keys, *found_columns).filter(F.col("near") <= size * 0.999)
     tried = checkpoint(entities.select(*at).join(close, keys, "left"))
-    done, left = tried.filter("near IS NOT NULL").select(*keys, "near"), tried.filter("near IS NULL").select(*at)
+    done, left = tried.filter("near IS NOT NULL").select(*close.columns), tried.filter("near IS NULL").select(*at)
     if left.isEmpty():
         return done
     levels = [checkpoint(leaves.groupBy(*bins).agg(*(F.min(f"p{d}").alias(f"lo{d}") for d in range(3)), *(F.max(f"p{d}").alias(f"hi{d}") for d in range(3))))]
@@ -102,15 +104,15 @@ def nearest(points: DataFrame, entities: DataFrame, keys: list[str], low: tuple[
     far = lambda d, least: F.greatest(F.col(f"lo{d}") - F.col(f"e{d}"), F.col(f"e{d}") - F.col(f"hi{d}"), F.lit(0.0)) if least else F.greatest(F.abs(F.col(f"lo{d}") - F.col(f"e{d}")), F.abs(F.col(f"hi{d}") - F.col(f"e{d}")))
     square = lambda least: sum((far(d, least) * far(d, least) for d in (1, 2)), far(0, least) * far(0, least))
     for n in range(top, -1, -1):
-        met = kept.join(levels[n], bins).select(*at, *bins, square(True).alias("least"), square(False).alias("most"))
-        sure = F.min("most").over(Window.partitionBy(*keys))
-        kept = met.withColumn("sure", sure).filter(F.col("least") <= F.col("sure") * (1 + 1e-5)).select(*at, *bins)
+        met = kept.join(levels[n], bins).select(*at, *bins, square(True).alias("lowest"), square(False).alias("highest"))
+        sure = F.min("highest").over(Window.partitionBy(*keys))
+        kept = met.withColumn("sure", sure).filter(F.col("lowest") <= F.col("sure") * (1 + 1e-5)).select(*at, *bins)
         if n:
             for d in range(3):
                 kept = kept.withColumn(f"b{d}", F.explode(F.array(F.col(f"b{d}") * 2, F.col(f"b{d}") * 2 + 1)))
         if n % 4 == 0:
             kept = checkpoint(kept)
-    found = kept.join(leaves, bins).groupBy(*keys).agg(F.min(distance).alias("near"))
+    found = kept.join(leaves, bins).groupBy(*keys).agg(least).select(*keys, *found_columns)
     return done.unionByName(checkpoint(found))
 
 
@@ -207,9 +209,10 @@ def _lowest(piece: Piece, sign, x, t, starts, p: LevelSet, h: float) -> tuple[np
     return value[best, pick], y.reshape(n, -1, 3)[best, pick]
 
 
-def ball_radius(piece: Piece, ids: np.ndarray, x: np.ndarray, phi: np.ndarray, near: np.ndarray, p: LevelSet, h: float, reach: float) -> np.ndarray:
+def ball_radius(piece: Piece, ids: np.ndarray, x: np.ndarray, phi: np.ndarray, near: np.ndarray, foot: np.ndarray, p: LevelSet, h: float, reach: float) -> np.ndarray:
     """Radius, in cells, of the ball round each x that just touches the zero level: a secant search from the
-    distance of the surface's nearest marked point, never beyond the reach."""
+    distance of the surface's nearest marked point, foot, never beyond the reach. Each ball is searched from
+    that point, from where the last one's lowest value was and from random places."""
     sign = np.copysign(1.0, phi)
     tol = h * p.secant_tol
     t, t_old, value_old = np.minimum(near, reach), np.zeros(len(x)), np.abs(phi)
@@ -218,7 +221,7 @@ def ball_radius(piece: Piece, ids: np.ndarray, x: np.ndarray, phi: np.ndarray, n
     for turn in range(p.max_secant_iter + 1):
         if not len(live):
             break
-        starts = np.concatenate((y[live][None], _starts(ids[live], x[live], t[live], p.num_random_guess, turn)))
+        starts = np.concatenate((foot[live][None], y[live][None], _starts(ids[live], x[live], t[live], p.num_random_guess, turn)))
         value, y[live] = _lowest(piece, sign[live], x[live], t[live], starts, p, h)
         on = np.abs(value) >= tol
         live, value = live[on], value[on]
@@ -243,7 +246,7 @@ def _distances(field: DataFrame, mesh: Mesh, value: str, targets: Column, p: Lev
     if points.isEmpty():  # no surface: as far as the mesh is wide
         diagonal = float(h * np.sqrt((n * n).sum()))
         return field.filter(targets).select("i", "j", "k", F.when(F.col(value) < 0, -diagonal).otherwise(diagonal).alias("out"))
-    near = nearest(points, nodes, ["i", "j", "k"], (0.0, 0.0, 0.0), 1.0)
+    near = nearest(points, nodes, ["i", "j", "k"], (0.0, 0.0, 0.0), 1.0, place=True)
     rows = checkpoint(field.select("i", "j", "k", F.col(value).cast("double").alias("v")).join(near, ["i", "j", "k"], "left"))
     far = rows.filter(F.col("near") > reach).select("i", "j", "k", (F.when(F.col("v") < 0, -h).otherwise(h) * F.col("near")).alias("out"))
     rows = rows.withColumn("near", F.when(F.col("near") <= reach, F.col("near")))
@@ -253,7 +256,7 @@ def _distances(field: DataFrame, mesh: Mesh, value: str, targets: Column, p: Lev
         shifts = f"array({a}, {a} - {n[d]}L, {a} + {n[d]}L)" if wrap[d] else f"array({a})"
         held = f"flatten(transform({shifts}, s -> transform(sequence(floor((s - {margin}) / {tile}), floor((s + {margin}) / {tile})), t -> named_struct('s', s, 't', t))))"
         rows = rows.withColumn(f"h{a}", F.expr(f"explode(filter({held}, x -> x.t BETWEEN 0 AND {int((extent[d] - 1) // tile)}))"))
-    rows = rows.select("i", "j", "k", "v", "near", *(F.col(f"h{a}.s").alias(f"s{a}") for a in "ijk"), *(F.col(f"h{a}.t").alias(f"t{a}") for a in "ijk")).join(active, ["ti", "tj", "tk"], "left_semi")
+    rows = rows.select("i", "j", "k", "v", "near", "p0", "p1", "p2", *(F.col(f"h{a}.s").alias(f"s{a}") for a in "ijk"), *(F.col(f"h{a}.t").alias(f"t{a}") for a in "ijk")).join(active, ["ti", "tj", "tk"], "left_semi")
     last = np.where(wrap, np.inf, extent - 1.0)
 
     def run_tile(key, pdf):
@@ -266,10 +269,10 @@ def _distances(field: DataFrame, mesh: Mesh, value: str, targets: Column, p: Lev
         own = pdf.near.notna().to_numpy() & (s >= begin).all(axis=1) & (s < begin + tile).all(axis=1) & (s == ijk).all(axis=1)
         at, v, out = ijk[own], pdf.v.to_numpy(float)[own], np.zeros(int(own.sum()))
         ids = at[:, 0] + extent[0] * (at[:, 1] + extent[1] * at[:, 2])
-        piece = Piece(phi, first, last)
+        piece, near, foot = Piece(phi, first, last), pdf.near.to_numpy(float)[own], pdf[["p0", "p1", "p2"]].to_numpy(float)[own]
         for lo in range(0, len(at), 2048):
             c = slice(lo, lo + 2048)
-            out[c] = np.copysign(h, v[c]) * ball_radius(piece, ids[c], at[c].astype(float), v[c], pdf.near.to_numpy(float)[own][c], p, h, reach)
+            out[c] = np.copysign(h, v[c]) * ball_radius(piece, ids[c], at[c].astype(float), v[c], near[c], foot[c], p, h, reach)
         return pd.DataFrame({"i": at[:, 0], "j": at[:, 1], "k": at[:, 2], "out": out})
 
     return rows.groupBy("ti", "tj", "tk").applyInPandas(run_tile, "i long, j long, k long, out double").unionByName(far)

@@ -4,7 +4,7 @@ Callers that take many steps write the particles between them."""
 from __future__ import annotations
 
 import math
-import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from meshquill.operators.mesh import Mesh
 from meshquill.plans import sqlgen as Q
 from meshquill.sources import fixtures as FX
 from meshquill.sources import stl
+from meshquill.sources.shared import checkpoint, new_path
 
 
 def unpacked(df: DataFrame, name: str, n: int) -> DataFrame:
@@ -21,10 +22,10 @@ def unpacked(df: DataFrame, name: str, n: int) -> DataFrame:
     return df.select(*(c for c in df.columns if c != name), *(F.col(name)[i].alias(f"{name}_{i}") for i in range(n)))
 
 
-def stl_roundtrip(facets: DataFrame) -> DataFrame:
-    """The facets of volume 1 written as a surface and read back."""
-    path = tempfile.mkdtemp(prefix="meshquill-stl-") + "/out"
-    stl.write_stl(facets.filter("global_id = 1"), path)
+def stl_roundtrip(facets: DataFrame, *global_ids: int) -> DataFrame:
+    """The facets of those volumes written as a surface, in the shared folder, and read back."""
+    path = new_path(facets.sparkSession, "stl")
+    stl.write_stl(facets.filter(F.col("global_id").isin(*global_ids)) if global_ids else facets, path)
     return stl.read_stl(facets.sparkSession, path)
 
 
@@ -130,15 +131,18 @@ def flip_step(
     return seen.select("pid", *((F.col(a) + dt * F.col(f"n{d}")).alias(a) for d, a in enumerate("xyz")), "m", "v", (F.col("jac") * F.exp(dt * F.col("div"))).alias("jac"), F.array(*u).alias("u"))
 
 
-def rotating_disk(spark: SparkSession, facets: DataFrame, box_id: int, mesh: Mesh, angle: float, radius: float, p: levelset.LevelSet) -> DataFrame:
-    """Particles inside a shape, turned about the z axis through the origin, as a redistanced level set."""
-    made = particles.particles_uniform(spark, mesh, 2)
+def rotating_disk(spark: SparkSession, facets: DataFrame, box_id: int, mesh: Mesh, angle: float, steps: int, radius: float, p: levelset.LevelSet, per_dim: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Particles in a shape of facets, coloured by the volume that holds them and turned about the z axis through the
+    origin step by step, as (particles, distance estimate of all colours, redistanced level set). Every step's
+    particles are written, so that no lineage grows with the number of steps."""
+    made = particles.particles_uniform(spark, mesh, per_dim)
     inside = geometry.locate(made, facets, box_id).filter("volume_id >= 0")
-    made = made.join(inside, "pid")
+    moved = checkpoint(made.join(inside, "pid").select("pid", "x", "y", "z", F.col("volume_id").alias("color")))
     c, s = math.cos(angle), math.sin(angle)
-    turned = made.select("pid", (F.col("x") * c - F.col("y") * s).alias("x"), (F.col("x") * s + F.col("y") * c).alias("y"), "z", "volume_id")
-    estimate = levelset.estimate_distance(turned, mesh, "node", radius)
-    return levelset.redistance(estimate, mesh, p, "distance_estimate")
+    for _ in range(steps):
+        moved = checkpoint(moved.select("pid", (F.col("x") * c - F.col("y") * s).alias("x"), (F.col("x") * s + F.col("y") * c).alias("y"), "z", "color"))
+    estimate = checkpoint(levelset.estimate_distance(levelset.of_color(moved, -1), mesh, "node", radius))
+    return moved, estimate, levelset.redistance(estimate, mesh, p, "distance_estimate")
 
 
 # Registered steps ------------------------------------------------------------------------------
@@ -154,7 +158,7 @@ _EVM = f"{Q.EV}, p as (select *, cast(pid % 7 + 1 as double) as m from ev)"
 def _incompressible(s: SparkSession, d: str) -> DataFrame:
     p = _ev(s, d).withColumn("jac", F.lit(1.0)).withColumn("c", F.array(*((F.col("pid") * (n + 1) % 5 - 2).cast("double") for n in range(12))))
     out = unpacked(incompressible_step(p, FX.MESH, 0.125, 10.0, 7.0, (0.0, 0.0, -1.0), 1.0), "c", 12)
-    return out.select("pid", *((F.round(c, 6) + 0.0).alias(c) for c in ("x", "y", "z", "jac", "c_0", "c_5")))
+    return out.select("pid", *((F.round(c, 6) + 0.0).alias(c) for c in ("x", "y", "z", "jac", *(f"c_{n}" for n in range(12)))))
 
 
 def _incompressible_sql() -> str:
@@ -163,8 +167,8 @@ def _incompressible_sql() -> str:
     last = (16, 8, 8)
     u = ", ".join(f"case when ({a} <= 0 and f{d} < 0) or ({a} >= {last[d]} and f{d} > 0) then 0e0 else f{d} end as u{d}" for d, a in enumerate("ijk"))
     return f"""with {_EVM}, {Q.stencil('p', 2, 'node')}, g as (select i, j, k, {mu} from s group by i, j, k having sum(w * m) > 0), h as (select i, j, k, {u} from g),
-n as (select pid, any_value(s.x) as x, any_value(s.y) as y, any_value(s.z) as z, sum(w * u0) as c0, sum(w * u1) as c1, sum(w * u2) as c2, sum(w * u2 * di) as c5, sum(gi * u0 + gj * u1 + gk * u2) as dv from s join h using (i, j, k) group by pid)
-select pid, round(x + 125e-3 * c0, 6) + 0e0 as x, round(y + 125e-3 * c1, 6) + 0e0 as y, round(z + 125e-3 * c2, 6) + 0e0 as z, round(exp(125e-3 * dv), 6) + 0e0 as jac, round(c0, 6) + 0e0 as c_0, round(c5, 6) + 0e0 as c_5 from n"""
+n as (select pid, any_value(s.x) as x, any_value(s.y) as y, any_value(s.z) as z, {', '.join([f'sum(w * u{e}) as c{e}' for e in range(3)] + [f'sum(w * u{e} * d{a}) as c{3 + 3 * n + e}' for n, a in enumerate('ijk') for e in range(3)])}, sum(gi * u0 + gj * u1 + gk * u2) as dv from s join h using (i, j, k) group by pid)
+select pid, round(x + 125e-3 * c0, 6) + 0e0 as x, round(y + 125e-3 * c1, 6) + 0e0 as y, round(z + 125e-3 * c2, 6) + 0e0 as z, round(exp(125e-3 * dv), 6) + 0e0 as jac, {', '.join(f'round(c{x}, 6) + 0e0 as c_{x}' for x in range(12))} from n"""
 
 
 def _flip(s: SparkSession, d: str) -> DataFrame:
@@ -195,33 +199,56 @@ select pid, {', '.join(f'round({x} + 3125e-5 * a{e}, 6) + 0e0 as {x}' for e, x i
 
 def _heat(s: SparkSession, d: str) -> DataFrame:
     p = _ev(s, d).withColumn("v", F.lit(1.0)).withColumn("e", (F.col("pid") % 11).cast("double"))
-    phi = FX.MESH.entities(s).withColumn("phi", F.lit(0.0))
+    phi = FX.MESH.entities(s).withColumn("phi", F.col("i") / 4.0 - 1.5)
     return heat_step(p, FX.MESH, 0.125, 2.0, 4.0, phi, 1.0).select("pid", (F.round("e", 6) + 0.0).alias("e"))
 
 
 def _heat_sql() -> str:
     e = "cast(pid % 11 as double)"
     return f"""with {_EVM}, {Q.stencil('p', 2, 'node')}, g as (select i, j, k, sum(w * m) as mass, sum(w * m * {e}) / sum(w * m) as mean from s group by i, j, k having sum(w * m) > 0),
-a as (select pid, sum(gi * mean) as s0, sum(gj * mean) as s1, sum(gk * mean) as s2 from s join g using (i, j, k) group by pid),
-c as (select i, j, k, sum(w * 1e0 - 5e-1 * (s0 * gi + s1 * gj + s2 * gk)) as gain from s join a using (pid) group by i, j, k),
+a as (select pid, sum(gi * mean) as s0, sum(gj * mean) as s1, sum(gk * mean) as s2, case when abs(sum(w * (5e-1 - 1 / (1 + exp(2 * (i / 4e0 - 15e-1)))))) <= 45e-2 then 1e0 else 0e0 end as src from s join g using (i, j, k) group by pid),
+c as (select i, j, k, sum(w * src - 5e-1 * (s0 * gi + s1 * gj + s2 * gk)) as gain from s join a using (pid) group by i, j, k),
 r as (select i, j, k, 125e-3 * gain / mass as rise from g join c using (i, j, k))
 select pid, round({e} + sum(w * rise), 6) + 0e0 as e from s join r using (i, j, k) group by pid"""
 
 
-def _disk(s: SparkSession, d: str) -> DataFrame:
-    mesh = Mesh((18,) * 3, (-2.25,) * 3, (0.25,) * 3, (False,) * 3, halo=3)
-    shape = FX.cube(s, -0.75, 0.75, 1, 0).unionByName(FX.cube(s, -1.4, 1.4, 3, 1).withColumn("facet_id", F.col("facet_id") + 12))
-    got = rotating_disk(s, shape, 3, mesh, 3.14159265358979 / 2, 0.2, levelset.LevelSet(num_random_guess=0))
-    x = [F.abs(c) for c in mesh.coordinates()]
-    deep = (x[0] < 0.6) & (x[1] < 0.6) & (x[2] < 0.6)
-    most = F.greatest(*x)
-    beside = sum(((c < 0.6).cast("int") for c in x[1:]), (x[0] < 0.6).cast("int")) >= 2  # of a face: corners are known to be less exact
-    return got.filter(deep | ((most > 1.1) & (most < 1.3) & beside)).select("i", "j", "k", (F.col("signed_distance") < 0).alias("inside"))
+#: A slotted block, as three bars that share no volume: left, right and the bridge over the slot (lo, hi by axis).
+_BARS = [((-0.8, -0.8, -0.45), (-0.3, 0.8, 0.45)), ((0.3, -0.8, -0.45), (0.8, 0.8, 0.45)), ((-0.3, 0.3, -0.45), (0.3, 0.8, 0.45))]
+_DISK_MESH = Mesh((18, 18, 10), (-1.125, -1.125, -0.625), (0.125,) * 3, (False,) * 3, halo=3)
+
 
+def _slotted(s: SparkSession) -> DataFrame:
+    """The bars (volumes 1 to 3) and their bounding box (volume 9), through an STL file."""
+    boxes = [*((n + 1, *bar) for n, bar in enumerate(_BARS)), (9, (-1.1, -1.1, -0.6), (1.1, 1.1, 0.6))]
+    rows = []
+    for n, (which, lo, hi) in enumerate(boxes):
+        cube = FX.cube(s, 0.0, 1.0, which, n).withColumn("facet_id", F.col("facet_id") + 12 * n)
+        place = lambda v, lo=lo, hi=hi: F.array(*((F.lit(lo[d]) + F.col(v)[d] * (hi[d] - lo[d])).cast("float") for d in range(3)))
+        rows.append(cube.select("kind", "global_id", "local_id", "facet_id", *(place(f"v{x}").alias(f"v{x}") for x in range(3))))
+    whole = reduce(lambda a, b: a.unionByName(b), rows)
+    made = [stl.read_stl(s, stl.written(whole.filter(F.col("global_id") == which), new_path(s, "bar"), f"Volume {which}")).withColumns({"local_id": F.lit(n), "facet_id": F.col("facet_id") + 12 * n}) for n, (which, *_) in enumerate(boxes)]
+    return reduce(lambda a, b: a.unionByName(b), made)
 
-_DISK_SQL = """with e as (select i, j, k, abs(-225e-2 + i * 25e-2) as x, abs(-225e-2 + j * 25e-2) as y, abs(-225e-2 + k * 25e-2) as z from range(19) as a(i), range(19) as b(j), range(19) as c(k))
-select i, j, k, greatest(x, y, z) < 6e-1 as inside from e where greatest(x, y, z) < 6e-1 or (greatest(x, y, z) > 11e-1 and greatest(x, y, z) < 13e-1 and (x < 6e-1)::int + (y < 6e-1)::int + (z < 6e-1)::int >= 2)"""
 
+def _disk(s: SparkSession, d: str) -> DataFrame:
+    """A full turn in four steps: the particles are where they were, at every node the estimate is the distance to the
+    nearest one less a radius, and redistancing keeps every node's side (nodes within half a cell of the surface aside) and
+    gives the same distance outside. Steps of two nodes blunt the block's edges, by a cell and a quarter at most."""
+    moved, estimate, got = rotating_disk(s, _slotted(s), 9, _DISK_MESH, math.pi / 2, 4, 0.125, levelset.LevelSet(secant_tol=0.1, num_random_guess=1, projection_tol=1e-6))
+    both = got.join(estimate, ["i", "j", "k"]).crossJoin(moved.agg(F.count("*").alias("n"), F.sum("color").alias("colors")))
+    e, g = F.col("distance_estimate"), F.col("signed_distance")
+    return both.select("i", "j", "k", "n", "colors", (F.round(e, 4) + 0.0).alias("estimate"), F.when(F.abs(e) > 0.0625, g < 0).otherwise(e < 0).alias("inside"), F.when(e > 0, F.abs(g - e) <= 1.25 * 0.125).otherwise(g <= 0.125).alias("close"))
+
+
+def _disk_sql() -> str:
+    held = " or ".join("(" + " and ".join(f"{x} > {lo!r} and {x} < {hi!r}" for x, lo, hi in zip("xyz", *bar)) + ")" for bar in _BARS)
+    color = "case " + " ".join(f"when {' and '.join(f'{x} > {lo!r} and {x} < {hi!r}' for x, lo, hi in zip('xyz', *bar))} then {n}" for n, bar in enumerate(_BARS)) + " end"
+    at = lambda a, low: f"{low} + ({a} + 5e-1) * 625e-4"
+    return f"""with q as (select {at('a.i', -1.125)} as x, {at('b.j', -1.125)} as y, {at('c.k', -0.625)} as z from range(36) as a(i), range(36) as b(j), range(20) as c(k)),
+p as (select x, y, z, {color} as color from q where {held}), t as (select count(*) as n, sum(color) as colors from p),
+e as (select i, j, k, -1125e-3 + i * 125e-3 as x, -1125e-3 + j * 125e-3 as y, -625e-3 + k * 125e-3 as z from range(19) as a(i), range(19) as b(j), range(11) as c(k)),
+d as (select i, j, k, sqrt(min((p.x - e.x) * (p.x - e.x) + (p.y - e.y) * (p.y - e.y) + (p.z - e.z) * (p.z - e.z))) - 125e-3 as v from e, p group by i, j, k)
+select i, j, k, n, cast(colors as bigint) as colors, round(v, 4) + 0e0 as estimate, v < 0 as inside, true as close from d, t"""
 
 
 def _correction_sql() -> str:
@@ -240,6 +267,6 @@ PIPELINES = {
     "step_incompressible": (_incompressible, _incompressible_sql()),
     "step_flip": (_flip, _flip_sql()),
     "step_heat": (_heat, _heat_sql()),
-    "step_rotating_disk": (_disk, _DISK_SQL),
+    "step_rotating_disk": (_disk, _disk_sql()),
     "step_position_correction": (lambda s, d: position_correction(_ev(s, d), FX.MESH, 0.125, 4.0, 8.0).select("pid", *((F.round(c, 6) + 0.0).alias(c) for c in ("dx", "dy", "dz"))), _correction_sql()),
 }

@@ -20,6 +20,7 @@ from meshquill.operators import transfer as T
 from meshquill.plans import pipelines as PL
 from meshquill.plans import sqlgen as Q
 from meshquill.sources import fixtures as FX
+from meshquill.sources import stl as STL
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -126,6 +127,17 @@ register("polypic_g2p", lambda s, d: rounded(PL.unpacked(T.polypic_g2p(FX.partic
 register("polypic_p2g_staggered", lambda s, d: rounded(T.polypic_p2g(FX.particles_li(s, d), FX.MESH, "face_i", _DT, state="c8", dim=0), 6), _poly_p2g_sql("face_i", [0], True))
 register("polypic_g2p_staggered", lambda s, d: rounded(PL.unpacked(T.polypic_g2p(FX.particles_ev(s, d), FX.MESH, "face_j", FX.grid_field(s, location="face_j"), "phi", dim=1), "c", 24), 6), Q.g2p(1, "face_j", _poly_sums([1], lambda d: Q.PHI), 6))
 
+_MODES = [[f"cast((pid * {3 * r + e + 1}) % 7 - 3 as double)" for e in range(3)] for r in range(8)]
+
+
+def _poly_kept(s: SparkSession, d: str) -> DataFrame:
+    """Only the second column of the modes is set; the others stay what they were."""
+    p = FX.particles_ev(s, d).withColumn("c8", F.array(*((F.col("pid") * (3 * r + e + 1) % 7 - 3).cast("double") for r in range(8) for e in range(3))))
+    return rounded(PL.unpacked(T.polypic_g2p(p, FX.MESH, "face_j", FX.grid_field(s, location="face_j"), "phi", dim=1, state="c8"), "c", 24), 6)
+
+
+register("polypic_g2p_kept", _poly_kept, Q.g2p(1, "face_j", {n: e for n, e in _poly_sums([1], lambda d: Q.PHI).items() if int(n[2:]) % 3 == 1}, 6).replace(" from s group by pid", ", " + ", ".join(f"any_value({_MODES[r][e]}) as c_{3 * r + e}" for r in range(8) for e in (0, 2)) + " from s group by pid"))
+
 # Grid operators and fields --------------------------------------------------------
 
 _FOO, _BAR = FD.Layout("node", FD.Field("foo", (3,))), FD.Layout("node", FD.Field("bar"))
@@ -150,6 +162,33 @@ def _grid_op_entities(s: SparkSession, d: str) -> DataFrame:
     return rounded(op.apply_entities(cat, "node", lambda: {"bar": v.dot(v) + F.col("bar")}))
 
 
+_OUT, _FOO2, _SUM2 = FD.Layout("node", FD.Field("out")), FD.Layout("node", FD.Field("foo2")), FD.Layout("node", FD.Field("sum2"))
+
+
+def _grid_op_both(s: SparkSession, d: str) -> DataFrame:
+    """One pass over particles that reads a field, adds to two others and sets a column of the particles."""
+    cat = FD.FieldCatalog(FX.MESH, s)
+    cat.add(_FOO, FX.grid_field(s).select("i", "j", "k", F.col("u").alias("foo")))
+    op = FD.create_grid_operator(FX.MESH, gather=[_FOO], scatter=[_BAR, _OUT])
+    op.setup(cat)
+    p = FX.particles_ev(s, d).withColumn("m", (F.col("pid") % 7 + 1).cast("double"))
+    got = op.apply_particles(cat, p, "node", 1, lambda q: {"bar": f"{q.w} * m", "out": f"{q.w} * m * ({q.read('foo', 0)} - {q.read('foo', 2)})", "speed": f"{q.w} * {q.read('foo', 1)}"})
+    grid = cat.array(_BAR).join(cat.array(_OUT), ["i", "j", "k"]).select("i", "j", "k", "bar", "out", F.lit(0.0).alias("speed"))
+    return rounded(grid.unionByName(got.select(F.col("pid").alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(-1).cast("long").alias("k"), F.lit(0.0).alias("bar"), F.lit(0.0).alias("out"), "speed")))
+
+
+def _grid_op_2d(s: SparkSession, d: str) -> DataFrame:
+    """Two dimensions: a field of entities from another, by one of two bodies."""
+    mesh = ME.Mesh((12, 7), (0.0, 0.0), (0.5, 0.5), (True, False))
+    cat = FD.FieldCatalog(mesh, s)
+    cat.add(_FOO2, mesh.entities(s).withColumn("foo2", (F.col("i") * 3 - F.col("j")).cast("double")))
+    op = FD.create_grid_operator(mesh, gather=[_FOO2], scatter=[_SUM2])
+    op.setup(cat)
+    bodies = {"twice": lambda: {"sum2": F.col("foo2") * 2}, "square": lambda: {"sum2": F.col("foo2") * F.col("foo2")}}
+    op.apply_entities(cat, "node", bodies["square"])
+    return rounded(cat.array(_SUM2))
+
+
 def _halo_gather(s: SparkSession, d: str) -> DataFrame:
     places = s.range(20 * 12 * 12).selectExpr("id % 20 - 2 as i", "id div 20 % 12 - 2 as j", "id div 240 - 2 as k")
     return rounded(FD.gather_copies(FX.PERIODIC, "node", FX.grid_field(s, FX.PERIODIC).select("i", "j", "k", "phi"), places))
@@ -157,6 +196,12 @@ def _halo_gather(s: SparkSession, d: str) -> DataFrame:
 
 register("grid_op_zero_fill", _grid_op_zero, f"with {Q.LI}, {Q.stencil('li', 1, 'node')}, g as (select i, j, k, sum(w * m) as bar from s group by i, j, k), {_ENTITIES.format(17, 9, 9)} select e.i, e.j, e.k, coalesce(bar, 0e0) as bar from e left join g on e.i = g.i and e.j = g.j and e.k = g.k")
 register("grid_op_entities", _grid_op_entities, f"with {_ENTITIES.format(17, 9, 9)} select i, j, k, {' + '.join(f'{u} * {u}' for u in Q.U)} + 0e0 as bar from e")
+register(
+    "grid_op_gather_scatter",
+    _grid_op_both,
+    f"with {Q.EV}, p as (select *, cast(pid % 7 + 1 as double) as m from ev), {Q.stencil('p', 1, 'node')}, g as (select i, j, k, sum(w * m) as bar, sum(w * m * ({Q.U[0]} - {Q.U[2]})) as out from s group by i, j, k), {_ENTITIES.format(17, 9, 9)} select e.i, e.j, e.k, coalesce(bar, 0e0) as bar, coalesce(out, 0e0) as out, 0e0 as speed from e left join g on e.i = g.i and e.j = g.j and e.k = g.k union all select pid, -1, -1, 0e0, 0e0, sum(w * {Q.U[1]}) + 0e0 from s group by pid",
+)
+register("grid_op_2d", _grid_op_2d, "select i, j, cast((i * 3 - j) * (i * 3 - j) as double) as sum2 from range(12) as a(i), range(8) as b(j)")
 register(
     "halo_gather_periodic",
     _halo_gather,
@@ -402,12 +447,15 @@ _residuals("la_lu", _lu_product, ", ".join(f"round({_e(n)} + {64 if n % 5 == 0 e
 _residuals("la_svd", _svd_invariants, f"round({' + '.join(f'{_e(n)} * {_e(n)}' for n in range(9))}, 6) + 0e0 as norm2, round({_det3}, 6) + 0e0 as det, 1e0 as det_u, 1e0 as det_v, 0e0 as residual")
 
 
-def _exp_diag(t: DataFrame) -> DataFrame:
-    t = t.select("vec_id", F.array(*(F.col("e")[0] / 64 if n == 0 else F.col("e")[1] / 64 if n == 4 else F.col("e")[2] / 64 if n == 8 else F.lit(0.0) for n in range(9))).alias("a")).withColumn("x", A.exponential(F.col("a"), 3))
+def _exp_turn(t: DataFrame) -> DataFrame:
+    """Of a stretched turn about the third axis: entries 0 and 4 alike, 1 and 3 opposite, 8 by itself."""
+    at = {0: F.col("e")[0] / 64, 1: -F.col("e")[1] / 16, 3: F.col("e")[1] / 16, 4: F.col("e")[0] / 64, 8: F.col("e")[2] / 64}
+    t = t.select("vec_id", F.array(*(at.get(n, F.lit(0.0)) for n in range(9))).alias("a")).withColumn("x", A.exponential(F.col("a"), 3))
     return t.select("vec_id", *(F.col("x")[n].alias(f"r_{n}") for n in range(9)))
 
 
-_residuals("la_exp", _exp_diag, ", ".join(f"round({f'exp({_e(n // 4)} / 64)' if n % 4 == 0 else '0e0'}, 6) + 0e0 as r_{n}" for n in range(9)))
+_TURN = {0: f"exp({_e(0)} / 64) * cos({_e(1)} / 16)", 1: f"-exp({_e(0)} / 64) * sin({_e(1)} / 16)", 3: f"exp({_e(0)} / 64) * sin({_e(1)} / 16)", 4: f"exp({_e(0)} / 64) * cos({_e(1)} / 16)", 8: f"exp({_e(2)} / 64)"}
+_residuals("la_exp", _exp_turn, ", ".join(f"round({_TURN.get(n, '0e0')}, 6) + 0e0 as r_{n}" for n in range(9)))
 
 # Facet geometry --------------------------------------------------------------------------
 
@@ -425,16 +473,26 @@ def _shifted_points(s: SparkSession, d: str) -> DataFrame:
 _BOXES = "b(global_id, local_id, lo, hi) as (values (1, 0, 1e0, 3e0), (2, 1, 4e0, 5e0), (9, 2, 0e0, 9e0))"
 _PTS = f"{Q.EV}, p as (select pid, x + 3125e-5 - 5e-1 as x, y + 3125e-5 as y, z + 3125e-5 as z from ev)"
 register("volume_boxes", lambda s, d: GEO.volume_boxes(_facets(s)).select("local_id", "global_id", *(F.col(f"{a}{n}").cast("double").alias(f"{a}{n}") for n in range(3) for a in ("lo", "hi"))), f"with {_BOXES} select local_id, global_id, {', '.join(f'lo as lo{n}, hi as hi{n}' for n in range(3))} from b")
-register("stl_facets", lambda s, d: PL.stl_roundtrip(_facets(s)).groupBy("kind", "global_id").agg(F.count("*").alias("n"), F.min("local_id").alias("local_id")), "select * from (values ('surface', 1, 12::bigint, 0)) as v(kind, global_id, n, local_id)")
+_VERTICES = [f"v{n}[{d}]" for n in range(3) for d in range(3)]
+register(
+    "stl_facets",
+    lambda s, d: PL.stl_roundtrip(_facets(s)).select("kind", "global_id", "local_id", "facet_id", *(F.expr(v).cast("double").alias(f"v{n // 3}_{n % 3}") for n, v in enumerate(_VERTICES))),
+    "select * from (values " + ", ".join(f"('surface', 1, 0, {n}::bigint, {', '.join(f'{float(x)}e0' for v in f for x in v)})" for n, f in enumerate(FX.cube_corners(1, 3) + FX.cube_corners(4, 5) + FX.cube_corners(0, 9))) + ") as v(kind, global_id, local_id, facet_id, " + ", ".join(f"v{n // 3}_{n % 3}" for n in range(9)) + ")",
+)
+register("stl_offsets", lambda s, d: STL.offsets(_facets(s)), "select 'volume' as kind, i as local_id, cast(12 as bigint) as n, cast(12 * (i + 1) as bigint) as offset from range(3) as r(i)")
+register(
+    "surface_accessors",
+    lambda s, d: GEO.surface_facets(PL.stl_roundtrip(_facets(s), 1, 2), 0).agg(F.count("*").alias("n"), F.min("global_id").alias("global_id"), F.min(F.col("v0")[0]).cast("double").alias("least"), F.max(F.col("v1")[1]).cast("double").alias("most")),
+    "select cast(24 as bigint) as n, 1 as global_id, 1e0 as least, 5e0 as most",
+)
 register("facet_normals", lambda s, d: _facets(s).select("facet_id", *(F.abs(F.col("normal")[n]).cast("double").alias(f"n{n}") for n in range(3))), "select i as facet_id, case when i % 12 // 4 = 0 then 0e0 when i % 12 // 4 = 1 then 0e0 else 1e0 end as n0, case when i % 12 // 4 = 1 then 1e0 else 0e0 end as n1, case when i % 12 // 4 = 0 then 1e0 else 0e0 end as n2 from range(36) as r(i)")
 
 
 def _plane(s: SparkSession, d: str) -> DataFrame:
-    first = FX.cube(s).filter("facet_id % 2 = 0")
-    return rounded(_shifted_points(s, d).join(F.broadcast(first)).groupBy("pid").agg(F.sum(F.abs(GEO.plane_distance([F.col(c) for c in "xyz"])).cast("double")).alias("total"), F.min(GEO.plane_distance([F.col(c) for c in "xyz"]).cast("double")).alias("least")), 4)
+    return rounded(_shifted_points(s, d).join(F.broadcast(FX.cube(s))).groupBy("pid").agg(F.sum(F.abs(GEO.plane_distance([F.col(c) for c in "xyz"])).cast("double")).alias("total"), F.min(GEO.plane_distance([F.col(c) for c in "xyz"]).cast("double")).alias("least")), 4)
 
 
-register("facet_plane_distance", _plane, f"with {_PTS} select pid, round({' + '.join(f'abs({c} - 1) + abs({c} - 3)' for c in 'xyz')}, 4) + 0e0 as total, round(least({', '.join(f'1 - {c}, {c} - 3' for c in 'xyz')}), 4) + 0e0 as least from p")
+register("facet_plane_distance", _plane, f"with {_PTS} select pid, round(2 * ({' + '.join(f'abs({c} - 1) + abs({c} - 3)' for c in 'xyz')}), 4) + 0e0 as total, round(least({', '.join(f'1 - {c}, {c} - 3' for c in 'xyz')}), 4) + 0e0 as least from p")
 
 
 def _ray(s: SparkSession, d: str) -> DataFrame:
@@ -469,16 +527,69 @@ def _sphere(s: SparkSession, scale: float = 1.0) -> DataFrame:
 _PHI48 = "(sqrt((i / 16e0 - 5e-1) * (i / 16e0 - 5e-1) + (j / 16e0 - 5e-1) * (j / 16e0 - 5e-1) + (k / 16e0 - 5e-1) * (k / 16e0 - 5e-1)) - 25e-2)"
 
 
+_FINE = ME.Mesh((48,) * 3, (0.0,) * 3, (1 / 48,) * 3, (True,) * 3, halo=4)
+
+
+def _ball(s: SparkSession, mesh: ME.Mesh, radius: float = 0.25) -> DataFrame:
+    x = mesh.coordinates()
+    return mesh.entities(s).withColumn("phi", F.sqrt((x[0] - 0.5) * (x[0] - 0.5) + (x[1] - 0.5) * (x[1] - 0.5) + (x[2] - 0.5) * (x[2] - 0.5)) - radius)
+
+
 def _redistanced(s: SparkSession, d: str) -> DataFrame:
-    p = LS.LevelSet(secant_tol=0.1, num_random_guess=0, projection_tol=1e-6)
-    got = LS.redistance(_sphere(s, 2.0), _CUBE, p).join(_sphere(s), ["i", "j", "k"])
-    band = F.abs("phi") < 2 * 0.0625
-    near = F.when(band, F.abs(F.col("signed_distance") - F.col("phi")) <= 0.03125).otherwise(F.lit(True))
-    sign = F.when(F.abs("phi") > 0.03125, F.signum("signed_distance") == F.signum("phi")).otherwise(F.lit(True))
-    return got.select("i", "j", "k", near.alias("near"), sign.alias("sign"))
+    """A sphere's distance from twice that distance on 48 cubed cells, with 5 random starts: every node of the mesh, near and
+    far, within six tenths of a cell, and on its side."""
+    p = LS.LevelSet(secant_tol=0.1, num_random_guess=5, projection_tol=1e-6)
+    exact = _ball(s, _FINE)
+    got = LS.redistance(exact.withColumn("phi", F.col("phi") * 2), _FINE, p).join(exact, ["i", "j", "k"])
+    sign = F.when(F.abs("phi") > 0.5 / 48, F.signum("signed_distance") == F.signum("phi")).otherwise(F.lit(True))
+    return got.select("i", "j", "k", (F.abs(F.col("signed_distance") - F.col("phi")) <= 0.6 / 48).alias("near"), sign.alias("sign"), (F.round("phi", 9) + 0.0).alias("phi"))
+
+
+register("levelset_redistance", _redistanced, f"with {_ENTITIES.format(48, 48, 48)} select i, j, k, true as near, true as sign, round(sqrt((i / 48e0 - 5e-1) * (i / 48e0 - 5e-1) + (j / 48e0 - 5e-1) * (j / 48e0 - 5e-1) + (k / 48e0 - 5e-1) * (k / 48e0 - 5e-1)) - 25e-2, 9) + 0e0 as phi from e")
+
+
+def _plane_distance(s: SparkSession, d: str) -> DataFrame:
+    """Three times a plane's distance, on small tiles: the distance itself, to the last digit shown, at every node."""
+    mesh = ME.Mesh((20, 9, 7), (0.0,) * 3, (0.25,) * 3, (False,) * 3, halo=3)
+    rows = mesh.entities(s).withColumn("phi", (F.col("i") * 0.25 - 2.1) * 3)
+    return rounded(LS.redistance(rows, mesh, LS.LevelSet(secant_tol=1e-6, num_random_guess=2, projection_tol=1e-8), tile=4), 6)
+
+
+register("levelset_plane", _plane_distance, f"with {_ENTITIES.format(21, 10, 8)} select i, j, k, round(i * 25e-2 - 21e-1, 6) + 0e0 as signed_distance from e")
+
+
+def _surface_distance(s: SparkSession, d: str) -> DataFrame:
+    """The distance of every node to the places where grid lines cross a sphere, round the edges of a periodic mesh."""
+    points = LS.crossings(_ball(s, _CUBE, 0.27), _CUBE, "phi")
+    nodes = _CUBE.entities(s).select("i", "j", "k", *(F.col(a).cast("double").alias(f"e{n}") for n, a in enumerate("ijk")))
+    return rounded(LS.nearest(points, nodes, ["i", "j", "k"], (0.0,) * 3, 1.0), 6)
+
+
+_CROSS = "b as (select i, j, k, sqrt((i / 16e0 - 5e-1) * (i / 16e0 - 5e-1) + (j / 16e0 - 5e-1) * (j / 16e0 - 5e-1) + (k / 16e0 - 5e-1) * (k / 16e0 - 5e-1)) - 27e-2 as phi from e), x as (" + " union all ".join(
+    f"select {', '.join(f'a.{a} + ' + ('a.phi / (a.phi - c.phi)' if n == d else '0e0') + f' as {a}' for n, a in enumerate('ijk'))} from b as a join b as c on {' and '.join(f'c.{a} = ' + (f'(a.{a} + 1) % 16' if n == d else f'a.{a}') for n, a in enumerate('ijk'))} where a.phi * c.phi < 0"
+    for d in range(3)
+) + ")"
+register(
+    "levelset_surface_distance",
+    _surface_distance,
+    f"with {_ENTITIES.format(16, 16, 16)}, {_CROSS}, t as (select e.i, e.j, e.k, min({' + '.join(f'least(abs(x.{a} - e.{a}), 16 - abs(x.{a} - e.{a})) ** 2' for a in 'ijk')}) as q from e, x group by e.i, e.j, e.k) select i, j, k, round(sqrt(q), 6) + 0e0 as near from t",
+)
+
+
+def _closed(s: SparkSession, d: str) -> DataFrame:
+    """Marching cubes of a sphere: distinct vertices, facets, and facet edges that two facets share, the other way round."""
+    facets = SU.marching_cubes(_ball(s, _CUBE, 0.27), _CUBE)
+    name = lambda n: F.concat_ws(",", *(F.round(F.col(f"v{n}")[e], 9).cast("string") for e in range(3)))
+    named = facets.select(*(name(n).alias(f"n{n}") for n in range(3)))
+    corners = named.select(F.explode(F.array("n0", "n1", "n2")).alias("v")).agg(F.countDistinct("v").alias("vertices"))
+    edges = named.select(F.explode(F.array(*(F.struct(F.col(f"n{n}").alias("a"), F.col(f"n{(n + 1) % 3}").alias("b")) for n in range(3)))).alias("e")).select("e.a", "e.b")
+    pairs = edges.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("a") < F.col("b"), 1).otherwise(-1)).alias("turns"))
+    shared = pairs.agg(F.sum(F.when((F.col("n") == 2) & (F.col("turns") == 0), 1).otherwise(0)).alias("shared"), F.count("*").alias("edges"))
+    return corners.crossJoin(facets.agg(F.count("*").alias("facets"))).crossJoin(shared)
 
 
-register("levelset_redistance", _redistanced, f"with {_ENTITIES.format(16, 16, 16)} select i, j, k, true as near, true as sign from e")
+# a closed surface without handles: a vertex per crossed grid line, V - E + F = 2, three edges a facet, two facets an edge
+register("mc_closed_surface", _closed, f"with {_ENTITIES.format(16, 16, 16)}, {_CROSS}, v as (select count(*) as n from x) select n as vertices, 2 * n - 4 as facets, 3 * n - 6 as shared, 3 * n - 6 as edges from v")
 _EVEN = "(i * i + 2 * j * j - k * i)"
 
 

@@ -52,14 +52,17 @@ def matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.floor(v.cast("double") * 256) / 4.0).alias("e"))
 
 
+def cube_corners(low: float, high: float) -> list[tuple]:
+    """Three corners each of a box's twelve facets, seen from outside in turn."""
+    p = [[float(high if n >> d & 1 else low) for d in range(3)] for n in range(8)]
+    quads = [(0, 2, 3, 1), (4, 5, 7, 6), (0, 1, 5, 4), (2, 6, 7, 3), (0, 4, 6, 2), (1, 3, 7, 5)]
+    return [f for a, b, c, d in quads for f in ((p[a], p[b], p[c]), (p[a], p[c], p[d]))]
+
+
 def cube(spark: SparkSession, low: float = 1.0, high: float = 3.0, global_id: int = 1, local_id: int = 0) -> DataFrame:
     """Twelve facets of a box, as the STL reader gives them."""
     from meshquill.sources.stl import facet_normal
 
-    p = [[float(high if n >> d & 1 else low) for d in range(3)] for n in range(8)]
-    quads = [(0, 2, 3, 1), (4, 5, 7, 6), (0, 1, 5, 4), (2, 6, 7, 3), (0, 4, 6, 2), (1, 3, 7, 5)]
-    rows = []
-    for n, (a, b, c, d) in enumerate(quads):
-        rows += [("volume", global_id, local_id, 2 * n, p[a], p[b], p[c]), ("volume", global_id, local_id, 2 * n + 1, p[a], p[c], p[d])]
+    rows = [("volume", global_id, local_id, n, *f) for n, f in enumerate(cube_corners(low, high))]
     schema = "kind string, global_id int, local_id int, facet_id long, v0 array<float>, v1 array<float>, v2 array<float>"
     return spark.createDataFrame(rows, schema).withColumn("normal", facet_normal())

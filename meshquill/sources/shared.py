@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -13,3 +14,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="meshquill-"))
     return df.checkpoint()
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A place of its own in that folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="meshquill-")
+    return f"{folder.rstrip('/')}/meshquill/{name}-{uuid.uuid4().hex}"

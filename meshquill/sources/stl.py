@@ -74,3 +74,9 @@ def write_stl(facets: DataFrame, path: str, name: str = "Surface 1") -> None:
     body = facets.select(F.col("facet_id").cast("long").alias("at"), F.concat_ws("\n", F.lit("  facet normal 0.0 0.0 0.0\n    outer loop"), *vertex, F.lit("    endloop\n  endfacet")).alias("value"))
     ends = facets.sparkSession.createDataFrame([(-1, f"solid {name}"), (1 << 62, f"endsolid {name}")], "at long, value string")
     body.unionByName(ends).repartition(1).sortWithinPartitions("at").select("value").write.mode("overwrite").text(path)
+
+
+def written(facets: DataFrame, path: str, name: str) -> str:
+    """write_stl, and its path."""
+    write_stl(facets, path, name)
+    return path
