@@ -58,26 +58,29 @@ def _bounded(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= FEW else rows
 
 
-def point_in_volume(points: DataFrame, facets: DataFrame, key: str = "pid", ray: tuple[float, ...] = RAY) -> DataFrame:
-    """For each point (key, x, y, z) and volume whose box holds it: key, local_id, inside (odd number of hits)."""
+def _hits(points: DataFrame, facets: DataFrame, key: str, ray: tuple[float, ...]) -> DataFrame:
+    """key, local_id, global_id and the number of hits, for every volume whose box holds the point; points in no box
+    have one row of nulls. Boxes are a row per solid; facets are broadcast under FEW."""
     boxes = volume_boxes(facets)
     within = [F.col(c).cast("float").between(F.col(f"lo{d}"), F.col(f"hi{d}")) for d, c in enumerate("xyz")]
-    near = points.select(key, "x", "y", "z").join(F.broadcast(boxes), within[0] & within[1] & within[2]).select(key, "x", "y", "z", "local_id")
+    near = points.select(key, "x", "y", "z").join(F.broadcast(boxes), within[0] & within[1] & within[2], "left").select(key, "x", "y", "z", "local_id", "global_id")
     sides = _bounded(facets.filter("kind = 'volume'").select("local_id", "v0", "v1", "v2"))
     hit = ray_hits([_f(F.col(c)) for c in "xyz"], [F.lit(float(r)) for r in ray])
-    return near.join(sides, "local_id").groupBy(key, "local_id").agg(F.sum(hit.cast("int")).alias("hits")).select(key, "local_id", (F.col("hits") % 2 == 1).alias("inside"))
+    return near.join(sides, "local_id", "left").groupBy(key, "local_id", "global_id").agg(F.sum(hit.cast("int")).alias("hits"))
+
+
+def point_in_volume(points: DataFrame, facets: DataFrame, key: str = "pid", ray: tuple[float, ...] = RAY) -> DataFrame:
+    """For each point (key, x, y, z) and volume whose box holds it: key, local_id, inside (odd number of hits)."""
+    return _hits(points, facets, key, ray).filter("local_id IS NOT NULL").select(key, "local_id", (F.col("hits") % 2 == 1).alias("inside"))
 
 
 def locate(points: DataFrame, facets: DataFrame, global_id: int, key: str = "pid") -> DataFrame:
     """key, volume_id: -2 outside the global volume's box, else the first volume by local id (not the
-    global one) that holds the point, else -1."""
-    boxes = volume_boxes(facets)
-    outer = boxes.filter(F.col("global_id") == global_id).select(*(F.col(f"{s}{d}").alias(f"g{s}{d}") for s in ("lo", "hi") for d in range(3)))
-    within = [F.col(c).cast("float").between(F.col(f"glo{d}"), F.col(f"ghi{d}")) for d, c in enumerate("xyz")]
-    placed = points.select(key, "x", "y", "z").join(F.broadcast(outer)).select(key, (within[0] & within[1] & within[2]).alias("in_box"))
-    others = facets.filter(F.col("global_id") != global_id)
-    found = point_in_volume(points, others, key).filter("inside").groupBy(key).agg(F.min("local_id").alias("first"))
-    return placed.join(found, key, "left").select(key, F.when(~F.col("in_box"), F.lit(-2)).otherwise(F.coalesce("first", F.lit(-1))).cast("int").alias("volume_id"))
+    global one) that holds the point, else -1. One pass over the points."""
+    whole = F.col("global_id") == global_id
+    first = F.min(F.when(~whole & (F.col("hits") % 2 == 1), F.col("local_id"))).alias("first")
+    found = _hits(points, facets, key, RAY).groupBy(key).agg(F.coalesce(F.bool_or(whole), F.lit(False)).alias("in_box"), first)
+    return found.select(key, F.when(~F.col("in_box"), F.lit(-2)).otherwise(F.coalesce("first", F.lit(-1))).cast("int").alias("volume_id"))
 
 
 def volume_facets(facets: DataFrame, local_id: int) -> DataFrame:

@@ -216,6 +216,7 @@ def ball_radius(piece: Piece, ids: np.ndarray, x: np.ndarray, phi: np.ndarray, n
     sign = np.copysign(1.0, phi)
     tol = h * p.secant_tol
     t, t_old, value_old = np.minimum(near, reach), np.zeros(len(x)), np.abs(phi)
+    low, high = np.zeros(len(x)), np.full(len(x), np.inf)  # radii known to be too small, and too large
     y, live = x.copy(), np.flatnonzero(value_old >= 1e-12 * h)
     t[value_old < 1e-12 * h] = 0.0
     for turn in range(p.max_secant_iter + 1):
@@ -225,13 +226,17 @@ def ball_radius(piece: Piece, ids: np.ndarray, x: np.ndarray, phi: np.ndarray, n
         value, y[live] = _lowest(piece, sign[live], x[live], t[live], starts, p, h)
         on = np.abs(value) >= tol
         live, value = live[on], value[on]
+        now, under = t[live], value > 0
+        low[live] = np.where(under, np.maximum(low[live], now), low[live])
+        high[live] = np.where(under, high[live], np.minimum(high[live], now))
         with np.errstate(divide="ignore", invalid="ignore"):
-            step = value * (t[live] - t_old[live]) / (value_old[live] - value)
-        step = np.where(np.isfinite(step), step, np.sign(value))
-        t_old[live], value_old[live] = t[live], value
-        t[live] = np.clip(t[live] + np.clip(step, -5, 5), 0.0, reach)
-        moved = t[live] != t_old[live]  # at the reach for good
-        live = live[moved]
+            new = now + value * (now - t_old[live]) / (value_old[live] - value)
+        t_old[live], value_old[live] = now, value
+        # a step out of what is known halves the range, or goes a cell further where its end is not known
+        bounded = np.isfinite(high[live])
+        half = np.where(bounded, (low[live] + np.where(bounded, high[live], 0.0)) / 2, now + 1)
+        t[live] = np.minimum(np.where((new > low[live]) & (new < high[live]) & (new < now + 5), new, half), reach)
+        live = live[np.abs(t[live] - t_old[live]) > 1e-12]  # at the reach for good, or as near as can be told
     return t
 
 

@@ -70,6 +70,21 @@ def test_scatter_field_is_zeroed_first(spark):
     assert got == {0.0, 1.0}
 
 
+def test_gather_and_scatter_in_one_pass(spark):
+    """A functor that reads a field, adds to another and sets a column of the particles."""
+    mesh = ME.Mesh((4, 4, 4), (0.0,) * 3, (1.0,) * 3, PERIODIC)
+    cat = FD.FieldCatalog(mesh, spark)
+    a, b = FD.Layout("node", FD.Field("a", (2,))), FD.Layout("node", FD.Field("b"))
+    cat.add(a, mesh.entities(spark).withColumn("a", F.array(F.col("j") * 1.0, F.lit(2.0))))
+    op = FD.create_grid_operator(mesh, gather=[a], scatter=[b])
+    op.setup(cat)
+    p = spark.createDataFrame([(1, 3.75, 1.25, 0.5, 4.0), (2, 0.0, 2.0, 3.0, 8.0), (3, None, 1.0, 1.0, 1.0)], "pid long, x double, y double, z double, m double")
+    got = op.apply_particles(cat, p, "node", 1, lambda q: {"b": f"{q.w} * m * {q.read('a', 1)}", "height": f"{q.w} * {q.read('a', 0)}"})
+    assert {r.pid: r.height for r in got.collect()} == {1: 1.25, 2: 2.0}, "a particle without a position has no row"
+    grid = {(r.i, r.j, r.k): r.b for r in cat.array(b).collect()}
+    assert len(grid) == 4 * 5 * 4 and sum(grid.values()) == pytest.approx(24) and grid[0, 2, 3] == 16 and grid[0, 1, 0] == 4 * 2 * 0.75 * 0.75 * 0.5
+
+
 def test_two_dimensions(spark):
     mesh = ME.Mesh((6, 5), (0.0, 0.0), (0.5, 0.5), (True, False))
     p = spark.createDataFrame([(1, 1.3, 1.1, 2.0), (2, 0.1, 2.2, 3.0)], "pid long, x double, y double, m double")
