@@ -31,6 +31,7 @@ from meshquill.llm.words import C, chunks, equal_ranges, gather, mix, ngram_hash
 BIN_BITS, BIN_BYTES = (13, 22), 128 << 10  # bins: one per so many bytes of input, 2**13 to 2**22 of them
 BUCKET_WINDOWS = 1_500_000  # aimed at; a bucket is worked through in PARTS, so this bounds packed bytes only
 PARTS = 16
+MOST_TASKS = 20_000  # beyond, a task works through several buckets, one at a time: a shuffle of more parts costs more than it saves
 HOT_LEAST, HOT_SHARE = 2_000, 0.25  # a bin is hot beyond so many windows and that part of a bucket
 CHUNK = 4 << 20
 LEVEL = 6
@@ -294,7 +295,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(2 * partitions(spark), -(-total // BUCKET_WINDOWS))
     most = max(HOT_LEAST, HOT_SHARE * total / buckets, 12 * HOT_SHARE * total / (1 << bits))
     hot = np.array([r.bin for r in seen.filter(F.col("n") > most).collect()], np.int64)  # a third of the bins at most, a few in fact
-    tasks = max(partitions(spark), min(buckets, 4 * partitions(spark)))
+    tasks = max(partitions(spark), min(buckets, MOST_TASKS))
     spans = (
         source.mapInArrow(_send(window, m, hot, buckets, bits), PACKED)
         .repartition(tasks, "bucket")
