@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from meshquill.llm import decontam, langid, mixing, near_dedup, quality, substring_dedup, token_output, topk_search, toxicity, warc
+from meshquill.llm import decontam, langid, mixing, near_dedup, quality, shared, substring_dedup, token_output, topk_search, toxicity, warc
 from meshquill.llm.words import C, bytes_of, gather, mix, ngram_hash, sliding_min, words_of
 from tests.llm.conftest import BASE, OTHER, ROWS, frame, words
 
@@ -39,6 +39,16 @@ def test_hash_helpers():
     assert gather(np.arange(9), np.array([7, 0]), np.array([2, 3])).tolist() == [7, 8, 0, 1, 2]
 
 
+def test_tables_written_on_the_way_can_be_deleted(spark, tmp_path, monkeypatch):
+    assert spark.sparkContext.applicationId in shared.folder(spark)
+    monkeypatch.setattr(shared, "folder", lambda spark: f"file://{tmp_path}/own")
+    assert shared.materialise(spark.range(5), "numbers").count() == 5
+    assert list((tmp_path / "own").iterdir())
+    shared.clean(spark)
+    assert not (tmp_path / "own").exists()
+    shared.clean(spark)
+
+
 # 1 ------------------------------------------------------------------------------
 
 
