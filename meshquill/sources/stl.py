@@ -1,7 +1,9 @@
 """ASCII STL, read and written by Spark.
 
 Solids are `solid <Volume|Body|Surface> <id>`; normals in the file are ignored and built from the
-vertices in single precision.
+vertices in single precision. A file is one row, and its lines are numbered in one task: its format says
+nothing by itself on any line of which solid it is part of. So a file is read as far as a task's memory
+goes; facets are dealt out from then on.
 """
 
 from __future__ import annotations
