@@ -33,7 +33,7 @@ from meshquill.llm.shared import materialise, new_path, partitions, text_rows
 from meshquill.llm.words import bytes_of, chunks, equal_ranges, gather, hash_strings, trim
 
 SHARD_IDS = 2_000_000
-CHUNK = 8 << 20  # the larger, the fewer times a word is encoded
+CHUNK = 4 << 20  # the larger, the fewer words are looked up twice; a worker holds some 20 times as much
 SLICE = 20_000  # words encoded at a time
 CACHE_WORDS = 1_500_000  # about 60 MB a worker
 _SHIFT = np.arange(4, dtype=np.uint8) * 2
